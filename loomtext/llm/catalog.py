@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators: name -> (query, SQL or None)."""
 
-from loomtext.llm import mixing, sharding
+from loomtext.llm import mixing, ngram_join, sharding
 
 CATALOG = {
+    "op2_ngram_join": (ngram_join.query, ngram_join.SQL),
     "op4_sharding": (sharding.query, sharding.SQL),
     "op8_mixing": (mixing.query, mixing.SQL),
 }
