@@ -1,9 +1,11 @@
 """The registered queries of the training-data operators: name -> (query, SQL or None)."""
 
-from loomtext.llm import mixing, ngram_join, sharding
+from loomtext.llm import mixing, ngram_join, quality, sharding, toxicity
 
 CATALOG = {
+    "op1_toxicity": (toxicity.query, None),
     "op2_ngram_join": (ngram_join.query, ngram_join.SQL),
     "op4_sharding": (sharding.query, sharding.SQL),
     "op8_mixing": (mixing.query, mixing.SQL),
+    "op9_quality": (quality.query, None),
 }
