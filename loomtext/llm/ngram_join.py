@@ -28,8 +28,9 @@ THRESHOLD = 0.7
 #: Signatures that a bucket aims at, and documents of one side of a verification task.
 BUCKET_SIGNATURES = 1_500_000
 TASK_DOCS = 400
+#: Segments for each that a prober of the largest size needs: the rest is left out as empty or shared by many.
+SLACK = 1.2
 _SPLIT = r"[^\p{L}\p{N}]+"
-_RATIO = 1.0
 _SUBS = 4096
 _U = np.uint64
 _DEL, _IDX, _PROBE = 1, 2, 4
@@ -112,15 +113,16 @@ def scheme(band: np.ndarray, ends: np.ndarray, t: float) -> tuple[np.ndarray, np
     upper = ends[band + 1] - 1
     longest = np.floor(upper / t + 1e-9).astype(np.int64)
     need = most_different(longest, upper, t) + 1
-    m = np.ceil(1.07 * need).astype(np.int64)
+    m = np.ceil(SLACK * need).astype(np.int64)
     d = np.where(upper <= 24, m, np.ceil(np.where(upper <= 200, 0.12, 0.06) * m)).astype(np.int64)
     return m, d
 
 
-def _signatures(g, doc, sizes, band, prober, ends, t):
+def _signatures(g, rarity, doc, sizes, band, prober, ends, t):
     """One band a document: (document, segment, signature, flags), and the documents whose allotment didn't reach H + 1.
 
-    g, doc: the n-grams and their documents' indexes; band: by document. prober: False where it is only indexed.
+    g, rarity, doc: the n-grams, the logarithms of their shares of documents, and their documents' indexes; band: by
+    document. prober: False where it is only indexed.
     """
     m, dels = scheme(band, ends, t)
     own = np.searchsorted(ends, sizes, side="right") - 1 == band
@@ -132,20 +134,22 @@ def _signatures(g, doc, sizes, band, prober, ends, t):
     cell, part = cell[order], _mix(g[order] ^ _U(0xA0761D6478BD642F))
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
     total = np.add.reduceat(part, first) if len(first) else part
+    chance = np.add.reduceat(rarity[order], first) if len(first) else rarity
     e = np.diff(np.concatenate([first, [len(cell)]]))
     at = cell[first]
     of = doc[order][first]
     seg = at - base[of]
     salt = _mix(seg.astype(_U) * _U(0x9E3779B97F4A7C15) + band[of].astype(_U))
-    # the prober's allotment: first thresholds of 1 by the chance that others share the subset, then deletions by their number
+    # the prober's allotment: first thresholds of 1 by the chance that others share the subset, then deletions by their
+    # number. A threshold of 2 needs two n-grams: one n-gram less one is empty, and empty subsets aren't indexed
     can = prober[of]
     pick = np.flatnonzero(can)
-    more = np.flatnonzero(can & (seg < dels[of]))
-    cost = np.concatenate([np.where(e[pick] == 1, 40, np.where(e[pick] == 2, 3, 1)), 50 + np.minimum(e[more], 1000)])
+    more = np.flatnonzero(can & (seg < dels[of]) & (e > 1))
+    cost = np.concatenate([np.minimum(chance[pick], 0), e[more].astype(float)])
     which = np.concatenate([pick, more])
     upper = ends[band + 1] - 1
     need = most_different(sizes, np.minimum(sizes, upper), t) + 1
-    by = np.argsort(of[which] * 2048 + cost, kind="stable")
+    by = np.lexsort((cost, of[which]))
     owner = of[which][by]
     start = np.searchsorted(owner, np.arange(len(sizes)))
     chosen = by[np.arange(len(by)) - start[owner] < need[owner]]
@@ -158,11 +162,12 @@ def _signatures(g, doc, sizes, band, prober, ends, t):
     flags = np.where(own[of], _IDX, 0) + np.where(v1, _PROBE, 0)
     keep = flags > 0
     out = [(of[keep], seg[keep], _mix(total[keep] + salt[keep]), flags[keep].astype(np.uint8))]
-    want = ((own[of] & (seg < dels[of])) | v2) & (e > 0)
+    indexed = own[of] & (seg < dels[of]) & (e > 2)
+    want = indexed | v2
     cells = np.repeat(np.arange(len(at)), e)
     rows = np.flatnonzero(want[cells])
     c = cells[rows]
-    out.append((of[c], seg[c], _mix(total[c] - part[rows] + salt[c]), (_DEL + np.where(own[of[c]] & (seg[c] < dels[of[c]]), _IDX, 0) + np.where(v2[c], _PROBE, 0)).astype(np.uint8)))
+    out.append((of[c], seg[c], _mix(total[c] - part[rows] + salt[c]), (_DEL + np.where(indexed[c], _IDX, 0) + np.where(v2[c], _PROBE, 0)).astype(np.uint8)))
     of, seg, sig, flags = (np.concatenate(x) for x in zip(*out))
     return of, seg, sig, flags, own, brute
 
@@ -171,7 +176,11 @@ _PACKED = pa.schema([("bucket", pa.int64()), ("rid", pa.binary()), ("size", pa.b
 PACKED_DDL = "bucket long, rid binary, size binary, meta binary, len binary, low binary, high binary"
 
 
-def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray, subs: dict[int, int], out: dict) -> int:
+def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray, subs: dict[int, int], out: dict, seen: np.ndarray) -> int:
+    # seen: documents by n-gram (hashed), of those that the task has read; the last place counts them all
+    every = np.concatenate(sets) if sets else np.zeros(0, _U)
+    seen[:-1] += np.bincount((every >> _U(44)).astype(np.int64), minlength=len(seen) - 1).astype(np.int32)
+    seen[-1] += len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(ends, sizes, side="right") - 1
     lowest = np.searchsorted(ends, np.ceil(t * sizes - 1e-9).astype(np.int64), side="right") - 1
@@ -183,7 +192,8 @@ def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray
         g = np.concatenate([sets[i] for i in use])
         doc = np.repeat(np.arange(len(use)), sizes[use])
         band = (own - back)[use]
-        of, seg, sig, flags, mine, brute = _signatures(g, doc, sizes[use], band, np.ones(len(use), bool), ends, t)
+        rarity = np.log(np.maximum(seen[(g >> _U(44)).astype(np.int64)], 1) / (seen[-1] + 1.0))
+        of, seg, sig, flags, mine, brute = _signatures(g, rarity, doc, sizes[use], band, np.ones(len(use), bool), ends, t)
         m, _ = scheme(band, ends, t)
         s = np.array([subs.get(int(b), 1) for b in band], np.int64)
         bucket = band[of] * _SUBS + seg * s[of] // m[of]
@@ -231,6 +241,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _signature_batches(n: int, t: float, subs: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, out, held = bands(t), {}, 0
+        seen = np.zeros((1 << 20) + 1, np.int32)
         for batch in batches:
             values, offsets = _lists(batch.column("w"))
             rids = batch.column("rid").to_numpy(zero_copy_only=False)
@@ -238,7 +249,7 @@ def _signature_batches(n: int, t: float, subs: dict[int, int]):
             while at < len(rids):
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 200_000, side="right")) - 1)
                 sets = gram_sets(values[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], n)
-                held += _packed(rids[at:to], sets, t, ends, subs, out)
+                held += _packed(rids[at:to], sets, t, ends, subs, out, seen)
                 at = to
                 if held > 4_000_000:
                     yield _flush(out)
