@@ -44,11 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loomtext-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df to the shared folder and rereads it: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder (with a folder for each value of ``by``) and rereads it: cuts lineage, survives lost
+    executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
