@@ -122,7 +122,10 @@ _COUNTED = "m int, ctx long, low long, word long, n long, total long"
 
 
 def _added(min_count: int, up_to: int):
-    """A bucket's n-grams: those kept, with their context's total; and with word null, how many occur n times (n <= up_to)."""
+    """A bucket's n-grams: those kept, with their context's total; and with word null, how many occur n times (n <= up_to).
+
+    Counts below up_to are discounted; a context that has none of them counts as one longer than it is.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         m = group.column("m")[0].as_py()
@@ -144,6 +147,9 @@ def _added(min_count: int, up_to: int):
         names, inverse = np.unique(ctx, return_inverse=True)
         total = np.zeros(len(names), np.int64)
         np.add.at(total, inverse, count)
+        least = np.full(len(names), up_to, np.int64)
+        np.minimum.at(least, inverse, count)
+        total += least >= up_to  # no count is discounted: one more occurrence, of something new, leaves a mass to back off with
         keep = count >= (min_count if m > 1 else 1)
         seen = np.bincount(count[count <= up_to], minlength=up_to + 1)[1:]
         k, e = int(keep.sum()), up_to
@@ -207,12 +213,13 @@ def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, up_to:
         seen[r.m][r.n - 1] = r.t
     kept = counted.filter("word is not null")
     one = kept.filter("m = 1")
-    everything = one.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    everything = one.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).first()
     if not everything.k:
         return Model(order, {}, {}, 1.0)
     mass = _discounted(F.col("n"), discounts(seen[1], up_to))
-    tables = {1: one.select("ctx", "word", (mass / F.lit(float(everything.n))).alias("p"))}
-    unknown = 1.0 - float(one.agg(F.sum(mass).alias("s")).first().s) / everything.n
+    size = everything.n + (everything.least > up_to)
+    tables = {1: one.select("ctx", "word", (mass / F.lit(float(size))).alias("p"))}
+    unknown = 1.0 - float(one.agg(F.sum(mass).alias("s")).first().s) / size
     weights = {}
     for m in range(2, order + 1):
         own = kept.filter(F.col("m") == m).select("ctx", "low", "word", (_discounted(F.col("n"), discounts(seen[m], up_to)) / F.col("total")).alias("p"))
@@ -306,9 +313,9 @@ WITH {_toks("dt", "doc_id", "documents")},
 b AS (SELECT unnest(w[:-2]) AS h, unnest(w[2:]) AS w FROM dt),
 c1 AS (SELECT w, count(*) AS n FROM b GROUP BY w), c2 AS (SELECT h, w, count(*) AS n FROM b GROUP BY h, w),
 {_d(1)}, {_d(2)},
-p1 AS (SELECT w, coalesce(d, 1.0) * n / (SELECT sum(n) FROM c1)::DOUBLE AS p FROM c1 LEFT JOIN d1 ON r = n),
+p1 AS (SELECT w, coalesce(d, 1.0) * n / (SELECT sum(n) + (min(n) > {DISCOUNT_TO})::INT FROM c1)::DOUBLE AS p FROM c1 LEFT JOIN d1 ON r = n),
 unk AS (SELECT 1 - sum(p) AS p FROM p1),
-t2 AS (SELECT h, sum(n) AS t FROM c2 GROUP BY h),
+t2 AS (SELECT h, sum(n) + (min(n) > {DISCOUNT_TO})::INT AS t FROM c2 GROUP BY h),
 p2 AS (SELECT c2.h, c2.w, coalesce(d, 1.0) * n / t::DOUBLE AS p FROM c2 JOIN t2 USING (h) LEFT JOIN d2 ON r = n WHERE n >= {MIN_COUNT}),
 a2 AS (SELECT h, (1 - sum(p2.p)) / (1 - sum(p1.p)) AS a FROM p2 JOIN p1 USING (w) GROUP BY h),
 {_toks("ct", "conv_id, turn", "conversations")},
