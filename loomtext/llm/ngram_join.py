@@ -5,7 +5,8 @@ Two sets whose Jaccard similarity reaches the threshold differ in at most H n-gr
 allots thresholds v (0, 1 or 2) to segments with a sum of H + 1, some segment differs in less than v n-grams: with v = 1
 its subsets are equal, with v = 2 one is the other or the other less one n-gram. Subsets, and in some segments their
 one-deletion neighbourhoods, are indexed; the prober allots by cost, leaving out empty segments (shared by everyone)
-and taking single n-grams and deletion neighbourhoods last. Candidates are verified on the whole sets.
+and taking single n-grams and deletion neighbourhoods last. Candidates are verified on the whole sets, unless the parities of
+n-grams by hash cell, of which each n-gram in only one set flips one, already differ in more than H cells.
 
 Signatures travel as packed arrays, one row for each batch of documents and bucket (size band, range of segments), so the
 shuffle carries 5 bytes a signature and no row overhead; a bucket holds a bounded number of signatures at any input size.
@@ -118,6 +119,19 @@ def scheme(band: np.ndarray, ends: np.ndarray, t: float) -> tuple[np.ndarray, np
     return m, d
 
 
+def _cells(band, ends):
+    """Parity cells of a band: a power of two, no less than its largest set."""
+    return 1 << np.maximum(6, np.ceil(np.log2(ends[band + 1] - 1)).astype(np.int64))
+
+
+def _sketches(g, doc, band, ends) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds by document): whether each cell holds an odd number of the document's n-grams."""
+    m = _cells(band, ends)
+    base = np.concatenate([[0], np.cumsum(m)])
+    at = base[doc] + (_mix(g ^ _U(0x8BADF00D5EED1234)) % m[doc].astype(_U)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=int(base[-1])).astype(np.uint8) & 1), base // 8
+
+
 def _signatures(g, rarity, doc, sizes, band, prober, ends, t):
     """One band a document: (document, segment, signature, flags), and the documents whose allotment didn't reach H + 1.
 
@@ -172,8 +186,8 @@ def _signatures(g, rarity, doc, sizes, band, prober, ends, t):
     return of, seg, sig, flags, own, brute
 
 
-_PACKED = pa.schema([("bucket", pa.int64()), ("rid", pa.binary()), ("size", pa.binary()), ("meta", pa.binary()), ("len", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
-PACKED_DDL = "bucket long, rid binary, size binary, meta binary, len binary, low binary, high binary"
+_PACKED = pa.schema([("bucket", pa.int64()), ("rid", pa.binary()), ("size", pa.binary()), ("meta", pa.binary()), ("len", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("sketch", pa.binary())])
+PACKED_DDL = "bucket long, rid binary, size binary, meta binary, len binary, low binary, high binary, sketch binary"
 
 
 def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray, subs: dict[int, int], out: dict, seen: np.ndarray) -> int:
@@ -194,6 +208,7 @@ def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray
         band = (own - back)[use]
         rarity = np.log(np.maximum(seen[(g >> _U(44)).astype(np.int64)], 1) / (seen[-1] + 1.0))
         of, seg, sig, flags, mine, brute = _signatures(g, rarity, doc, sizes[use], band, np.ones(len(use), bool), ends, t)
+        sketch, edges = _sketches(g, doc, band, ends)
         m, _ = scheme(band, ends, t)
         s = np.array([subs.get(int(b), 1) for b in band], np.int64)
         bucket = band[of] * _SUBS + seg * s[of] // m[of]
@@ -217,14 +232,15 @@ def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray
         runs = np.flatnonzero(np.concatenate([[True], bucket[run][1:] != bucket[run][:-1]])).tolist() + [len(run)]
         for a, b in zip(runs[:-1], runs[1:]):
             out.setdefault(int(bucket[run[a]]), []).append(
-                (rids[who[a:b]], sizes[who[a:b]].astype(np.int32), meta[a:b], count[a:b].astype(np.int32), low[upto[a] : upto[b]], high[upto[a] : upto[b]])
-            )
+                (rids[who[a:b]], sizes[who[a:b]].astype(np.int32), meta[a:b], count[a:b].astype(np.int32), low[upto[a] : upto[b]], high[upto[a] : upto[b]],
+                 np.concatenate([sketch[edges[i] : edges[i + 1]] for i in of[run[a:b]].tolist()]))
+            )
         n += len(low)
     return n
 
 
 def _flush(out: dict) -> pa.RecordBatch:
-    cols = [[] for _ in range(7)]
+    cols = [[] for _ in range(len(_PACKED))]
     for bucket, parts in out.items():
         cols[0].append(bucket)
         for i, x in enumerate(zip(*parts)):
@@ -274,6 +290,10 @@ def _candidates(t: float):
         ids, local = np.unique(rid, return_inverse=True)  # equal texts have one rid: they count once
         length = np.zeros(len(ids), np.int64)
         length[local] = size
+        cells = int(_cells(np.array([bucket // _SUBS]), bands(t))[0])
+        one = np.zeros(len(ids), np.int64)
+        one[local] = np.arange(len(local))
+        sketch = col("sketch", np.uint64).reshape(len(local), cells // 64)[one]
         found: list[np.ndarray] = []
         held = 0
 
@@ -281,7 +301,13 @@ def _candidates(t: float):
             nonlocal held
             ok = (x != y) & (np.minimum(length[x], length[y]) + 1e-9 >= t * np.maximum(length[x], length[y]))
             x, y = x[ok], y[ok]
-            found.append(np.unique(np.minimum(x, y) << 32 | np.maximum(x, y)))
+            codes = np.unique(np.minimum(x, y) << 32 | np.maximum(x, y))
+            x, y = codes >> 32, codes & 0xFFFFFFFF
+            both = length[x] + length[y]
+            most = both - 2 * np.ceil(t / (1 + t) * both - 1e-9)
+            step = max(1, 4_000_000 // sketch.shape[1])
+            apart = [np.bitwise_count(sketch[x[k : k + step]] ^ sketch[y[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(x), step)]
+            found.append(codes[np.concatenate(apart) <= most] if apart else codes)
             held += len(found[-1])
             if held > 3_000_000:
                 found[:] = [np.unique(np.concatenate(found))]
