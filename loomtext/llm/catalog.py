@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators: name -> (query, SQL or None)."""
 
-from loomtext.llm import bpe, chat, embedding_dedup, katz, mixing, ngram_join, quality, sharding, toxicity
+from loomtext.llm import bpe, chat, embedding_dedup, katz, media, mixing, ngram_join, quality, sharding, toxicity
 
 CATALOG = {
     "op1_toxicity": (toxicity.query, None),
@@ -12,4 +12,5 @@ CATALOG = {
     "op7_katz": (katz.query, katz.SQL),
     "op8_mixing": (mixing.query, mixing.SQL),
     "op9_quality": (quality.query, None),
+    "op10_media": (media.query, None),
 }
