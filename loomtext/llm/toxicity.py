@@ -28,7 +28,7 @@ MIN_G2 = 24.0
 MIN_EXAMPLES = 3
 NEIGHBOURS = 15
 #: Added to a neighbour's distance before its vote is 1 / distance.
-SOFTEN = 0.1
+SOFTEN = 0.02
 TOXIC_FROM = 0.5
 BLOCK = 64
 SEED = 23
