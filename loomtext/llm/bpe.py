@@ -210,47 +210,52 @@ def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.append(where, len(data)), np.diff(np.concatenate([[0], upto[ends]]))
 
 
-def encode_texts(vocabulary: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, ids' bounds by text, bytes, bytes' bounds by text)."""
-    codes, counts, chunks, sizes = [], [], [], []
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about _SLICE bytes: temporary arrays stay small."""
+    ends = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
-        held, to = 0, at
-        while to < len(texts) and (to == at or held + len(texts[to]) <= _SLICE):
-            held += len(texts[to])
-            to += 1
-        data, where, per = split_words(texts[at:to])
-        words = pa.Array.from_buffers(pa.large_binary(), len(where) - 1, [None, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(data)])
-        codes.append(words)
-        counts.append(per)
-        chunks.append(data)
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + _SLICE, side="right")))
+        yield at, to
         at = to
-    if not codes:
-        zero = np.zeros(1, np.int64)
-        return np.zeros(0, np.int32), zero, np.zeros(0, np.uint8), zero
-    coded = pa.chunked_array(codes).dictionary_encode().unify_dictionaries()
-    index = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]) if coded.num_chunks else np.zeros(0, np.int64)
+
+
+def encode_texts(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, their bounds by text, whether they decode to the text). Words are encoded once for all of texts, a column
+    without nulls; they are looked up and decoded a slice at a time."""
+    ranges, pieces, counts = list(_slices(texts)), [], []
+    for at, to in ranges:
+        data, where, per = split_words(texts.slice(at, to - at).to_pylist())
+        pieces.append(pa.Array.from_buffers(pa.binary(), len(where) - 1, [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(data)]))
+        counts.append(per)
+    if not pieces:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+    coded = pa.chunked_array(pieces).dictionary_encode().unify_dictionaries()
     unique = coded.chunk(0).dictionary
     _, starts, data = unique.buffers()
-    starts = np.frombuffer(starts, np.int64)[: len(unique) + 1]
+    starts = np.frombuffer(starts, np.int32)[: len(unique) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)[: starts[-1]] if data is not None else np.zeros(0, np.uint8)
     ids, bounds = vocabulary.encode_words(data, starts)
-    flat, word_at = _ragged(ids, bounds, index)
-    per = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    raw = np.concatenate(chunks)
-    lengths = np.diff(starts)[index]
-    byte_at = np.concatenate([[0], np.cumsum(lengths)])
-    return flat, word_at[per], raw, byte_at[per]
+    out, sizes, same = [], [], []
+    for piece, chunk, per in zip(pieces, coded.chunks, counts):
+        flat, word_at = _ragged(ids, bounds, chunk.indices.to_numpy(zero_copy_only=False))
+        cut = np.concatenate([[0], np.cumsum(per)])
+        byte_at = np.frombuffer(piece.buffers()[1], np.int32).astype(np.int64)[cut]
+        raw = np.frombuffer(piece.buffers()[2], np.uint8) if byte_at[-1] else np.zeros(0, np.uint8)
+        back, token_at = vocabulary.decode(flat)
+        wrong = np.concatenate([[0], np.cumsum(back != raw)]) if len(back) == len(raw) else np.arange(len(raw) + 1)
+        same.append((wrong[byte_at[1:]] == wrong[byte_at[:-1]]) & (token_at[word_at[cut]] == byte_at)[1:])
+        out.append(flat.astype(np.int32))
+        sizes.append(np.diff(word_at[cut]))
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(same)
 
 
 def _encoder(vocabulary: Vocabulary):
     @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
     def encode(texts: pa.Array) -> pa.Array:
-        ids, bounds, raw, byte_at = encode_texts(vocabulary, ["" if t is None else t for t in texts.to_pylist()])
-        back, token_at = vocabulary.decode(ids)
-        wrong = np.concatenate([[0], np.cumsum(back != raw)]) if len(back) == len(raw) else np.arange(len(raw) + 1)
-        same = (wrong[byte_at[1:]] == wrong[byte_at[:-1]]) & (token_at[bounds] == byte_at)[1:]
         valid = texts.is_valid()
+        ids, bounds, same = encode_texts(vocabulary, texts.fill_null(""))
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
         return pa.StructArray.from_arrays([pa.compute.if_else(valid, lists, pa.scalar(None, lists.type)), pa.compute.if_else(valid, pa.array(same), pa.scalar(None, pa.bool_()))], names=["ids", "round_trip"])
 
