@@ -229,16 +229,23 @@ def encode_texts(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, n
         data, where, per = split_words(texts.slice(at, to - at).to_pylist())
         pieces.append(pa.Array.from_buffers(pa.binary(), len(where) - 1, [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(data)]))
         counts.append(per)
-    if not pieces:
-        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
-    coded = pa.chunked_array(pieces).dictionary_encode().unify_dictionaries()
+    full = [p for p in pieces if len(p)]
+    if not full:
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), bool)
+    coded = pa.chunked_array(full).dictionary_encode().unify_dictionaries()
     unique = coded.chunk(0).dictionary
     _, starts, data = unique.buffers()
     starts = np.frombuffer(starts, np.int32)[: len(unique) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)[: starts[-1]] if data is not None else np.zeros(0, np.uint8)
     ids, bounds = vocabulary.encode_words(data, starts)
     out, sizes, same = [], [], []
-    for piece, chunk, per in zip(pieces, coded.chunks, counts):
+    chunks = iter(coded.chunks)
+    for piece, per in zip(pieces, counts):
+        if not len(piece):
+            same.append(np.ones(len(per), bool))
+            sizes.append(np.zeros(len(per), np.int64))
+            continue
+        chunk = next(chunks)
         flat, word_at = _ragged(ids, bounds, chunk.indices.to_numpy(zero_copy_only=False))
         cut = np.concatenate([[0], np.cumsum(per)])
         byte_at = np.frombuffer(piece.buffers()[1], np.int32).astype(np.int64)[cut]
