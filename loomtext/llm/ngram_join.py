@@ -28,6 +28,8 @@ N = 2
 THRESHOLD = 0.7
 #: Signatures that a bucket aims at, and documents of one side of a verification task.
 BUCKET_SIGNATURES = 1_500_000
+#: Buckets of a size band that one task goes through: it gets a document's sketch, and reports a pair, once for all of them.
+TASK_BUCKETS = 8
 TASK_DOCS = 400
 #: Segments for each that a prober of the largest size needs: the rest is left out as empty or shared by many.
 SLACK = 1.2
@@ -186,8 +188,8 @@ def _signatures(g, rarity, doc, sizes, band, prober, ends, t):
     return of, seg, sig, flags, own, brute
 
 
-_PACKED = pa.schema([("bucket", pa.int64()), ("rid", pa.binary()), ("size", pa.binary()), ("meta", pa.binary()), ("len", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("sketch", pa.binary())])
-PACKED_DDL = "bucket long, rid binary, size binary, meta binary, len binary, low binary, high binary, sketch binary"
+_PACKED = pa.schema([("task", pa.int64()), *((c, pa.binary()) for c in ("rid", "size", "meta", "sketch", "sub", "doc", "len", "low", "high"))])
+PACKED_DDL = "task long, rid binary, size binary, meta binary, sketch binary, sub binary, doc binary, len binary, low binary, high binary"
 
 
 def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray, subs: dict[int, int], out: dict, seen: np.ndarray) -> int:
@@ -225,24 +227,27 @@ def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray
         high = ((sig[order] >> _U(32)).astype(np.uint8) & 0xF8) | flags[order]
         run = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])]))
         count = np.add.reduceat(real.astype(np.int32), run)
-        who = use[of[run]]
-        meta = (np.where(mine[of[run]], _OWN, 0) + np.where(brute[of[run]], _BRUTE, 0)).astype(np.uint8)
         low, high = low[real], high[real]
         upto = np.concatenate([[0], np.cumsum(count)])
-        runs = np.flatnonzero(np.concatenate([[True], bucket[run][1:] != bucket[run][:-1]])).tolist() + [len(run)]
+        meta = (np.where(mine, _OWN, 0) + np.where(brute, _BRUTE, 0)).astype(np.uint8)
+        task = bucket[run] // TASK_BUCKETS
+        runs = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])).tolist() + [len(run)]
         for a, b in zip(runs[:-1], runs[1:]):
-            out.setdefault(int(bucket[run[a]]), []).append(
-                (rids[who[a:b]], sizes[who[a:b]].astype(np.int32), meta[a:b], count[a:b].astype(np.int32), low[upto[a] : upto[b]], high[upto[a] : upto[b]],
-                 np.concatenate([sketch[edges[i] : edges[i + 1]] for i in of[run[a:b]].tolist()]))
+            docs, local = np.unique(of[run[a:b]], return_inverse=True)
+            out.setdefault(int(task[a]), []).append(
+                (rids[use[docs]], sizes[use[docs]].astype(np.int32), meta[docs], np.concatenate([sketch[edges[i] : edges[i + 1]] for i in docs.tolist()]),
+                 (bucket[run[a:b]] % TASK_BUCKETS).astype(np.uint8), local.astype(np.uint32), count[a:b].astype(np.int32), low[upto[a] : upto[b]], high[upto[a] : upto[b]])
             )
         n += len(low)
     return n
 
 
 def _flush(out: dict) -> pa.RecordBatch:
-    cols = [[] for _ in range(len(_PACKED))]
-    for bucket, parts in out.items():
-        cols[0].append(bucket)
+    cols = [[] for _ in _PACKED]
+    for task, parts in out.items():
+        before = np.cumsum([0, *(len(p[0]) for p in parts)])
+        parts = [(*p[:5], p[5] + np.uint32(n), *p[6:]) for p, n in zip(parts, before)]
+        cols[0].append(task)
         for i, x in enumerate(zip(*parts)):
             cols[i + 1].append(np.concatenate(x).tobytes())
     out.clear()
@@ -276,6 +281,11 @@ def _signature_batches(n: int, t: float, subs: dict[int, int]):
     return run
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return np.arange(upto[-1]) + np.repeat(start - upto[:-1], size)
+
+
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -284,16 +294,21 @@ def _candidates(t: float):
         def col(name, kind):
             return np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)])
 
-        bucket = group.column("bucket")[0].as_py()
-        rid, size, meta, count = col("rid", np.int64), col("size", np.int32), col("meta", np.uint8), col("len", np.int32)
-        low, high = col("low", np.uint32), col("high", np.uint8)
+        task = group.column("task")[0].as_py()
+        first = task % (_SUBS // TASK_BUCKETS) == 0
+        rid, size, meta = col("rid", np.int64), col("size", np.int32), col("meta", np.uint8)
         ids, local = np.unique(rid, return_inverse=True)  # equal texts have one rid: they count once
         length = np.zeros(len(ids), np.int64)
         length[local] = size
-        cells = int(_cells(np.array([bucket // _SUBS]), bands(t))[0])
+        cells = int(_cells(np.array([task * TASK_BUCKETS // _SUBS]), bands(t))[0])
         one = np.zeros(len(ids), np.int64)
         one[local] = np.arange(len(local))
         sketch = col("sketch", np.uint64).reshape(len(local), cells // 64)[one]
+        sub, count = col("sub", np.uint8), col("len", np.int32)
+        low, high = col("low", np.uint32), col("high", np.uint8)
+        before = np.cumsum([0, *(len(x.as_py()) // 8 for x in group.column("rid"))])
+        owner = local[np.concatenate([np.frombuffer(x.as_py(), np.uint32).astype(np.int64) + n for x, n in zip(group.column("doc"), before)])]
+        del group
         found: list[np.ndarray] = []
         held = 0
 
@@ -313,39 +328,42 @@ def _candidates(t: float):
                 found[:] = [np.unique(np.concatenate(found))]
                 held = 0 if len(found[0]) > 1_500_000 else len(found[0])
 
-        doc = np.repeat(local, count)
-        key = (high & 0xF8).astype(np.uint64) << _U(29) | low.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        run_len = np.diff(np.concatenate([edge, [len(key)]]))
-        edge, run_len = edge[run_len > 1], run_len[run_len > 1]
-        flag = high & 7
+        at = np.concatenate([[0], np.cumsum(count)])
 
-        def emit(i, j):
+        def emit(doc, flag, i, j):
             x, y, fx, fy = doc[i], doc[j], flag[i], flag[j]
             lx, ly = length[x], length[y]
             ok = ((fx & fy & _DEL) == 0) & ((((fx & _PROBE) > 0) & ((fy & _IDX) > 0) & (lx >= ly)) | (((fy & _PROBE) > 0) & ((fx & _IDX) > 0) & (ly >= lx)))
             add(x[ok], y[ok])
 
-        for n in np.unique(run_len).tolist():
-            starts = edge[run_len == n]
-            if n <= 512:
-                p, q = np.triu_indices(n, 1)
-                step = max(1, 1_000_000 // len(p))
-                for k in range(0, len(starts), step):
-                    s = starts[k : k + step, None]
-                    emit(order[(s + p).ravel()], order[(s + q).ravel()])
-            else:
-                for s in starts.tolist():
-                    rows = order[s : s + n]
-                    _, one = np.unique(doc[rows].astype(np.int64) << 3 | flag[rows], return_index=True)
-                    rows = rows[one]
-                    step = max(1, 1_000_000 // len(rows))
-                    for k in range(0, len(rows), step):
-                        part = rows[k : k + step]
-                        emit(np.repeat(part, len(rows)), np.tile(rows, len(part)))
-        if bucket % _SUBS == 0 and (meta & _BRUTE).any():
+        for bucket in np.unique(sub).tolist():
+            runs = np.flatnonzero(sub == bucket)
+            rows = _ranges(at[runs], count[runs])
+            doc, flag = np.repeat(owner[runs], count[runs]), high[rows] & 7
+            key = (high[rows] & 0xF8).astype(np.uint64) << _U(29) | low[rows].astype(np.uint64)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            run_len = np.diff(np.concatenate([edge, [len(key)]]))
+            edge, run_len = edge[run_len > 1], run_len[run_len > 1]
+            for n in np.unique(run_len).tolist():
+                starts = edge[run_len == n]
+                if n <= 512:
+                    p, q = np.triu_indices(n, 1)
+                    step = max(1, 1_000_000 // len(p))
+                    for k in range(0, len(starts), step):
+                        s = starts[k : k + step, None]
+                        emit(doc, flag, order[(s + p).ravel()], order[(s + q).ravel()])
+                else:
+                    for s in starts.tolist():
+                        rows = order[s : s + n]
+                        _, one = np.unique(doc[rows].astype(np.int64) << 3 | flag[rows], return_index=True)
+                        rows = rows[one]
+                        step = max(1, 1_000_000 // len(rows))
+                        for k in range(0, len(rows), step):
+                            part = rows[k : k + step]
+                            emit(doc, flag, np.repeat(part, len(rows)), np.tile(rows, len(part)))
+        if first and (meta & _BRUTE).any():
             indexed = np.unique(local[(meta & _OWN) > 0])
             for x in np.unique(local[(meta & _BRUTE) > 0]).tolist():
                 y = indexed[length[indexed] <= length[x]]
@@ -434,7 +452,7 @@ def pair_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Data
     subs = _sub_buckets(docs.select("text"), threshold)
     hashed = texts.select("rid", word_hashes(F.col("text")).alias("w"))
     packed = hashed.mapInArrow(_signature_batches(n, threshold, subs), PACKED_DDL)
-    found = packed.groupBy("bucket").applyInArrow(_candidates(threshold), "a long, b long").distinct()
+    found = packed.groupBy("task").applyInArrow(_candidates(threshold), "a long, b long").distinct()
     pairs = materialise(found, "candidates")
     ends_ = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("other")), F.struct(F.col("b").alias("rid"), F.col("a").alias("other")))).alias("x"))
     place = materialise(ends_.groupBy("x.rid").agg(F.least(F.min("x.other"), F.col("rid")).alias("home")), "places")

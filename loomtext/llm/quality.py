@@ -98,7 +98,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_start &= ~newline
     ls = np.flatnonzero(line_start)
     stop = np.flatnonzero(newline | edge[1:] | (np.arange(len(data)) == len(data) - 1)) if len(data) else ls
-    le = stop[np.searchsorted(stop, ls)] + 1 if len(ls) else ls
+    le = stop[np.searchsorted(stop, ls)] if len(ls) else ls
+    le = le + ~newline[le] if len(ls) else le
     ld = doc[ls] if len(ls) else ls
     lines = _per(ld, None, n)
     if len(ls):

@@ -62,8 +62,8 @@ def test_signatures_miss_no_pair(sets, t):
     J._packed(np.arange(len(sets)), [np.sort(J._mix(a)) for a in arrays], t, J.bands(t), {}, out, seen)
     table = pa.Table.from_batches([J._flush(out)])
     got = set()
-    for b in set(table.column("bucket").to_pylist()):
-        part = J._candidates(t)(table.filter(pa.compute.equal(table.column("bucket"), b)))
+    for b in set(table.column("task").to_pylist()):
+        part = J._candidates(t)(table.filter(pa.compute.equal(table.column("task"), b)))
         got |= set(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] != sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t}
     assert want <= got
