@@ -24,7 +24,7 @@ ORDER = 2
 DISCOUNT_TO = 5
 MIN_COUNT = 2
 #: N-grams of a batch of tasks' input that are counted at once, and n-grams that a bucket aims at.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 BUCKET_NGRAMS = 2_000_000
 START, END = "\x02", "\x03"
 _U = np.uint64
