@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomtext.plans import models, tokens
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-CATALOG: dict[str, tuple[Query, str | None]] = {}
+CATALOG = {**tokens.CATALOG, **models.CATALOG}
