@@ -93,13 +93,18 @@ def _count_batches(order: int, buckets: int):
         held, bounds, size = [], [np.zeros(1, np.int64)], 0
         for batch in batches:
             values, offsets = _lists(batch.column("w"))
-            values = values[offsets[0] : offsets[-1]]
-            held.append(values.view(_U))
-            bounds.append(np.asarray(offsets[1:] - offsets[0], np.int64) + size)
-            size += len(values)
-            if size > CHUNK:
-                yield from pack(np.concatenate(held), np.concatenate(bounds))
-                held, bounds, size = [], [np.zeros(1, np.int64)], 0
+            at = 0
+            while at < len(offsets) - 1:  # whole texts, as many as fit: a batch may hold several times CHUNK
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK - size, side="right")) - 1)
+                part = values[offsets[at] : offsets[to]].view(_U)
+                held.append(part)
+                bounds.append(np.asarray(offsets[at + 1 : to + 1] - offsets[at], np.int64) + size)
+                size += len(part)
+                at = to
+                if size >= CHUNK or at < len(offsets) - 1:
+                    yield from pack(np.concatenate(held), np.concatenate(bounds))
+                    held, bounds, size = [], [np.zeros(1, np.int64)], 0
+            held = [h.copy() for h in held]  # not the whole batch
         if size:
             yield from pack(np.concatenate(held), np.concatenate(bounds))
 
