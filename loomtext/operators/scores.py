@@ -33,13 +33,17 @@ def alpha(rows: DataFrame, value: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(m)).agg(F.round(F.first("m"), 4).alias("mean"), F.round(F.avg(F.abs(F.col(value) - F.col("m"))), 4).alias("mad"))
 
 
+def _clipped(c: Column, r: Column) -> Column:
+    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
+    return F.aggregate(F.array_distinct(c), F.lit(0), lambda acc, g: acc + F.least(count(c, g), count(r, g)))
+
+
 def bleu(candidate: Column, reference: Column, max_n: int = 4) -> Column:
     """V2: clipped n-gram precisions of one reference, geometric mean over the orders with a match, brevity penalty."""
     logs, orders = F.lit(0.0), F.lit(0)
     for n in range(1, max_n + 1):
-        c, r = ngrams(candidate, n), ngrams(reference, n)
-        count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-        hits = F.aggregate(F.array_distinct(c), F.lit(0), lambda acc, g, c=c, r=r, count=count: acc + F.least(count(c, g), count(r, g)))
+        c = ngrams(candidate, n)
+        hits = _clipped(c, ngrams(reference, n))
         logs = logs + F.when(hits > 0, F.ln(hits / F.size(c))).otherwise(0.0)
         orders = orders + F.when(hits > 0, 1).otherwise(0)
     brevity = F.when(F.size(candidate) >= F.size(reference), 1.0).otherwise(F.exp(1 - F.size(reference) / F.size(candidate)))

@@ -90,10 +90,10 @@ def _uni(method: str) -> Query:
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda c, k: F.when(c < k, "low").otherwise("high")
     features = F.create_map(F.lit("status"), F.col("l_linestatus"), F.lit("quantity"), size(F.col("l_quantity"), 25), F.lit("discount"), size(F.col("l_discount"), 0.05), F.lit("line"), F.col("l_linenumber").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_returnflag").alias("label"), features.alias("features"))
+    return table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_returnflag").alias("label"), features.alias("features"))
 
 
-_NB = """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_returnflag AS label, ['status=' || l_linestatus, 'quantity=' || CASE WHEN l_quantity < 25 THEN 'low' ELSE 'high' END,
+_NB = """WITH r AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_returnflag AS label, ['status=' || l_linestatus, 'quantity=' || CASE WHEN l_quantity < 25 THEN 'low' ELSE 'high' END,
   'discount=' || CASE WHEN l_discount < 0.05 THEN 'low' ELSE 'high' END, 'line=' || l_linenumber] AS f FROM lineitem),
 x AS (SELECT id, label, unnest(f) AS feature FROM r), c AS (SELECT label, feature, count(*) AS c FROM x GROUP BY ALL), l AS (SELECT label, count(*) AS docs FROM r GROUP BY label),
 t AS (SELECT label, sum(c) AS total FROM c GROUP BY label), v AS (SELECT count(DISTINCT feature) AS v FROM c), g AS (SELECT label, feature FROM l, (SELECT DISTINCT feature FROM c)),
@@ -171,7 +171,7 @@ SELECT l_orderkey, ref, hyp, CASE WHEN len(ref) < 3 THEN NULL WHEN len(ref) = 3
 
 
 def _spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.spearman(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"])
+    return scores.spearman(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 def _alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +242,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "tag_emissions": (lambda s, d: taggers.emission_counts(_tagged(s, d)), f"{_TAGGED} SELECT tag, word, count(*) AS n FROM tagged GROUP BY ALL"),
     "metrics_names": (_names, _NAMES),
     "metrics_segmentation": (_segments, _SEGMENTS),
-    "metrics_spearman": (_spearman, "WITH r AS (SELECT l_returnflag AS grp, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber) AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS y FROM lineitem) SELECT grp, count(*) AS n, round(1 - 6 * sum((x - y) * (x - y)::DOUBLE) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)), 6) AS rho FROM r GROUP BY grp"),
+    "metrics_spearman": (_spearman, "WITH r AS (SELECT l_returnflag AS grp, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS y FROM lineitem) SELECT grp, count(*) AS n, round(1 - 6 * sum((x - y) * (x - y)::DOUBLE) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)), 6) AS rho FROM r GROUP BY grp"),
     "metrics_kappa": (_agreement, "WITH p AS (SELECT quality::VARCHAR AS a, toxic::VARCHAR AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), n AS (SELECT count(*) AS n, avg((a = b)::INT) AS o FROM p), e AS (SELECT sum(x.c * y.c) AS e FROM (SELECT a, count(*)::DOUBLE AS c FROM p GROUP BY a) x JOIN (SELECT b, count(*)::DOUBLE AS c FROM p GROUP BY b) y ON x.a = y.b) SELECT round(o, 6) AS observed, round(e / (n * n::DOUBLE), 6) AS expected, round((o - e / (n * n::DOUBLE)) / (1 - e / (n * n::DOUBLE)), 6) AS kappa FROM n, e"),
     "bleu": (_bleu, None),
     "k_means_step": (_kmeans_step, "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cluster, v AS c FROM (SELECT * FROM v ORDER BY id LIMIT 8)) SELECT id, cluster FROM v, c QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), cluster) = 1"),
