@@ -19,7 +19,8 @@ OUT = ("source_rank", "position", "shard")
 
 
 def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """1-based rank by order within group, without one task that holds a group: order's first key must rise with bucket.
+    """1-based rank by order within group (columns without nulls), without one task that holds a group: order's first key must
+    rise with bucket.
 
     Counts by (group, bucket) become offsets; row_number runs within a bucket only.
     """
@@ -27,11 +28,11 @@ def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column]
     keys = [*group, "__bucket"]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*(group or [F.lit(1)])).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"__o_{k}") for k in keys], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    same = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys]
+    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    joined = df.join(offsets, same).withColumn(name, local.cast("bigint") + F.col("__offset"))
-    return joined.drop(*[f"__o_{k}" for k in keys], "__offset", "__bucket")
+    # plain equality of keys without nulls: the window and the join share one shuffle
+    joined = df.withColumn("__local", local).join(offsets, keys).withColumn(name, F.col("__local").cast("bigint") + F.col("__offset"))
+    return joined.drop("__local", "__offset", "__bucket")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -58,13 +59,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
         total = docs.count()
     buckets = max(1, min(1 << _BITS, total // BUCKET_ROWS))
     key = F.md5(hash_text(seed, F.col("doc_id")))
-    keyed = docs.withColumn("__key", key)
+    keyed = docs.withColumns({"__key": key, "__s": F.coalesce("source", F.lit("")), "__null": F.col("source").isNull()})
     bucket = (hex_number(F.col("__key"), _BITS // 4) * buckets / (1 << _BITS)).cast("int")
-    ranked = _ranked(keyed, ["source"], bucket, [F.col("__key"), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))], "source_rank")
+    ranked = _ranked(keyed, ["__s", "__null"], bucket, [F.col("__key"), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))], "source_rank")
     if len(known) <= CLOSED_FORM_SOURCES:
         placed = _closed_form(ranked, known)
     else:
-        sized = ranked.join(sizes.select(F.col("source").alias("__s"), F.col("n").alias("__size")), F.col("source").eqNullSafe(F.col("__s")))
+        sized = ranked.join(sizes.select(F.col("source").alias("__of"), F.col("n").alias("__size")), F.col("source").eqNullSafe(F.col("__of")))
         fraction = (2 * F.col("source_rank") - 1) / (2.0 * F.col("__size"))
         sized = sized.withColumn("__f", fraction)
         placed = _ranked(sized, [], (F.col("__f") * buckets).cast("int"), [F.col("__f"), F.col("source").asc_nulls_first()], "position").withColumn("position", F.col("position") - 1)
