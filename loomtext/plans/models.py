@@ -88,13 +88,12 @@ def _uni(method: str) -> Query:
 
 
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = lambda c, k: F.when(c < k, "low").otherwise("high")
-    features = F.create_map(F.lit("status"), F.col("l_linestatus"), F.lit("quantity"), size(F.col("l_quantity"), 25), F.lit("discount"), size(F.col("l_discount"), 0.05), F.lit("line"), F.col("l_linenumber").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_returnflag").alias("label"), features.alias("features"))
+    price, odd = F.when(F.col("o_totalprice") < 150000, "low").otherwise("high"), (F.col("o_custkey") % 3).cast("string")
+    features = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("price"), price, F.lit("customer"), odd)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"), features.alias("features"))
 
 
-_NB = """WITH r AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_returnflag AS label, ['status=' || l_linestatus, 'quantity=' || CASE WHEN l_quantity < 25 THEN 'low' ELSE 'high' END,
-  'discount=' || CASE WHEN l_discount < 0.05 THEN 'low' ELSE 'high' END, 'line=' || l_linenumber] AS f FROM lineitem),
+_NB = """WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS label, ['status=' || o_orderstatus, 'price=' || CASE WHEN o_totalprice < 150000 THEN 'low' ELSE 'high' END, 'customer=' || (o_custkey % 3)] AS f FROM orders),
 x AS (SELECT id, label, unnest(f) AS feature FROM r), c AS (SELECT label, feature, count(*) AS c FROM x GROUP BY ALL), l AS (SELECT label, count(*) AS docs FROM r GROUP BY label),
 t AS (SELECT label, sum(c) AS total FROM c GROUP BY label), v AS (SELECT count(DISTINCT feature) AS v FROM c), g AS (SELECT label, feature FROM l, (SELECT DISTINCT feature FROM c)),
 m AS (SELECT label, feature, ln((coalesce(c, 0) + 1.0) / (total + 1.0 * v)) AS logp FROM g LEFT JOIN c USING (label, feature) JOIN t USING (label), v),
