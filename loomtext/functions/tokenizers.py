@@ -136,7 +136,7 @@ def spans(text: Column, pattern: str) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Contiguous n-grams; none of shorter arrays."""
+    """Contiguous n-grams; none of shorter arrays. tokens: a plain column; an expression would be evaluated for each n-gram."""
     count = F.size(tokens) - n + 1
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(tokens, i, n))).otherwise(F.slice(F.array(tokens), 1, 0))
 

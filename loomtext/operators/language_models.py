@@ -14,7 +14,7 @@ def padded(tokens: Column, order: int) -> Column:
 
 def fit(docs: DataFrame, tokens: Column, order: int = 2) -> DataFrame:
     """L1: context (array), word, count; each text is one sentence."""
-    g = docs.select(F.explode(ngrams(padded(tokens, order), order)).alias("g"))
+    g = docs.select(padded(tokens, order).alias("t")).select(F.explode(ngrams(F.col("t"), order)).alias("g"))
     return g.select(F.slice("g", 1, order - 1).alias("context"), F.element_at("g", -1).alias("word")).groupBy("context", "word").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -40,7 +40,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ngrams(n: int) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         w = F.lower(F.col("text"))
-        g = documents(spark, sf_dir).select(F.explode(tokenizers.ngrams(tokenizers.words(w), n)).alias("g"))
+        g = documents(spark, sf_dir).select(tokenizers.words(w).alias("t")).select(F.explode(tokenizers.ngrams(F.col("t"), n)).alias("g"))
         return g.groupBy(F.array_join("g", " ").alias("ngram")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
     return query
@@ -54,7 +54,8 @@ SELECT ngram, count(*) AS n FROM g GROUP BY ngram HAVING count(*) > 1"""
 
 def _everygrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tokenizers.pad(tokenizers.words(F.lower(F.col("text"))), 2)
-    return documents(spark, sf_dir).select("doc_id", F.size(tokenizers.everygrams(p, 1, 2)).cast("bigint").alias("n"), F.size(F.array_distinct(tokenizers.everygrams(p, 1, 2))).cast("bigint").alias("kinds"))
+    g = documents(spark, sf_dir).select("doc_id", p.alias("t")).select("doc_id", tokenizers.everygrams(F.col("t"), 1, 2).alias("g"))
+    return g.select("doc_id", F.size("g").cast("bigint").alias("n"), F.size(F.array_distinct("g")).cast("bigint").alias("kinds"))
 
 
 def _stemmed(stem: Callable[[Column], Column]) -> Query:
