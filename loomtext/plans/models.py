@@ -242,6 +242,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "metrics_names": (_names, _NAMES),
     "metrics_segmentation": (_segments, _SEGMENTS),
     "metrics_spearman": (_spearman, "WITH r AS (SELECT l_returnflag AS grp, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS y FROM lineitem) SELECT grp, count(*) AS n, round(1 - 6 * sum((x - y) * (x - y)::DOUBLE) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)), 6) AS rho FROM r GROUP BY grp"),
+    "metrics_deviation": (_alpha, "WITH m AS (SELECT avg(o_totalprice) AS m FROM orders) SELECT round(any_value(m), 4) AS mean, round(avg(abs(o_totalprice - m)), 4) AS mad FROM orders, m"),
     "metrics_kappa": (_agreement, "WITH p AS (SELECT quality::VARCHAR AS a, toxic::VARCHAR AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), n AS (SELECT count(*) AS n, avg((a = b)::INT) AS o FROM p), e AS (SELECT sum(x.c * y.c) AS e FROM (SELECT a, count(*)::DOUBLE AS c FROM p GROUP BY a) x JOIN (SELECT b, count(*)::DOUBLE AS c FROM p GROUP BY b) y ON x.a = y.b) SELECT round(o, 6) AS observed, round(e / (n * n::DOUBLE), 6) AS expected, round((o - e / (n * n::DOUBLE)) / (1 - e / (n * n::DOUBLE)), 6) AS kappa FROM n, e"),
     "bleu": (_bleu, None),
     "k_means_step": (_kmeans_step, "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cluster, v AS c FROM (SELECT * FROM v ORDER BY id LIMIT 8)) SELECT id, cluster FROM v, c QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), cluster) = 1"),
