@@ -1,8 +1,8 @@
 """Operator 1, toxicity: the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index;
 their distance-weighted votes, calibrated by isotonic regression on leave-one-out votes, are score and evidence.
 
-The terms are the words that tell the labels apart (likelihood-ratio test on a bounded labelled sample, in which near
-copies count once); their document frequencies are counted over all documents.
+The terms are all words of the labelled examples; their document frequencies are counted over all documents. Words that
+tell the labels apart (likelihood-ratio test on the examples, in which near copies count once) weigh LEAD times as much.
 """
 
 from __future__ import annotations
@@ -21,16 +21,22 @@ from pyspark.sql import types as T
 from loomtext.llm.common import free, materialise, table
 from loomtext.llm.quality import isotonic, labelled_sample
 
-#: Labelled rows in the index at most (chosen by a hash of the id), terms at most, and the test that a term must pass.
+#: Labelled rows in the index at most (chosen by a hash of the id), and the test of a term that weighs LEAD times its TF-IDF.
 EXAMPLES = 12_000
-MAX_TERMS = 4096
 MIN_G2 = 24.0
 MIN_EXAMPLES = 3
+LEAD = 30.0
 NEIGHBOURS = 15
 #: Added to a neighbour's distance before its vote is 1 / distance.
 SOFTEN = 0.02
 TOXIC_FROM = 0.5
 BLOCK = 64
+#: Blocks that are evaluated one by one; a text for which bounds leave more is compared with all examples at once, TEXTS
+#: texts together, the FREQUENT most frequent terms as a matrix.
+FEW_BLOCKS = 6
+TEXTS = 128
+FREQUENT = 512
+ROUNDING = 1e-4
 SEED = 23
 _WORD = re.compile(r"[^\W_]+")
 
@@ -57,55 +63,136 @@ def _example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def _joined(starts: np.ndarray, keys: np.ndarray, values: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of some terms one after another, with their values times the term's weight."""
+    size = starts[terms + 1] - starts[terms]
+    at = np.arange(size.sum()) + np.repeat(starts[terms] - np.cumsum(size) + size, size)
+    return keys[at], values[at] * np.repeat(weights, size)
+
+
+@dataclass
+class Tables:
+    """An index by term: the postings of each, a matrix of the FREQUENT most frequent ones, and its highest weight in each block."""
+
+    posted: np.ndarray
+    rows: np.ndarray
+    values: np.ndarray
+    column: np.ndarray
+    matrix: np.ndarray
+    top_starts: np.ndarray
+    top_blocks: np.ndarray
+    top: np.ndarray
+    query: np.ndarray
+
+    @classmethod
+    def of(cls, index: Index) -> Tables:
+        n, terms = len(index.ids), len(index.idf)
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(index.starts))
+        by = np.argsort(index.columns, kind="stable").astype(np.int32)
+        size = np.bincount(index.columns, minlength=terms)
+        posted, rows, values = np.concatenate([[0], np.cumsum(size)]), row[by], index.weights[by]
+        frequent = np.argsort(-size, kind="stable")[:FREQUENT]
+        column, matrix = np.full(terms, -1, np.int32), np.zeros((len(frequent), n), np.float32)
+        column[frequent] = np.arange(len(frequent))
+        for i, t in enumerate(frequent.tolist()):
+            matrix[i, rows[posted[t] : posted[t + 1]]] = values[posted[t] : posted[t + 1]]
+        term, block = index.columns[by], rows // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        top_starts = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=terms))])
+        return cls(posted, rows, values, column, matrix, top_starts, block[first], np.maximum.reduceat(values, first), np.zeros(terms))
+
+
 @dataclass
 class Index:
-    """Examples' unit vectors by term, in blocks of BLOCK; ``top[t, b]`` bounds any weight of term t in block b."""
+    """Examples' unit vectors, in blocks of BLOCK; ``top`` bounds the weights of a term in a block."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # by term; times LEAD for those that tell the labels apart
     ids: np.ndarray
     toxic: np.ndarray
     starts: np.ndarray
     columns: np.ndarray
     weights: np.ndarray
-    top: np.ndarray
     base: float  # share of toxic ones among the examples without a term
     steps: np.ndarray
     values: np.ndarray
+    tables: Tables | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}  # every worker makes its own
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in t.tolist()], float))) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
+        return t, self.unit(t, np.array([counts[i] for i in t.tolist()], float))
+
+    def unit(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(tf)) * self.idf[terms]
+        return w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k nearest examples with a cosine above 0, nearest first, smaller ids first in ties."""
-        bound = weights @ self.top[terms]
+        return self.all_nearest([(terms, weights)], k, [without])[0]
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each vector."""
+        without = without or [-1] * len(vectors)
+        if not len(self.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        self.tables = tables = self.tables or Tables.of(self)
+        # bounds say little where no term outweighs the others
+        out: list = [self._by_blocks(tables, *v, k, x) if v[1].max() > 0.5 else None for v, x in zip(vectors, without)]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(rest), TEXTS):
+            some = rest[at : at + TEXTS]
+            frequent = np.zeros((len(some), len(tables.matrix)), np.float32)
+            for j, i in enumerate(some):
+                t, w = vectors[i]
+                column = tables.column[t]
+                frequent[j, column[column >= 0]] = w[column >= 0]
+            dots = frequent @ tables.matrix
+            for j, i in enumerate(some):
+                t, w = vectors[i]
+                rare = tables.column[t] < 0
+                at_rows, values = _joined(tables.posted, tables.rows, tables.values, t[rare], w[rare])
+                near = dots[j] + np.bincount(at_rows, values, len(self.ids)).astype(np.float32)
+                # one more, as without may be among them; what is short of the last by less than the rounding of 32 bits is computed anew
+                least = np.partition(near, -k - 1)[-k - 1] - ROUNDING if len(near) > k else 0.0
+                rows = np.flatnonzero(near >= least)
+                size = self.starts[rows + 1] - self.starts[rows]
+                ends = np.cumsum(size)
+                at_ = np.arange(ends[-1]) + np.repeat(self.starts[rows] - ends + size, size)
+                tables.query[t] = w
+                exact = np.add.reduceat(tables.query[self.columns[at_]] * self.weights[at_], ends - size)
+                tables.query[t] = 0
+                out[i] = self._best(rows, exact, k, without[i])
+        return out
+
+    def _best(self, rows: np.ndarray, cosines: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        cosines = np.where(rows == without, 0, cosines.round(9))
+        ok = np.flatnonzero(cosines >= max(1e-9, np.partition(cosines, -k)[-k] if len(cosines) > k else 0))
+        best = ok[np.lexsort((self.ids[rows[ok]], -cosines[ok]))[:k]]
+        return rows[best], cosines[best]
+
+    def _by_blocks(self, tables: Tables, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """None if more than FEW_BLOCKS blocks may hold one of the k nearest."""
+        blocks, values = _joined(tables.top_starts, tables.top_blocks, tables.top, terms, weights)
+        bound = np.bincount(blocks, values, (len(self.ids) + BLOCK - 1) // BLOCK)
         order = np.argsort(-bound, kind="stable")
-        query = np.zeros(len(self.idf))
-        query[terms] = weights
+        tables.query[terms] = weights
         rows, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        step = 1
-        at = 0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= kth - 1e-9:
-            blocks = order[at : at + step]
-            blocks = blocks[bound[blocks] > 0]
-            at += step
-            step *= 2
-            for b in blocks.tolist():
-                lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-                s, e = self.starts[lo], self.starts[hi]
-                each = np.repeat(np.arange(hi - lo), np.diff(self.starts[lo : hi + 1]))
-                got = np.bincount(each, query[self.columns[s:e]] * self.weights[s:e], hi - lo).round(9)
-                ok = np.flatnonzero((got > 0) & (np.arange(lo, hi) != without))
-                rows, cosines = np.concatenate([rows, ok + lo]), np.concatenate([cosines, got[ok]])
-            if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -cosines))[:k]
-                rows, cosines = rows[best], cosines[best]
-            if len(rows) == k:
-                kth = cosines.min()
-        best = np.lexsort((self.ids[rows], -cosines))[:k]
-        return rows[best], cosines[best]
+        for n, b in enumerate(order.tolist()):
+            if bound[b] <= 0 or bound[b] < kth - 2e-9:
+                break
+            if n == FEW_BLOCKS or (n == 1 and bound[order[min(FEW_BLOCKS, len(order) - 1)]] >= max(kth, 1e-9) and len(order) > FEW_BLOCKS):
+                rows = None
+                break
+            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
+            s, e = self.starts[lo], self.starts[hi]
+            got = np.add.reduceat(tables.query[self.columns[s:e]] * self.weights[s:e], self.starts[lo:hi] - s)
+            rows, cosines = self._best(np.append(rows, np.arange(lo, hi)), np.append(cosines, got), k, without)
+            kth = cosines.min() if len(rows) == k else 0.0
+        tables.query[terms] = 0
+        return None if rows is None else (rows, cosines)
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         if not len(rows):
@@ -120,23 +207,35 @@ class Index:
 
 
 def build(ids: np.ndarray, toxic: np.ndarray, counts: list[dict[int, int]], vocabulary: dict[str, int], idf: np.ndarray, k: int = NEIGHBOURS) -> Index:
-    has = np.array([bool(c) for c in counts], bool)
+    terms = np.array([t for c in counts for t in sorted(c)], np.int64)
+    tf = np.array([c[t] for c in counts for t in sorted(c)], np.int64)
+    return assemble(ids, toxic, np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int64), terms, tf, vocabulary, idf, k)
+
+
+def assemble(ids: np.ndarray, toxic: np.ndarray, starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, vocabulary: dict[str, int], idf: np.ndarray, k: int) -> Index:
+    """As ``build``; example i has the terms and frequencies from starts[i] to starts[i + 1]."""
+    size = np.diff(starts)
+    has = size > 0
     base = (float(toxic[~has].sum()) + 0.5 * float(toxic.mean()) if len(toxic) else 0.0) / ((~has).sum() + 0.5 if len(toxic) else 1)
-    index = Index(vocabulary, idf, ids, toxic, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(idf), 0)), base, np.zeros(1), np.zeros(1))
+    index = Index(vocabulary, idf, ids, toxic, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), base, np.zeros(1), np.zeros(1))
     use = np.flatnonzero(has)
-    vectors = [index.vector(counts[i]) for i in use.tolist()]
+    weights = np.zeros(len(terms))
+    lead = []
+    for i in use.tolist():
+        at = slice(starts[i], starts[i + 1])
+        weights[at] = index.unit(terms[at], tf[at])
+        lead.append(int(terms[at][np.argmax(weights[at])]))
     # neighbours in the order share their heaviest term, so a block's bounds are tight
-    lead = [(int(t[np.argmax(w)]), int(ids[i])) for (t, w), i in zip(vectors, use.tolist())]
-    order = sorted(range(len(use)), key=lambda j: lead[j])
-    vectors = [vectors[j] for j in order]
-    index.ids, index.toxic = ids[use[order]], toxic[use[order]].astype(float)
-    index.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
-    if vectors:
-        index.columns, index.weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
-        row = np.repeat(np.arange(len(vectors)), np.diff(index.starts))
-        index.top = np.zeros((len(idf), (len(vectors) + BLOCK - 1) // BLOCK))
-        np.maximum.at(index.top, (index.columns, row // BLOCK), index.weights)
-        votes = np.array([index.vote(*index.nearest(t, w, k, without=i)) for i, (t, w) in enumerate(vectors)])
+    use = use[np.lexsort((ids[use], np.array(lead, np.int64)))]
+    index.ids, index.toxic = ids[use], toxic[use].astype(float)
+    index.starts = np.concatenate([[0], np.cumsum(size[use])]).astype(np.int64)
+    if len(use):
+        at = np.arange(index.starts[-1]) + np.repeat(starts[use] - index.starts[:-1], size[use])
+        index.columns, index.weights = terms[at].astype(np.int32), weights[at]
+        del at, weights
+        own = [slice(i, j) for i, j in zip(index.starts[:-1].tolist(), index.starts[1:].tolist())]
+        votes = np.array([index.vote(*x) for x in index.all_nearest([(index.columns[x], index.weights[x]) for x in own], k, list(range(len(own))))])
+        index.tables = None
         known = votes >= 0
         if known.any():
             index.steps, index.values = isotonic(votes[known], index.toxic[known])
@@ -159,15 +258,16 @@ def _g2(a: np.ndarray, n: np.ndarray, toxic: float, total: float) -> np.ndarray:
 
 def _document_frequencies(vocabulary: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(vocabulary), np.int64)
-        n = 0
+        seen = np.zeros(len(vocabulary) + 1, np.int64)  # last: all documents
         for b in batches:
-            for text in b.column("text").to_pylist():
-                n += 1
-                hits = set(terms_of(text or "")) & vocabulary.keys()
-                for t in hits:
-                    seen[vocabulary[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(seen)), pa.int64()), pa.array(np.concatenate([[n], seen]), pa.int64())], names=["t", "n"])
+            for texts in (b.column("text").slice(i, 512) for i in range(0, len(b), 512)):
+                hits = []
+                for text in texts.to_pylist():
+                    hits += map(vocabulary.get, vocabulary.keys() & set(terms_of(text or "")))
+                seen += np.bincount(np.array(hits, np.int64), minlength=len(seen))
+                seen[-1] += len(texts)
+        t = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(seen[t], pa.int64())], names=["t", "n"])
 
     return run
 
@@ -177,27 +277,34 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = N
     found = labelled_sample(docs, labels, "toxic", examples, seed).filter(F.col("text").isNotNull())
     found = materialise(found.mapInArrow(_example_batches, "doc_id long, y double, terms array<string>, tf array<int>, prints array<long>"), "examples")
     # the sample is bounded: so is what follows on the driver
-    heads = found.select("doc_id", "y", "prints").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    data = found.toArrow().combine_chunks()
+    heads = data.select(["doc_id", "y", "prints"]).to_pandas()
+    heads["prints"] = heads.prints.map(tuple)
+    heads = heads.sort_values(["doc_id", "prints"], kind="stable").drop_duplicates("doc_id")
+    data = data.select(["terms", "tf"]).take(pa.array(heads.index.to_numpy()))
+    ids, toxic = heads.doc_id.to_numpy(np.int64), heads.y.to_numpy(float)
+    lone = heads
     for i in range(4):
-        heads = heads.loc[~heads.prints.str[i].duplicated()]
-    if not 0 < heads.y.sum() < len(heads):
+        lone = lone.loc[~lone.prints.str[i].duplicated()]
+    if not 0 < lone.y.sum() < len(lone):
         return None
-    kept = docs.sparkSession.createDataFrame(heads[["doc_id"]])
-    lone = found.dropDuplicates(["doc_id"]).join(F.broadcast(kept), "doc_id")
-    per = lone.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("a")).filter((F.col("n") >= MIN_EXAMPLES) & (F.col("a") >= MIN_EXAMPLES) & (F.col("a") * len(heads) > F.col("n") * float(heads.y.sum())))
-    per = per.toPandas()
-    per["g2"] = _g2(per.a.to_numpy(float), per.n.to_numpy(float), float(heads.y.sum()), float(len(heads)))
-    chosen = per[per.g2 >= min_g2].sort_values(["g2", "t"], ascending=[False, True]).head(MAX_TERMS)
-    vocabulary = {t: i for i, t in enumerate(sorted(chosen.t))}
-    rows = docs.select("text").mapInArrow(_document_frequencies(vocabulary), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    lists = data.column("terms").combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    vocabulary = {t: i for i, t in enumerate(sorted(names))}
+    column = np.array([vocabulary[t] for t in names], np.int32)[coded.indices.to_numpy()] if names else np.zeros(0, np.int32)
+    tf = data.column("tf").combine_chunks().flatten().to_numpy()
+    del data, lists, coded, names
+    y = np.repeat(toxic, np.diff(starts))
+    once = np.repeat(heads.doc_id.isin(lone.doc_id).to_numpy(), np.diff(starts))
+    n, a = (np.bincount(column[once], x, len(vocabulary)) for x in (None, y[once]))
+    tells = (a >= MIN_EXAMPLES) & (_g2(a, n.astype(float), float(lone.y.sum()), float(len(lone))) >= min_g2)
+    rows = docs.select("text").mapInArrow(_document_frequencies(vocabulary), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(vocabulary) + 1)
-    for r in rows:
-        df[r.t] = r.n  # t = -1: all documents
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    words = F.transform(F.filter(F.arrays_zip("terms", "tf"), lambda x: x["terms"].isin(list(vocabulary) or [""])), lambda x: x)
-    data = found.dropDuplicates(["doc_id"]).select("doc_id", "y", words.alias("w")).toPandas().sort_values("doc_id")
-    counts = [{vocabulary[x["terms"]]: int(x["tf"]) for x in w if x["terms"] in vocabulary} for w in data.w]
-    return build(data.doc_id.to_numpy(np.int64), data.y.to_numpy(float), counts, vocabulary, idf, k)
+    df[rows.column("t").to_numpy()] = rows.column("n").to_numpy()
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.where(tells, LEAD, 1.0)
+    return assemble(ids, toxic, starts, column, tf, vocabulary, idf, k)
 
 
 _RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.ArrayType(T.IntegerType()))])
@@ -206,15 +313,15 @@ _RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("i
 def _scorer(index: Index, k: int):
     @F.arrow_udf(_RESULT)
     def score(texts: pa.Array) -> pa.Array:
-        get, known, out = index.vocabulary.get, {}, []
-        for text in texts.to_pylist():
-            hits = [t for t in map(get, terms_of(text or "")) if t is not None]
-            counts = Counter(hits)
-            key = tuple(sorted(counts.items()))
-            if key not in known:
-                rows, cosines = index.nearest(*index.vector(counts), k) if counts else (np.zeros(0, np.int64), np.zeros(0))
-                known[key] = (index.calibrated(index.vote(rows, cosines)), index.ids[rows].tolist(), cosines.tolist(), index.toxic[rows].astype(int).tolist())
-            out.append(known[key])
+        get, known = index.vocabulary.get, {}
+        texts = [x or "" for x in texts.to_pylist()]
+        distinct = list(dict.fromkeys(texts))
+        for at in range(0, len(distinct), TEXTS):
+            some = {x: c for x in distinct[at : at + TEXTS] if (c := Counter(t for t in map(get, terms_of(x)) if t is not None))}
+            for x, (rows, cosines) in zip(some, index.all_nearest([index.vector(c) for c in some.values()], k)):
+                known[x] = (index.calibrated(index.vote(rows, cosines)), index.ids[rows].tolist(), cosines.tolist(), index.toxic[rows].astype(int).tolist())
+        none = (index.calibrated(-1.0), [], [], [])
+        out = [known.get(x, none) for x in texts]
         s, i, c, y = zip(*out) if out else ((), (), (), ())
         return pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(i, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.int32()))], names=["score", "ids", "cosines", "toxic"])
 
@@ -225,8 +332,8 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int =
     """The columns of docs and toxicity (calibrated probability), toxic (>= TOXIC_FROM), evidence (nearest examples first:
     ids, their cosines, their labels).
 
-    Every document is a query over its whole text. One without any of the terms has no neighbour: empty evidence and the
-    rate of such examples. A labelled document finds itself, its label is part of the evidence. Nulls: a null text counts
+    Every document is a query over its whole text; words that no example has are left out of its length. One without any
+    word of the examples has no neighbour: empty evidence and the rate of such examples. A labelled document finds itself, its label is part of the evidence. Nulls: a null text counts
     as empty; labels with null ids or values are left out, several of one id vote. Without examples of both kinds toxicity
     is null and toxic false. Ties among neighbours go to the smaller id, repeated rows get equal results. An empty
     table gives an empty table. Columns that are already called toxicity, toxic or evidence_* become *_in.

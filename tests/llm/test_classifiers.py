@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -88,3 +90,40 @@ def test_statistics_by_hand():
     assert row["repeats_previous"] == pytest.approx(2 / 8)
     assert row["distinct_lines"] == pytest.approx(2 / 3)
     assert row["distinct_words"] == pytest.approx(4 / 8)
+
+
+def test_all_words_of_the_examples_are_terms(spark, make_docs, words):
+    """Clean documents have no word that tells the labels apart; their neighbours are those of a brute force over all words."""
+    docs, labels, texts, rows = labelled(spark, make_docs, words)
+    index = toxicity.fit(docs, labels.filter("doc_id < 250"))
+    seen = [Counter(toxicity.terms_of(t)) for t in texts]
+    assert set(index.vocabulary) == {t for c in seen[:250] for t in c}
+    df = Counter(t for c in seen for t in c)
+    plain = {t: np.log((1 + len(texts)) / (1 + df[t])) + 1 for t in index.vocabulary}
+    factor = {t: index.idf[i] / plain[t] for t, i in index.vocabulary.items()}
+    assert {round(x, 6) for x in factor.values()} == {1, toxicity.LEAD} and round(factor["idiot"], 6) == toxicity.LEAD
+
+    def vector(c):
+        v = {t: (1 + np.log(n)) * plain[t] * factor[t] for t, n in c.items() if t in plain}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = [vector(c) for c in seen]
+    got = {r.doc_id: r for r in toxicity.score(docs, labels.filter("doc_id < 250")).collect()}
+    for q in range(250, 400, 7):
+        cosines = [(-round(sum(x * v.get(t, 0) for t, x in vectors[q].items()), 9), i) for i, v in enumerate(vectors[:250])]
+        want = sorted(x for x in cosines if x[0] < 0)[: toxicity.NEIGHBOURS]
+        assert got[q].evidence_ids == [i for _, i in want] and got[q].evidence_cosines == pytest.approx([-c for c, _ in want], abs=1e-8)
+
+
+def test_bounds_leave_out_no_neighbour(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, terms = 900, 60
+    counts = [{int(t): 1 for t in rng.choice(terms, 3, replace=False)} for _ in range(n)]
+    idf = np.where(np.arange(terms) < 20, toxicity.LEAD, 1.0)
+    index = toxicity.build(np.arange(n), rng.integers(0, 2, n).astype(float), counts, {}, idf)
+    vectors = [index.vector(c) for c in counts[:200]]
+    few = index.all_nearest(vectors, 15)
+    monkeypatch.setattr(toxicity, "FEW_BLOCKS", 0)
+    for (a, x), (b, y) in zip(few, index.all_nearest(vectors, 15)):
+        assert a.tolist() == b.tolist() and x == pytest.approx(y)
