@@ -10,6 +10,7 @@ CATALOG = {
     "op5_embedding_dedup": (embedding_dedup.query, embedding_dedup.SQL),
     "op6_bpe": (bpe.query, None),
     "op7_katz": (katz.query, katz.SQL),
+    "katz_3": (katz.query_3, None),
     "op8_mixing": (mixing.query, mixing.SQL),
     "op9_quality": (quality.query, None),
     "op10_media": (media.query, None),

@@ -22,7 +22,7 @@ from loomtext.llm.ngram_join import _lists, _mix, words
 ORDER = 2
 #: Counts above DISCOUNT_TO keep their mass; n-grams of two words or more that occur less than MIN_COUNT times back off.
 DISCOUNT_TO = 5
-MIN_COUNT = 2
+MIN_COUNT = 1
 #: N-grams of a batch of tasks' input that are counted at once, and n-grams that a bucket aims at.
 CHUNK = 1_500_000
 BUCKET_NGRAMS = 2_000_000
@@ -297,9 +297,13 @@ def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return rows.withColumn("__key", F.when(F.col(text).isNotNull(), key)).join(sums.withColumnRenamed("key", "__key"), "__key", "left").select(*rows.columns, "n_tokens", "logprob", "n_backed_off")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, order: int = ORDER) -> DataFrame:
     """All turns of all conversations under a model of all documents."""
-    return score(table(spark, sf_dir, "conversations"), fit(table(spark, sf_dir, "documents"))).drop("role", "text")
+    return score(table(spark, sf_dir, "conversations"), fit(table(spark, sf_dir, "documents"), order)).drop("role", "text")
+
+
+def query_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(spark, sf_dir, 3)
 
 
 def _d(order: int) -> str:

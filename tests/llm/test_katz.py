@@ -86,3 +86,13 @@ def test_cases(spark, make_docs, clashing):
 
 def test_discounts_fall_back():
     assert katz.discounts([0] * 6, 5) == [(r - 0.5) / r for r in range(1, 6)]
+
+
+def test_ngrams_that_occur_once_are_found(spark, make_docs):
+    """Every bigram of the corpus is in the model, however rare, and the count 1 is discounted."""
+    corpus = ["a b c d", "a b e", "f g", "c c c a"]
+    score, _, grams = brute(corpus, 2)
+    assert min(grams[2].values()) == 1
+    rows = katz.score(make_docs(corpus), katz.fit(make_docs(corpus))).orderBy("doc_id").collect()
+    assert [r.n_backed_off for r in rows] == [0] * 4
+    assert [r.logprob for r in rows] == pytest.approx([score(t)[0] for t in corpus], abs=1e-5)
