@@ -33,8 +33,8 @@ class Grammar:
             raise ValueError("a grammar needs a production")
         return cls(out[0][0], tuple(out))
 
-    def trees(self, words: list[str], most: int = 1000) -> list[str]:
-        """All trees of the words as bracket strings, at most ``most``; none if there is no parse.
+    def trees(self, words: list[str], most: int | None = None) -> list[str]:
+        """All trees of the words as bracket strings, of a span at most ``most`` if that is given; none if there is no parse.
 
         Spans are parsed once each. A unit cycle (A to B to A) is followed once round.
         """

@@ -43,8 +43,9 @@ P -> 'F' | 'O' | 'P'"""
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order states by customer as short sentences."""
-    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list("o_orderstatus")), 1, 6).alias("w"))
+    """The states of all orders of a customer, by order key, as a sentence."""
+    orders = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(orders["o_orderstatus"].alias("w"))
     return rows.select("o_custkey", F.explode(arrow.parses(F.col("w"), GRAMMAR)).alias("tree"))
 
 
