@@ -193,7 +193,7 @@ def _kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return clustering.k_means(v, 8, 10)
+    return clustering.k_means(v, 8)
 
 
 _P = "(SELECT sum(count) FROM fd)::DOUBLE"
