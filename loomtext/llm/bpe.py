@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import free, table
+from loomtext.llm.common import guarded, released, table
 
 #: A file of base64 tokens and ranks; the split pattern is that of GPT-2's vocabulary.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -263,6 +263,7 @@ def _encoder(vocabulary: Vocabulary):
     def encode(texts: pa.Array) -> pa.Array:
         valid = texts.is_valid()
         ids, bounds, same = encode_texts(vocabulary, texts.fill_null(""))
+        released()
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
         return pa.StructArray.from_arrays([pa.compute.if_else(valid, lists, pa.scalar(None, lists.type)), pa.compute.if_else(valid, pa.array(same), pa.scalar(None, pa.bool_()))], names=["ids", "round_trip"])
 
@@ -274,17 +275,18 @@ def encode(docs: DataFrame, ranks: str = RANKS, text: str = "text") -> DataFrame
 
     Nulls: a null text has null ids, n_tokens and round_trip; an empty one no ids. Strings that look like special tokens are
     ordinary text. Equal rows get equal ids; an empty table gives an empty table. Columns called ids, n_tokens or
-    round_trip become *_in. The vocabulary is read once, on the driver.
+    round_trip become *_in, any other name is left alone. Very long texts are encoded whole. The vocabulary is read once, on the driver.
     """
-    docs = free(docs, "ids", "n_tokens", "round_trip")
-    got = docs.withColumn("__b", _encoder(Vocabulary.load(ranks))(F.col(text)))
-    return got.select(*docs.columns, F.col("__b.ids").alias("ids"), F.when(F.col("__b.ids").isNotNull(), F.size("__b.ids")).alias("n_tokens"), F.col("__b.round_trip").alias("round_trip"))
+    g = guarded(docs, [text], ("ids", "n_tokens", "round_trip"))
+    got = g.rows.withColumn("found", _encoder(Vocabulary.load(ranks))(F.col(f"`{text}`")))
+    ids = F.col("found.ids")
+    return g.restored(got, ids.alias("ids"), F.when(ids.isNotNull(), F.size(ids)).alias("n_tokens"), F.col("found.round_trip").alias("round_trip"))
 
 
 def decode(tokens: DataFrame, ranks: str = RANKS, ids: str = "ids") -> DataFrame:
     """The columns of tokens and decoded: the ids' text. Null ids give null, no ids the empty text, and bytes that aren't
     UTF-8 the replacement character; an id that the vocabulary lacks or a null one raises. decoded becomes decoded_in."""
-    tokens = free(tokens, "decoded")
+    g = guarded(tokens, [ids], ["decoded"])
     vocabulary = Vocabulary.load(ranks)
 
     @F.arrow_udf("string")
@@ -298,7 +300,7 @@ def decode(tokens: DataFrame, ranks: str = RANKS, ids: str = "ids") -> DataFrame
         data = data.tobytes()
         return pa.array([data[a:b].decode(errors="replace") if ok else None for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())], pa.string())
 
-    return tokens.withColumn("decoded", back(F.col(ids)))
+    return g.restored(g.rows, back(F.col(f"`{ids}`")).alias("decoded"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

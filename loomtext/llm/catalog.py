@@ -14,4 +14,5 @@ CATALOG = {
     "op8_mixing": (mixing.query, mixing.SQL),
     "op9_quality": (quality.query, None),
     "op10_media": (media.query, None),
+    "media_planted": (media.planted, media.PLANTED_SQL),
 }

@@ -29,14 +29,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     A conversation is the turns of a conv_id ordered by turn (null first), then role and text; its prefix hash after each turn is a
     running sum of hashes of (position, role, text), two of 64 bits. A conversation goes if all of it is a proper
-    prefix of a longer one; of equal ones the smallest conv_id stays. The hashes alone are joined, texts are
-    shuffled once, by conv_id, and only turns of maximal conversations are rendered.
+    prefix of a longer one; of equal ones the smallest conv_id stays. Only hashes are joined. Texts are shuffled by conv_id, to
+    be hashed in order and, those of maximal conversations, to be rendered.
 
     Nulls: rows with a null conv_id are one conversation (conv_id null, smaller than any other); a null role is rendered
     as user, a null text as empty, yet neither equals an explicit one. Repeated rows are repeated turns. An empty table
-    gives an empty table. Only conv_id, turn, role and text are used: other columns may have any name.
+    gives an empty table. Very long texts are hashed and rendered whole. Only conv_id, turn, role and text are used: other columns may have any name.
     """
-    turns = turns.select("conv_id", "turn", "role", "text").withColumn("__conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    turns = turns.select("conv_id", "turn", "role", "text").withColumn("__conv", F.concat(F.lit("c"), F.col("conv_id").cast("string"))).fillna("", ["__conv"])
     order = Window.partitionBy(*_KEY).orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = turns.withColumn("__pos", F.row_number().over(order))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

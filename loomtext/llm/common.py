@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def free(df: DataFrame, *names: str) -> DataFrame:
-    """Renames input columns that clash with output columns: ``x`` becomes ``x_in``, ``x_in_in``, ..."""
-    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
-    out, clash = [], {n.lower() for n in names}
-    for c in df.columns:
+@dataclass
+class Guarded:
+    """Rows of an operator under names that can't clash with its own: see ``guarded``."""
+
+    rows: DataFrame
+    names: list[tuple[str, str]]
+
+    def restored(self, df: DataFrame, *results: Column) -> DataFrame:
+        return df.select(*[F.col(inner).alias(outer) for inner, outer in self.names], *results)
+
+    @property
+    def columns(self) -> list[str]:
+        return [inner for inner, _ in self.names]
+
+
+def guarded(df: DataFrame, needed: Sequence[str], results: Sequence[str]) -> Guarded:
+    """The columns in ``needed`` keep their names, all others get ones that no operator uses (``in_0_``, ...), whatever they
+    were called. ``restored`` brings the names back; those that clash with ``results`` become ``x_in``, ``x_in_in``, ..."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in results}
+    clash = {n.lower() for n in results}
+    keep = {n.lower(): n for n in needed}
+    inner, outer = [], []
+    for i, c in enumerate(df.columns):
+        inner.append(keep.pop(c.lower(), f"in_{i}_"))
         new = c
         if c.lower() in clash:
             while new.lower() in taken:
                 new += "_in"
             taken.add(new.lower())
-        out.append(F.col(f"`{c}`").alias(new))
-    return df.select(*out)
+        outer.append(new)
+    if keep:
+        raise ValueError(f"no column {', '.join(keep.values())}")
+    return Guarded(df.toDF(*inner), list(zip(inner, outer)))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +76,19 @@ def materialise(df: DataFrame, name: str = "stage", by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers stay for the next task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def hashed_unit(seed: int, *cols: Column) -> Column:
     """A uniform number in [0, 1) of 52 bits from md5; the same in every engine that has md5."""
     return hex_number(F.md5(hash_text(seed, *cols)), 13) / F.lit(float(1 << 52))

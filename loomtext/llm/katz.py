@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import free, materialise, table
+from loomtext.llm.common import guarded, materialise, table
 from loomtext.llm.ngram_join import _lists, _mix, words
 
 ORDER = 2
@@ -264,9 +264,11 @@ def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Equal texts are scored once. Nulls: a null text has null results; an empty one is scored as the end after the start. New
     words have the unknown word's probability. A model of an empty corpus gives every token probability 1 and backs off
-    always. An empty table gives an empty table. Columns called n_tokens, logprob, n_backed_off become *_in.
+    always. An empty table gives an empty table. Columns called n_tokens, logprob, n_backed_off become *_in, any other
+    name is left alone. Very long texts are scored whole.
     """
-    rows = free(rows, "n_tokens", "logprob", "n_backed_off")
+    g = guarded(rows, [text], ("n_tokens", "logprob", "n_backed_off"))
+    rows = g.rows
     key = F.xxhash64(F.col(text))
     texts = rows.filter(F.col(text).isNotNull()).select(key.alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
     tokens = texts.select("key", hashed_words(F.col("text"), model.order).alias("w")).mapInArrow(_token_batches(model.order), "key long, ctx array<long>, word long")
@@ -294,7 +296,8 @@ def score(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     for d in done[1:]:
         every = every.unionByName(d)
     sums = every.groupBy("key").agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("lp"), 6).alias("logprob"), F.sum("back").cast("bigint").alias("n_backed_off"))
-    return rows.withColumn("__key", F.when(F.col(text).isNotNull(), key)).join(sums.withColumnRenamed("key", "__key"), "__key", "left").select(*rows.columns, "n_tokens", "logprob", "n_backed_off")
+    scored = rows.withColumn("key", F.when(F.col(text).isNotNull(), key)).join(sums, "key", "left")
+    return g.restored(scored, *[F.col(c) for c in ("n_tokens", "logprob", "n_backed_off")])
 
 
 def query(spark: SparkSession, sf_dir: str, order: int = ORDER) -> DataFrame:

@@ -12,11 +12,11 @@ import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import free, table
+from loomtext.llm.common import Guarded, guarded, table
 
 # Each validator takes the bytes and where the format would begin, and returns where it ends, or None.
 
@@ -117,16 +117,26 @@ def pdf(b: bytes, at: int) -> int | None:
     return end + 5
 
 
+class Value(bytes):
+    """A value that keeps what validators have found out about all of it."""
+
+    @property
+    def zip_ends(self) -> dict[int, int]:
+        """Where a ZIP archive begins -> where the first one from there ends, by the end records of the value."""
+        if "ends" not in self.__dict__:
+            ends: dict[int, int] = {}
+            p = self.find(b"PK\x05\x06")
+            while 0 <= p <= len(self) - 22:
+                size, offset, comment = struct.unpack_from("<IIH", self, p + 12)
+                if p + 22 + comment <= len(self):
+                    ends.setdefault(p - offset - size, p + 22 + comment)
+                p = self.find(b"PK\x05\x06", p + 4)
+            self.__dict__["ends"] = ends
+        return self.__dict__["ends"]
+
+
 def zip_(b: bytes, at: int) -> int | None:
-    p = at
-    while True:
-        p = b.find(b"PK\x05\x06", p)
-        if p < 0 or p + 22 > len(b):
-            return None
-        size, offset, comment = struct.unpack_from("<IIH", b, p + 12)
-        if at + offset + size == p and p + 22 + comment <= len(b):
-            return p + 22 + comment
-        p += 4
+    return (b if isinstance(b, Value) else Value(b)).zip_ends.get(at)
 
 
 def gzip_(b: bytes, at: int) -> int | None:
@@ -261,35 +271,46 @@ def places(b: bytes, found) -> list[tuple[int, object]]:
     return sorted(out, key=lambda x: x[0])
 
 
-def sniff(b: bytes, found, deep: bool = True) -> tuple[str | None, bool, list[tuple]]:
+def sniff(b: bytes, found) -> tuple[str | None, bool, list[tuple]]:
     """(type, whether its structure holds up to the last byte, embedded media).
 
-    Embedded: (type, declared type or None, start, length in the value, bytes), in order, none inside another.
+    Embedded: (type, declared type or None, start, length, bytes, parent), a medium before those within it. parent: the place
+    in the list of the medium that encloses it, None for the value itself; start: in the value, or for what lies in a data
+    URI's decoded content, in that content.
     """
-    kind, whole, inner, upto = None, False, [], 0
+    b = Value(b)
+    kind, whole, inner = None, False, []
+    open_: list[tuple[int, int, int | None]] = []  # start, end and place of the media around the present position
     for at, f in places(b, found):
-        if f is None:
-            m = _URI.match(b, at) if deep and at >= upto else None
-            if m:
-                try:
-                    data = base64.b64decode(m[2], validate=True)
-                except binascii.Error:
-                    continue
-                inside, _, _ = sniff(data, found, deep=False)
-                inner.append((inside, m[1].decode().lower() if m[1] else None, at, m.end() - at, data))
-                upto = m.end()
+        start = at if f is None else at - f[1]
+        while open_ and open_[-1][1] <= start:
+            open_.pop()
+        limit, parent = (open_[-1][1], open_[-1][2]) if open_ else (len(b), None)
+        if start < 0 or (open_ and open_[-1][0] == start):
             continue
-        start = at - f[1]
-        if start < upto or start < 0:
+        if f is None:
+            m = _URI.match(b, at, limit)
+            if not m:
+                continue
+            try:
+                data = base64.b64decode(m[2], validate=True)
+            except binascii.Error:
+                continue
+            inside, _, deeper = sniff(data, found)
+            place = len(inner)
+            inner.append((inside, m[1].decode().lower() if m[1] else None, at, m.end() - at, data, parent))
+            inner.extend((*x[:5], place if x[5] is None else x[5] + place + 1) for x in deeper)
+            open_.append((at, m.end(), place))
             continue
         end = f[3](b, at)
-        if end is None:
+        if end is None or end > limit:
             continue
         if start == 0:
             kind, whole = f[2], end == len(b)
+            open_.append((start, end, None))
         else:
-            inner.append((f[2], None, start, end - start, b[start:end]))
-        upto = end
+            open_.append((start, end, len(inner)))
+            inner.append((f[2], None, start, end - start, bytes(b[start:end]), parent))
     if kind is None:
         for name, check in TEXT:
             if check(b, 0):
@@ -297,7 +318,7 @@ def sniff(b: bytes, found, deep: bool = True) -> tuple[str | None, bool, list[tu
     return kind, whole, inner
 
 
-_INNER = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("declared", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())]))
+_INNER = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("declared", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("parent", T.IntegerType())]))
 _RESULT = T.StructType([T.StructField("type", T.StringType()), T.StructField("whole", T.BooleanType()), T.StructField("embedded", _INNER)])
 
 
@@ -310,8 +331,8 @@ def _sniffed(values: pa.Array) -> pa.Array:
             out.append(None)
             continue
         kind, whole, inner = sniff(v, found)
-        out.append({"type": kind, "whole": whole, "embedded": [dict(zip(("type", "declared", "start", "length", "content"), x)) for x in inner]})
-    kinds = pa.struct([("type", pa.string()), ("whole", pa.bool_()), ("embedded", pa.list_(pa.struct([("type", pa.string()), ("declared", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("content", pa.binary())])))])
+        out.append({"type": kind, "whole": whole, "embedded": [dict(zip(("type", "declared", "start", "length", "content", "parent"), x)) for x in inner]})
+    kinds = pa.struct([("type", pa.string()), ("whole", pa.bool_()), ("embedded", pa.list_(pa.struct([("type", pa.string()), ("declared", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("content", pa.binary()), ("parent", pa.int32())])))])
     return pa.array(out, kinds)
 
 
@@ -319,28 +340,64 @@ def media_columns(rows: DataFrame, content: str, declared: str) -> DataFrame:
     """The columns of rows without content, and media_type (sniffed, else declared), sniffed (null if no format holds),
     whole (the format ends with the value), corrected (sniffed differs from declared), n_bytes, embedded.
 
-    embedded: type, declared type (of data URIs), start, length and content of each medium within the value; those of
-    data URIs are decoded, type is null where nothing is recognised. Whole values are searched. Nulls: a null value has null results but keeps its
-    declared type; a null declared type is corrected by any sniffed one. An empty value has no format. Repeated rows get equal
-    results; an empty table gives an empty table. Result columns' names that are taken become *_in.
+    embedded: type, declared type (of data URIs), start, length and content of each medium within the value, parent: the place in
+    the list of the medium that encloses it (null: the value itself). Media within media are carved too: in containers with
+    their start in the value, in data URIs with their start in the decoded content. type is null where a data URI's content isn't
+    recognised. Whole values are searched, however long. Nulls: a null value has null results but keeps its declared type; a null
+    declared type is corrected by any sniffed one. An empty value has no format. Repeated rows get equal results; an
+    empty table gives an empty table. Columns called like a result become *_in (content and declared too: they are named
+    as they are called in rows), any other name is left alone.
     """
     names = ("media_type", "sniffed", "whole", "corrected", "n_bytes", "embedded")
-    clash = content in names or declared in names
-    if clash:
-        raise ValueError("content and declared can't be called like a result")
-    rows = free(rows, *names)
-    got = rows.withColumn("__m", _sniffed(F.col(content).cast("binary")))
-    kind, said = F.col("__m.type"), F.lower(F.trim(F.col(declared)))
-    return got.select(
-        *[c for c in rows.columns if c != content],
-        F.coalesce(kind, F.col(declared)).alias("media_type"), kind.alias("sniffed"), F.col("__m.whole").alias("whole"),
-        F.when(F.col(content).isNotNull(), kind.isNotNull() & ~kind.eqNullSafe(said)).alias("corrected"), F.octet_length(content).cast("bigint").alias("n_bytes"), F.col("__m.embedded").alias("embedded"),
+    g = guarded(rows, [], names)
+    inner = {c.lower(): i for c, (i, _) in zip(rows.columns, g.names)}
+    value, said = F.col(inner[content.lower()]), F.col(inner[declared.lower()])
+    got = g.rows.withColumn("found", _sniffed(value.cast("binary")))
+    kind = F.col("found.type")
+    rest = [n for c, n in zip(rows.columns, g.names) if c.lower() != content.lower()]
+    return Guarded(g.rows, rest).restored(
+        got, F.coalesce(kind, said).alias("media_type"), kind.alias("sniffed"), F.col("found.whole").alias("whole"),
+        F.when(value.isNotNull(), kind.isNotNull() & ~kind.eqNullSafe(F.lower(F.trim(said)))).alias("corrected"), F.octet_length(value).cast("bigint").alias("n_bytes"), F.col("found.embedded").alias("embedded"),
     )
 
 
+def declared_type() -> Column:
+    """Of pages, by their URLs' endings."""
+    end = F.lower(F.regexp_extract("url", r"\.(\w+)(?:[?#]|$)", 1))
+    return F.when(end.isin("png", "gif", "bmp", "webp"), F.concat(F.lit("image/"), end)).when(end.isin("jpg", "jpeg"), "image/jpeg").when(end == "pdf", "application/pdf").otherwise("text/html")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages' contents, declared by their URLs' endings."""
     pages = table(spark, sf_dir, "pages")
-    end = F.lower(F.regexp_extract("url", r"\.(\w+)(?:[?#]|$)", 1))
-    declared = F.when(end.isin("png", "gif", "bmp", "webp"), F.concat(F.lit("image/"), end)).when(end.isin("jpg", "jpeg"), "image/jpeg").when(end == "pdf", "application/pdf").otherwise("text/html")
-    return media_columns(pages.select("page_id", declared.alias("declared"), "html"), "html", "declared")
+    return media_columns(pages.select("page_id", declared_type().alias("declared"), "html"), "html", "declared")
+
+
+#: A bitmap and a sound whose data are the page's digest: 54 and 44 bytes of head, 16 of data.
+_BMP = "424d46000000000000003600000028000000020000000200000001001800000000001000000000000000000000000000000000000000"
+_WAV = "524946463400000057415645666d74201000000001000100401f0000401f0000010008006461746110000000"
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with media whose places are known: a bitmap alone (declared as a page) and, in the page itself, a bitmap and a
+    sound behind the text, and the bitmap as a data URI that is declared as a GIF."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("html"), F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("digest"))
+    bmp, wav = F.concat(F.unhex(F.lit(_BMP)), "digest"), F.concat(F.unhex(F.lit(_WAV)), "digest")
+    uri = F.concat(F.lit("data:image/gif;base64,"), F.base64(bmp)).cast("binary")
+    text = F.concat("html", F.lit("\n").cast("binary"), bmp, wav, uri)
+    cases = F.explode(F.array(F.struct(F.lit("alone").alias("case"), bmp.alias("value")), F.struct(F.lit("inside").alias("case"), text.alias("value"))))
+    rows = pages.filter("html IS NOT NULL").select("page_id", cases.alias("x")).select("page_id", "x.*", F.lit("text/html").alias("declared"))
+    got = media_columns(rows, "value", "declared")
+    inner = F.explode_outer("embedded").alias("e")
+    return got.select("page_id", "case", "media_type", "whole", "corrected", "n_bytes", inner).select(
+        "page_id", "case", "media_type", "whole", "corrected", "n_bytes", F.col("e.type").alias("type"), F.col("e.declared").alias("said"), F.col("e.start").alias("start"), F.col("e.length").alias("length"), F.md5("e.content").alias("content")
+    )
+
+
+PLANTED_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(html)) AS n, unhex('{_BMP}') || unhex(md5(html)) AS bmp, unhex('{_WAV}') || unhex(md5(html)) AS wav FROM pages WHERE html IS NOT NULL),
+q AS (SELECT *, octet_length(bmp) AS b, octet_length(wav) AS w, 22 + length(to_base64(bmp)) AS u FROM p)
+SELECT page_id, 'alone' AS "case", 'image/bmp' AS media_type, true AS whole, true AS corrected, b::BIGINT AS n_bytes, NULL::VARCHAR AS type, NULL::VARCHAR AS said, NULL::BIGINT AS start, NULL::BIGINT AS length, NULL::VARCHAR AS content FROM q
+UNION ALL SELECT page_id, 'inside', 'text/html', true, false, n + 1 + b + w + u, 'image/bmp', NULL, n + 1, b, md5(bmp) FROM q
+UNION ALL SELECT page_id, 'inside', 'text/html', true, false, n + 1 + b + w + u, 'audio/wav', NULL, n + 1 + b, w, md5(wav) FROM q
+UNION ALL SELECT page_id, 'inside', 'text/html', true, false, n + 1 + b + w + u, 'image/bmp', 'image/gif', n + 1 + b + w, u, md5(bmp) FROM q"""

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import BROADCAST_ROWS, free, hashed_unit, table
+from loomtext.llm.common import BROADCAST_ROWS, guarded, hashed_unit, table
 
 SEED = 11
 #: Shares of the mixture's tokens. Sources that aren't listed share the rest in proportion to their tokens.
@@ -58,22 +58,19 @@ def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, total: int | None
 
     Nulls: a null source is a source of its own; a null or empty text has no tokens but is repeated like any
     document of its source; a null doc_id hashes as the word null. Repeated rows get the same draw each. An empty
-    table gives an empty table. A column that is already called copy becomes copy_in.
+    table gives an empty table. Very long texts are counted whole. A column that is already called copy becomes copy_in, any
+    other name is left alone.
     """
-    docs = free(docs, "copy")
-    rates = repetition_rates(docs, targets, total).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
+    g = guarded(docs, ["doc_id", "text", "source"], ["copy"])
+    rates = repetition_rates(g.rows, targets, total).select(F.col("source").alias("of"), "rate")
     head = rates.limit(BROADCAST_ROWS + 1).collect()
     if len(head) <= BROADCAST_ROWS:
         rates = F.broadcast(docs.sparkSession.createDataFrame(head, rates.schema))
-    whole = F.floor("__mix_rate")
-    draw = hashed_unit(seed, F.col("doc_id"), F.col("source")) < F.col("__mix_rate") - whole
+    whole = F.floor("rate")
+    draw = hashed_unit(seed, F.col("doc_id"), F.col("source")) < F.col("rate") - whole
     copies = (whole + draw.cast("bigint")).cast("int")
-    return (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("__mix_source")))
-        .withColumn("__mix_copies", copies)
-        .filter("__mix_copies > 0")
-        .select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1)).alias("copy"))
-    )
+    got = g.rows.join(rates, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies).filter("copies > 0")
+    return g.restored(got.select(*g.columns, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")), F.col("copy"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_formats(kind):
     assert M.sniff(data + b"tail", found)[:2] in ((kind, False),)
     cut = M.sniff(data[: len(data) - 3], found)[0]
     assert cut is None, "truncated data isn't of its type"
-    assert [(x[0], x[2], x[4]) for x in M.sniff(b"junk " + data + b" more", found)[2]] == [(kind, 5, data)]
+    assert [(x[0], x[2], x[4], x[5]) for x in M.sniff(b"junk " + data + b" more", found)[2] if x[5] is None] == [(kind, 5, data, None)]
 
 
 def test_carving_against_brute_force():
@@ -79,13 +79,48 @@ def test_carving_against_brute_force():
         for _ in range(rng.randint(1, 6)):
             parts.append(rng.choice([*SAMPLES.values(), bytes(rng.randrange(256) for _ in range(rng.randint(0, 60))), b"BM", b"PK\3\4 RIFF GIF8"]))
         data = b"?" + b"".join(parts)
-        assert [(t, s, n) for t, _, s, n, _ in M.sniff(data, found)[2]] == brute(data)
+        assert [(t, s, n) for t, _, s, n, _, parent in M.sniff(data, found)[2] if parent is None] == brute(data)
+
+
+def test_media_within_media():
+    found, inner = M.automaton(), png()
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("a.png", inner)
+        z.writestr("b.wav", SAMPLES["audio/wav"])
+    archive = buffer.getvalue()
+    kind, whole, media = M.sniff(archive, found)
+    assert (kind, whole) == ("application/zip", True)
+    assert [(t, archive[s : s + n], p) for t, _, s, n, _, p in media] == [("image/png", inner, None), ("audio/wav", SAMPLES["audio/wav"], None)]
+    uri = b"<html><img src='data:application/zip;base64," + base64.b64encode(archive) + b"'>" + SAMPLES["image/bmp"]
+    kind, _, media = M.sniff(uri, found)
+    assert kind == "text/html"
+    assert [(t, d, p) for t, d, _, _, _, p in media] == [("application/zip", "application/zip", None), ("image/png", None, 0), ("audio/wav", None, 0), ("image/bmp", None, None)]
+    assert media[1][4] == inner == archive[media[1][2] : media[1][2] + media[1][3]]
+
+
+def test_hostile_values_take_linear_time():
+    found = M.automaton()
+    began = time.time()
+    M.sniff(b"PK\3\4" * 200_000 + b"PK\5\6" * 50_000, found)
+    assert time.time() - began < 5
+
+
+def test_planted_query(spark, tmp_path):
+    rows = [(1, "u", "<html>é</html>"), (2, "u", ""), (3, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    import duckdb
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = M.planted(spark, str(tmp_path)).filter("page_id = 1").collect()
+    want = duckdb.sql(M.PLANTED_SQL).filter("page_id = 1").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) == 4
 
 
 def test_column(spark):
     uri = b"<p><img src='data:image/gif;base64," + base64.b64encode(png()) + b"'>"
     data = [(1, png(), "image/JPEG "), (2, b"<!doctype html>" + uri, "text/html"), (3, None, "image/png"), (4, b"", None), (5, b"plain", "text/plain"), (6, b"x" * 3_000_000 + png(), None), (1, png(), "image/JPEG ")]
-    df = spark.createDataFrame([(*d, "x") for d in data], "id int, content binary, said string, embedded string")
+    df = spark.createDataFrame([(*d, "x") for d in data], "id int, content binary, said string, embedded string").selectExpr("*", "2 AS found", "3 AS `a.b`")
     rows = M.media_columns(df, "content", "said").collect()
     one, html, null, empty, plain, big, again = rows
     assert one == again and (one.media_type, one.corrected, one.whole, one.embedded_in) == ("image/png", True, True, "x")
