@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import free, hash_text, hashed_unit, materialise, table
+from loomtext.llm.common import guarded, hash_text, hashed_unit, materialise, released, table
 
 #: Labelled rows that the model is fitted on at most (chosen by a hash of the id), and the share held out to calibrate.
 SAMPLE = 20_000
@@ -22,6 +22,8 @@ FEATURES = 192
 RIDGE = 1.0
 #: A document stays if its calibrated probability of good quality is at least this.
 KEEP_FROM = 0.5
+#: Partial sums of the normal equations that reach the driver.
+SUMS = 16
 SEED = 17
 _SLICE = 4_000_000
 
@@ -186,18 +188,25 @@ def _normal_equations(model: Model):
     return run
 
 
+def _summed(group: pa.Table) -> pa.Table:
+    a, b = (sum(np.frombuffer(x.as_py()) for x in group.column(c)) for c in ("a", "b"))
+    return pa.table({"a": pa.array([a.tobytes()]), "b": pa.array([b.tobytes()])})
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int) -> DataFrame:
-    """doc_id, text, y of at most ``bound`` labelled ids, those with the smallest hashes; an id's label is its majority's."""
+    """doc_id, text, y of at most ``bound`` labelled ids, those with the smallest hashes; an id's label is its majority's, its
+    text, if it has several, the one with the smallest hash."""
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.when(F.avg(label) >= 0.5, 1.0).otherwise(0.0).alias("y"))
     chosen = ids.orderBy(F.md5(hash_text(seed, F.col("doc_id"))), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``bound`` rows
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``bound`` rows
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model | None:
     """None without labelled documents of both kinds."""
     rows = labelled_sample(docs, labels, "quality", sample, seed)
     rows = rows.select(statistics_of("text").alias("x"), "y", (hashed_unit(seed + 1, F.col("doc_id")) < HOLD_OUT).alias("held"))
-    rows = materialise(rows.coalesce(16), "labelled")
+    rows = materialise(rows, "labelled")
     d = len(STATISTICS)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d)]).first()
     if not stats.n or not 0 < stats.good < stats.n:
@@ -206,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     scale = np.array([stats[f"s{i}"] or 1.0 for i in range(d)])
     model = Model(np.array([stats[f"m{i}"] for i in range(d)]), np.where(scale > 1e-12, scale, 1.0), rng.normal(size=(d, FEATURES)) / np.sqrt(d), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + d + 1), np.zeros(1), np.zeros(1))
     width = FEATURES + d + 1
-    sums = rows.filter("not held").mapInArrow(_normal_equations(model), "a binary, b binary").collect()  # at most 16 rows
+    parts = rows.filter("not held").mapInArrow(_normal_equations(model), "a binary, b binary").withColumn("to", F.spark_partition_id() % SUMS)
+    sums = parts.groupBy("to").applyInArrow(_summed, "a binary, b binary").collect()  # at most SUMS rows
     a = sum((np.frombuffer(r.a).reshape(width, width) for r in sums), np.zeros((width, width)))
     b = sum((np.frombuffer(r.b) for r in sums), np.zeros(width))
     model.ridge = np.linalg.solve(a + RIDGE * np.eye(width), b)
@@ -222,6 +232,7 @@ def _scorer(model: Model):
     @F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("quality", T.DoubleType())]))
     def score(texts: pa.Array) -> pa.Array:
         raw = model.raw(_of_texts(texts))
+        released()
         return pa.StructArray.from_arrays([pa.array(raw), pa.array(model.calibrated(raw))], names=["score", "quality"])
 
     return score
@@ -234,13 +245,13 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int
     of one id vote. Without labels of both kinds nothing can be told apart: score and quality are null and all documents are
     kept. Repeated rows get equal scores. An empty table gives an empty table. Columns named score, quality, keep become *_in.
     """
-    docs = free(docs, "score", "quality", "keep")
-    model = fit(docs, labels, sample, seed)
+    g = guarded(docs, ["doc_id", "text"], ("score", "quality", "keep"))
+    model = fit(g.rows, labels, sample, seed)
     if model is None:
         nothing = F.lit(None).cast("double")
-        return docs.withColumns({"score": nothing, "quality": nothing, "keep": F.lit(True)})
-    got = docs.withColumn("__q", _scorer(model)(F.col("text")))
-    return got.select(*docs.columns, F.col("__q.score").alias("score"), F.col("__q.quality").alias("quality"), (F.col("__q.quality") >= KEEP_FROM).alias("keep"))
+        return g.restored(g.rows, nothing.alias("score"), nothing.alias("quality"), F.lit(True).alias("keep"))
+    got = g.rows.withColumn("found", _scorer(model)(F.col("text")))
+    return g.restored(got, F.col("found.score").alias("score"), F.col("found.quality").alias("quality"), (F.col("found.quality") >= KEEP_FROM).alias("keep"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
