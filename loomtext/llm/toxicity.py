@@ -7,8 +7,6 @@ tell the labels apart (likelihood-ratio test on the examples, in which near copi
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import free, materialise, table
+from loomtext.llm import lexer
+from loomtext.llm.common import guarded, materialise, released, table
 from loomtext.llm.quality import isotonic, labelled_sample
 
 #: Labelled rows in the index at most (chosen by a hash of the id), and the test of a term that weighs LEAD times its TF-IDF.
@@ -37,37 +36,49 @@ FEW_BLOCKS = 6
 TEXTS = 128
 FREQUENT = 512
 ROUNDING = 1e-4
+BOUND = 1e-5
 SEED = 23
-_WORD = re.compile(r"[^\W_]+")
+RESULTS = ("toxicity", "toxic", "evidence_ids", "evidence_cosines", "evidence_labels")
 
 
-def terms_of(text: str) -> list[str]:
-    """Lower-cased runs of letters and digits."""
-    return _WORD.findall(text.lower())
+def _prints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Four min-hashes of the word trigrams of each text; a shorter text is one n-gram."""
+    n = len(bounds) - 1
+    out = np.zeros((n, 4), np.uint64)
+    size = np.diff(bounds)
+    grams = lexer.mixed(h)
+    if len(h) > 2:
+        grams = grams[:-2] + lexer.mixed(h[1:-1] + np.uint64(1)) + lexer.mixed(h[2:] + np.uint64(2))
+        grams = np.concatenate([grams, h[-2:]])
+    for i in np.flatnonzero(size):
+        a, b = int(bounds[i]), int(bounds[i + 1])
+        own = grams[a : b - 2] if b - a > 2 else np.array([lexer.mixed(h[a:b]).sum()], np.uint64)
+        out[i] = [lexer.mixed(own ^ np.uint64(s)).min() for s in (1, 0x51ED270B, 0x7FEB352D9A1, 0x846CA68B3F11D)]
+    return out.view(np.int64)
 
 
 def _example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, y, distinct terms, and four min-hashes of word trigrams, by which near copies meet."""
-    import hashlib
-
-    def prints(words: list[str]) -> list[int]:
-        grams = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-        h = np.array([int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for g in grams], np.uint64)
-        return [int(((h ^ np.uint64(s)) * np.uint64(0x9E3779B97F4A7C15)).min() >> np.uint64(1)) for s in (1, 0x51ED270B, 0x7FEB352D9A1, 0x846CA68B3F11D)]
-
-    for b in batches:
-        ws = [terms_of(t or "") for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("y"), pa.array([[*c] for c in map(Counter, ws)], pa.list_(pa.string())), pa.array([[*c.values()] for c in map(Counter, ws)], pa.list_(pa.int32())), pa.array([prints(w) for w in ws], pa.list_(pa.int64()))],
-            names=["doc_id", "y", "terms", "tf", "prints"],
-        )
+    """doc_id, y, distinct terms (hashes), their frequencies, and min-hashes of word trigrams, by which near copies meet."""
+    for whole in batches:
+        for b in (whole.slice(i, TEXTS) for i in range(0, len(whole), TEXTS)):
+            h, bounds = lexer.words(b.column("text").to_pylist())
+            doc = np.repeat(np.arange(len(b)), np.diff(bounds))
+            order = np.lexsort((h, doc))
+            first = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])) if len(h) else np.zeros(0, np.int64)
+            cuts = np.searchsorted(doc[order][first], np.arange(len(b) + 1)).astype(np.int32)
+            tf = np.diff(np.append(first, len(h))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (pa.array(h[order][first].view(np.int64)), pa.array(tf))]
+            prints = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(b) + 1, 4, dtype=np.int32)), pa.array(_prints(h, bounds).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *lists, prints], names=["doc_id", "y", "terms", "tf", "prints"])
 
 
 def _joined(starts: np.ndarray, keys: np.ndarray, values: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of some terms one after another, with their values times the term's weight."""
-    size = starts[terms + 1] - starts[terms]
-    at = np.arange(size.sum()) + np.repeat(starts[terms] - np.cumsum(size) + size, size)
-    return keys[at], values[at] * np.repeat(weights, size)
+    if not len(terms):
+        return keys[:0], values[:0]
+    a, b = starts[terms], starts[terms + 1]
+    cuts = list(zip(a.tolist(), b.tolist()))
+    return np.concatenate([keys[i:j] for i, j in cuts]), np.concatenate([values[i:j] for i, j in cuts]) * np.repeat(weights.astype(values.dtype), b - a)
 
 
 @dataclass
@@ -90,7 +101,7 @@ class Tables:
         row = np.repeat(np.arange(n, dtype=np.int32), np.diff(index.starts))
         by = np.argsort(index.columns, kind="stable").astype(np.int32)
         size = np.bincount(index.columns, minlength=terms)
-        posted, rows, values = np.concatenate([[0], np.cumsum(size)]), row[by], index.weights[by]
+        posted, rows, values = np.concatenate([[0], np.cumsum(size)]), row[by], index.weights[by].astype(np.float32)
         frequent = np.argsort(-size, kind="stable")[:FREQUENT]
         column, matrix = np.full(terms, -1, np.int32), np.zeros((len(frequent), n), np.float32)
         column[frequent] = np.arange(len(frequent))
@@ -106,7 +117,7 @@ class Tables:
 class Index:
     """Examples' unit vectors, in blocks of BLOCK; ``top`` bounds the weights of a term in a block."""
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray  # sorted hashes
     idf: np.ndarray  # by term; times LEAD for those that tell the labels apart
     ids: np.ndarray
     toxic: np.ndarray
@@ -181,9 +192,9 @@ class Index:
         tables.query[terms] = weights
         rows, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
         for n, b in enumerate(order.tolist()):
-            if bound[b] <= 0 or bound[b] < kth - 2e-9:
+            if bound[b] <= 0 or bound[b] < kth - BOUND:
                 break
-            if n == FEW_BLOCKS or (n == 1 and bound[order[min(FEW_BLOCKS, len(order) - 1)]] >= max(kth, 1e-9) and len(order) > FEW_BLOCKS):
+            if n == FEW_BLOCKS or (n == 1 and bound[order[min(FEW_BLOCKS, len(order) - 1)]] >= max(kth - BOUND, 1e-9) and len(order) > FEW_BLOCKS):
                 rows = None
                 break
             lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
@@ -206,13 +217,13 @@ class Index:
         return float(self.values[max(0, int(np.searchsorted(self.steps, vote + 1e-12, side="right")) - 1)])
 
 
-def build(ids: np.ndarray, toxic: np.ndarray, counts: list[dict[int, int]], vocabulary: dict[str, int], idf: np.ndarray, k: int = NEIGHBOURS) -> Index:
+def build(ids: np.ndarray, toxic: np.ndarray, counts: list[dict[int, int]], vocabulary: np.ndarray, idf: np.ndarray, k: int = NEIGHBOURS) -> Index:
     terms = np.array([t for c in counts for t in sorted(c)], np.int64)
     tf = np.array([c[t] for c in counts for t in sorted(c)], np.int64)
     return assemble(ids, toxic, np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int64), terms, tf, vocabulary, idf, k)
 
 
-def assemble(ids: np.ndarray, toxic: np.ndarray, starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, vocabulary: dict[str, int], idf: np.ndarray, k: int) -> Index:
+def assemble(ids: np.ndarray, toxic: np.ndarray, starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, k: int) -> Index:
     """As ``build``; example i has the terms and frequencies from starts[i] to starts[i + 1]."""
     size = np.diff(starts)
     has = size > 0
@@ -256,15 +267,12 @@ def _g2(a: np.ndarray, n: np.ndarray, toxic: float, total: float) -> np.ndarray:
     return np.where(a / toxic > b / clean, g, 0)
 
 
-def _document_frequencies(vocabulary: dict[str, int]):
+def _document_frequencies(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(vocabulary) + 1, np.int64)  # last: all documents
         for b in batches:
-            for texts in (b.column("text").slice(i, 512) for i in range(0, len(b), 512)):
-                hits = []
-                for text in texts.to_pylist():
-                    hits += map(vocabulary.get, vocabulary.keys() & set(terms_of(text or "")))
-                seen += np.bincount(np.array(hits, np.int64), minlength=len(seen))
+            for texts in (b.column("text").slice(i, TEXTS) for i in range(0, len(b), TEXTS)):
+                seen[:-1] += np.bincount(lexer.counted(texts.to_pylist(), vocabulary)[1], minlength=len(vocabulary))
                 seen[-1] += len(texts)
         t = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(seen[t], pa.int64())], names=["t", "n"])
@@ -274,32 +282,26 @@ def _document_frequencies(vocabulary: dict[str, int]):
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, seed: int = SEED, min_g2: float = MIN_G2) -> Index | None:
     """None without labelled documents of both kinds."""
-    found = labelled_sample(docs, labels, "toxic", examples, seed).filter(F.col("text").isNotNull())
-    found = materialise(found.mapInArrow(_example_batches, "doc_id long, y double, terms array<string>, tf array<int>, prints array<long>"), "examples")
+    found = labelled_sample(docs, labels, "toxic", examples, seed)
+    found = materialise(found.mapInArrow(_example_batches, "doc_id long, y double, terms array<long>, tf array<int>, prints array<long>"), "examples")
     # the sample is bounded: so is what follows on the driver
-    data = found.toArrow().combine_chunks()
-    heads = data.select(["doc_id", "y", "prints"]).to_pandas()
-    heads["prints"] = heads.prints.map(tuple)
-    heads = heads.sort_values(["doc_id", "prints"], kind="stable").drop_duplicates("doc_id")
-    data = data.select(["terms", "tf"]).take(pa.array(heads.index.to_numpy()))
-    ids, toxic = heads.doc_id.to_numpy(np.int64), heads.y.to_numpy(float)
-    lone = heads
+    data = found.orderBy("doc_id").toArrow().combine_chunks()
+    ids, toxic = (data.column(c).to_numpy() for c in ("doc_id", "y"))
+    prints = np.array(data.column("prints").to_pylist(), np.int64).reshape(-1, 4)
+    lone = np.ones(len(ids), bool)
     for i in range(4):
-        lone = lone.loc[~lone.prints.str[i].duplicated()]
-    if not 0 < lone.y.sum() < len(lone):
+        at = np.flatnonzero(lone)
+        lone[np.delete(at, np.unique(prints[at, i], return_index=True)[1])] = False
+    if not 0 < toxic[lone].sum() < lone.sum():
         return None
-    lists = data.column("terms").combine_chunks()
-    starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    vocabulary = {t: i for i, t in enumerate(sorted(names))}
-    column = np.array([vocabulary[t] for t in names], np.int32)[coded.indices.to_numpy()] if names else np.zeros(0, np.int32)
+    starts = np.concatenate([[0], np.cumsum(data.column("terms").combine_chunks().value_lengths().to_numpy())]).astype(np.int64)
+    vocabulary, column = np.unique(data.column("terms").combine_chunks().flatten().to_numpy().view(np.uint64), return_inverse=True)
+    column = column.astype(np.int32)
     tf = data.column("tf").combine_chunks().flatten().to_numpy()
-    del data, lists, coded, names
-    y = np.repeat(toxic, np.diff(starts))
-    once = np.repeat(heads.doc_id.isin(lone.doc_id).to_numpy(), np.diff(starts))
-    n, a = (np.bincount(column[once], x, len(vocabulary)) for x in (None, y[once]))
-    tells = (a >= MIN_EXAMPLES) & (_g2(a, n.astype(float), float(lone.y.sum()), float(len(lone))) >= min_g2)
+    del data
+    once = np.repeat(lone, np.diff(starts))
+    n, a = (np.bincount(column[once], x, len(vocabulary)) for x in (None, np.repeat(toxic, np.diff(starts))[once]))
+    tells = (a >= MIN_EXAMPLES) & (_g2(a, n.astype(float), float(toxic[lone].sum()), float(lone.sum())) >= min_g2)
     rows = docs.select("text").mapInArrow(_document_frequencies(vocabulary), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(vocabulary) + 1)
     df[rows.column("t").to_numpy()] = rows.column("n").to_numpy()
@@ -313,13 +315,16 @@ _RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("i
 def _scorer(index: Index, k: int):
     @F.arrow_udf(_RESULT)
     def score(texts: pa.Array) -> pa.Array:
-        get, known = index.vocabulary.get, {}
+        known = {}
         texts = [x or "" for x in texts.to_pylist()]
         distinct = list(dict.fromkeys(texts))
         for at in range(0, len(distinct), TEXTS):
-            some = {x: c for x in distinct[at : at + TEXTS] if (c := Counter(t for t in map(get, terms_of(x)) if t is not None))}
-            for x, (rows, cosines) in zip(some, index.all_nearest([index.vector(c) for c in some.values()], k)):
-                known[x] = (index.calibrated(index.vote(rows, cosines)), index.ids[rows].tolist(), cosines.tolist(), index.toxic[rows].astype(int).tolist())
+            some = distinct[at : at + TEXTS]
+            bounds, terms, tf = lexer.counted(some, index.vocabulary)
+            own = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
+            for (i, _), (rows, cosines) in zip(own, index.all_nearest([(terms[x], index.unit(terms[x], tf[x])) for _, x in own], k)):
+                known[some[i]] = (index.calibrated(index.vote(rows, cosines)), index.ids[rows].tolist(), cosines.tolist(), index.toxic[rows].astype(int).tolist())
+        released()
         none = (index.calibrated(-1.0), [], [], [])
         out = [known.get(x, none) for x in texts]
         s, i, c, y = zip(*out) if out else ((), (), (), ())
@@ -334,19 +339,19 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int =
 
     Every document is a query over its whole text; words that no example has are left out of its length. One without any
     word of the examples has no neighbour: empty evidence and the rate of such examples. A labelled document finds itself, its label is part of the evidence. Nulls: a null text counts
-    as empty; labels with null ids or values are left out, several of one id vote. Without examples of both kinds toxicity
+    as empty; labels with null ids or values are left out, several of one id vote. A labelled id with several texts stands for
+    the one with the smallest hash; rows without an id are never examples. Without examples of both kinds toxicity
     is null and toxic false. Ties among neighbours go to the smaller id, repeated rows get equal results. An empty
-    table gives an empty table. Columns that are already called toxicity, toxic or evidence_* become *_in.
+    table gives an empty table. Columns that are already called toxicity, toxic or evidence_* become *_in, any other name is left alone.
     """
-    names = ("toxicity", "toxic", "evidence_ids", "evidence_cosines", "evidence_labels")
-    docs = free(docs, *names)
-    index = fit(docs, labels, examples, k, seed, min_g2)
+    g = guarded(docs, ["doc_id", "text"], RESULTS)
+    index = fit(g.rows, labels, examples, k, seed, min_g2)
     if index is None:
         none = [F.lit(None).cast("double"), F.lit(False), F.array().cast("array<bigint>"), F.array().cast("array<double>"), F.array().cast("array<int>")]
-        return docs.select(*docs.columns, *[x.alias(n) for n, x in zip(names, none)])
-    got = docs.withColumn("__t", _scorer(index, k)(F.col("text")))
-    at = F.col("__t.score")
-    return got.select(*docs.columns, at.alias("toxicity"), (at >= TOXIC_FROM).alias("toxic"), F.col("__t.ids").alias("evidence_ids"), F.col("__t.cosines").alias("evidence_cosines"), F.col("__t.toxic").alias("evidence_labels"))
+        return g.restored(g.rows, *[x.alias(n) for n, x in zip(RESULTS, none)])
+    got = g.rows.withColumn("found", _scorer(index, k)(F.col("text")))
+    parts = [F.col("found.score"), F.col("found.score") >= TOXIC_FROM, F.col("found.ids"), F.col("found.cosines"), F.col("found.toxic")]
+    return g.restored(got, *[x.alias(n) for n, x in zip(RESULTS, parts)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from loomtext.llm import quality, toxicity
+from loomtext.llm import lexer, quality, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -42,7 +43,7 @@ def test_nearest_against_brute_force():
     counts = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(terms, rng.integers(0, 6), replace=False)} for _ in range(n)]
     idf = rng.uniform(1, 5, terms)
     ids = rng.permutation(n).astype(np.int64)
-    index = toxicity.build(ids, rng.integers(0, 2, n).astype(float), counts, {str(i): i for i in range(terms)}, idf)
+    index = toxicity.build(ids, rng.integers(0, 2, n).astype(float), counts, np.arange(terms, dtype=np.uint64), idf)
     dense = np.zeros((len(index.ids), terms))
     for i in range(len(index.ids)):
         s, e = index.starts[i], index.starts[i + 1]
@@ -75,6 +76,68 @@ def test_cases(spark, make_docs, words, clashing, module):
     assert module(make_docs([]), labels).collect() == []
 
 
+def test_words_against_a_regular_expression():
+    texts = ["Ab ab-AB é_x 10", None, "", "..", "İstanbul straße 語 中文", "a" * 3 + " b" * 5]
+    h, bounds = lexer.words(texts)
+    want = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    assert np.diff(bounds).tolist() == [len(w) for w in want]
+    flat = [x for w in want for x in w]
+    assert len(set(flat)) == len(set(h.tolist())) == len(set(zip(flat, h.tolist())))
+
+
+def test_words_of_long_texts(monkeypatch):
+    texts = ["word " * 100, "x" * 70, "a b", "tail"]
+    whole = lexer.words(texts)
+    monkeypatch.setattr(lexer, "PIECE", 64)
+    lexer._kept().clear()
+    parts = lexer.words(texts)
+    lexer._kept().clear()
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+def test_quality_against_brute_force(spark, make_docs, words):
+    """The fit from the labels to the calibrated probability, done again in one process."""
+    docs, labels, texts, rows = labelled(spark, make_docs, words)
+    got = {r.doc_id: r for r in quality.classify(docs, labels.filter("doc_id < 250")).collect()}
+    d, n = len(quality.STATISTICS), quality.FEATURES
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    x = np.concatenate([quality.statistics(b, np.array([0, len(b)])) for b in raw])
+    import hashlib
+
+    held = np.array([int(hashlib.md5(f"{quality.SEED + 1}:{i}".encode()).hexdigest()[:13], 16) / 2**52 < quality.HOLD_OUT for i in range(250)])
+    y = np.array([q for _, q, _ in rows[:250]], float)
+    mean, scale = x[:250].mean(0), x[:250].std(0)
+    scale = np.where(scale > 1e-12, scale, 1.0)
+    rng = np.random.default_rng(quality.SEED)
+    w, phase = rng.normal(size=(d, n)) / np.sqrt(d), rng.uniform(0, 2 * np.pi, n)
+    z = np.clip((x - mean) / scale, -6, 6)
+    f = np.hstack([np.sqrt(2 / n) * np.cos(z @ w + phase), z, np.ones((len(x), 1))])
+    fit = f[:250][~held]
+    ridge = np.linalg.solve(fit.T @ fit + quality.RIDGE * np.eye(f.shape[1]), fit.T @ y[~held])
+    score = f @ ridge
+    order = np.argsort(score[:250][held], kind="stable")
+    xs, ys = score[:250][held][order], y[held][order]
+    best = [max(min(ys[a : b + 1].mean() for b in range(i, len(ys))) for a in range(i + 1)) for i in range(len(ys))]  # min-max formula
+    for i in range(400):
+        at = np.searchsorted(xs, score[i], side="right") - 1
+        assert got[i].score == pytest.approx(score[i], abs=1e-6) and got[i].quality == pytest.approx(best[max(at, 0)], abs=1e-6)
+
+
+@pytest.mark.parametrize("module", [quality.classify, toxicity.score])
+def test_any_column_name(spark, make_docs, words, module):
+    docs, labels, _, _ = labelled(spark, make_docs, words)
+    odd = docs.selectExpr("*", "'f' AS found", "1 AS `a.b`", "2 AS in_0_")
+    got = module(odd, labels)
+    assert got.columns[: len(odd.columns)] == odd.columns and got.filter("found = 'f' AND `a.b` = 1 AND in_0_ = 2").count() == 400
+
+
+def test_an_id_with_two_texts(spark, make_docs):
+    docs = make_docs(["one clean text", "you idiot scum", "another clean text here"], [1, 1, 2])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], LABELS)
+    a, b = (sorted((r.doc_id, r.text, r.toxicity, r.evidence_ids) for r in toxicity.score(x, labels).collect()) for x in (docs, docs.repartition(3)))
+    assert a == b
+
+
 def test_isotonic():
     x, y = np.array([1.0, 2, 2, 3, 4]), np.array([0.0, 1, 0, 0, 1])
     steps, values = quality.isotonic(x, y)
@@ -96,11 +159,13 @@ def test_all_words_of_the_examples_are_terms(spark, make_docs, words):
     """Clean documents have no word that tells the labels apart; their neighbours are those of a brute force over all words."""
     docs, labels, texts, rows = labelled(spark, make_docs, words)
     index = toxicity.fit(docs, labels.filter("doc_id < 250"))
-    seen = [Counter(toxicity.terms_of(t)) for t in texts]
-    assert set(index.vocabulary) == {t for c in seen[:250] for t in c}
+    seen = [Counter(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    names = {t: int(lexer.words([t])[0][0]) for c in seen for t in c}
+    vocabulary = {t: i for t in {t for c in seen[:250] for t in c} for i in np.flatnonzero(index.vocabulary == np.uint64(names[t])).tolist()}
+    assert set(vocabulary) == {t for c in seen[:250] for t in c} and len(index.vocabulary) == len(vocabulary)
     df = Counter(t for c in seen for t in c)
-    plain = {t: np.log((1 + len(texts)) / (1 + df[t])) + 1 for t in index.vocabulary}
-    factor = {t: index.idf[i] / plain[t] for t, i in index.vocabulary.items()}
+    plain = {t: np.log((1 + len(texts)) / (1 + df[t])) + 1 for t in vocabulary}
+    factor = {t: index.idf[i] / plain[t] for t, i in vocabulary.items()}
     assert {round(x, 6) for x in factor.values()} == {1, toxicity.LEAD} and round(factor["idiot"], 6) == toxicity.LEAD
 
     def vector(c):
@@ -121,7 +186,7 @@ def test_bounds_leave_out_no_neighbour(monkeypatch):
     n, terms = 900, 60
     counts = [{int(t): 1 for t in rng.choice(terms, 3, replace=False)} for _ in range(n)]
     idf = np.where(np.arange(terms) < 20, toxicity.LEAD, 1.0)
-    index = toxicity.build(np.arange(n), rng.integers(0, 2, n).astype(float), counts, {}, idf)
+    index = toxicity.build(np.arange(n), rng.integers(0, 2, n).astype(float), counts, np.arange(terms, dtype=np.uint64), idf)
     vectors = [index.vector(c) for c in counts[:200]]
     few = index.all_nearest(vectors, 15)
     monkeypatch.setattr(toxicity, "FEW_BLOCKS", 0)
