@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +24,19 @@ def build(keys: DataFrame, key: str, count: int) -> tuple[bytes, int]:
     bits = 1 << max(10, min(MAX_BITS, count * BITS_PER_KEY).bit_length())
     bits = min(bits, MAX_BITS)
     at = keys.filter(F.col(key).isNotNull()).select(F.explode(_places(F.col(key), bits)).alias("p"))
-    words = at.groupBy(F.expr("p div 8").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(p % 8 as int))")).alias("b"))
-    out = np.zeros(bits // 8, np.uint8)
-    got = words.toPandas()
-    out[got.w.to_numpy(np.int64)] = got.b.to_numpy(np.uint8)
+    # words of 64 bits, packed by task: the driver gets the filter's bytes and no row for each
+    words = at.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.mapInArrow(_packed, "w binary, b binary").collect():
+        out[np.frombuffer(r.w, np.int64)] = np.frombuffer(r.b, np.int64)
     return out.tobytes(), bits
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([x.column(c).to_numpy().tobytes()]) for c in ("w", "b")], names=["w", "b"])
+
+
 def may_contain(filter_: tuple[bytes, int], key: Column) -> Column:
     """False only for keys that the filter doesn't hold; null keys are not held."""
     data, bits = filter_

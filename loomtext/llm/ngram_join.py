@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bloom
-from loomtext.llm.common import free, materialise, table
+from loomtext.llm.classes import classes_sql, components, summary
+from loomtext.llm.common import guarded, materialise, released, table
 
 N = 2
 THRESHOLD = 0.7
@@ -34,6 +35,7 @@ TASK_DOCS = 400
 #: Segments for each that a prober of the largest size needs: the rest is left out as empty or shared by many.
 SLACK = 1.2
 _SPLIT = r"[^\p{L}\p{N}]+"
+_WORDS = r"[\p{L}\p{N}]"
 _SUBS = 4096
 _U = np.uint64
 _DEL, _IDX, _PROBE = 1, 2, 4
@@ -277,6 +279,7 @@ def _signature_batches(n: int, t: float, subs: dict[int, int]):
                     held = 0
         if out:
             yield _flush(out)
+        released()
 
     return run
 
@@ -369,6 +372,8 @@ def _candidates(t: float):
                 y = indexed[length[indexed] <= length[x]]
                 add(np.full(len(y), x, np.int64), y.astype(np.int64))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        found.clear()
+        released()
         return pa.Table.from_arrays([pa.array(ids[pairs >> 32]), pa.array(ids[pairs & 0xFFFFFFFF])], schema=_PAIR)
 
     return run
@@ -420,6 +425,7 @@ def _verified(t: float):
                 shared[k : k + len(others)] = np.add.reduceat(marked[rows].astype(np.int64), cut)
             marked[own] = False
         total = size[a] + size[b] - shared
+        released()
         ok = shared / np.maximum(total, 1) >= t
         return pa.Table.from_arrays([pa.array(x[ok]) for x in (rids[a], rids[b], shared, total)], schema=_FOUND)
 
@@ -472,121 +478,68 @@ def pair_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Data
     return rows.groupBy("task").applyInArrow(_verified(threshold), "a long, b long, shared long, total long")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """The ids of each text that has a word: rid, ids (ascending, distinct, without nulls)."""
-    with_word = docs.filter(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    return with_word.groupBy(text_key(F.col("text")).alias("rid")).agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
+def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links: one row for each document (distinct doc_id and text).
 
+    n_links counts the other documents whose n-gram sets reach the threshold with this one's, equal texts among them: those are
+    counted and not paired, all pairs of texts that differ are found. class_id is the smallest doc_id that chains of links
+    reach; a document without links is a class of its own.
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All near copies: doc_a, doc_b, jaccard, ids_a, ids_b.
-
-    A row for each two texts that differ and reach the threshold: ids_a and ids_b are all documents of either text, each of
-    ids_a has that similarity with each of ids_b; doc_a and doc_b are their smallest ids, doc_a < doc_b. And a row for each
-    text of two or more documents: ids_a = ids_b are all of them, doc_a and doc_b the smallest two, jaccard 1.
-
-    Nulls: a null or empty text, or one without letters and digits, has no n-gram and is in no pair. A null doc_id isn't
-    reported; a pair of which one side has only null ids is left out. A text of fewer than n words counts as one n-gram.
-    Repeated rows of one doc_id and text are one document. An empty table gives an empty table; columns other than doc_id
-    and text are ignored, whatever their names. Very long texts are sets like any other, no part of them is left out.
+    Nulls: a null or empty text, or one without letters and digits, has no n-gram and no link. A document with a null doc_id
+    counts as a link of others, but its id is never a class's smallest; a class of such documents has a null class_id. A
+    text of fewer than n words counts as one n-gram. Repeated rows of one doc_id and text are one document, several texts
+    of an id are documents of their own. An empty table gives an empty table; columns other than doc_id and text are
+    ignored, whatever their names. Very long texts are sets like any other, no part of them is left out.
     """
     docs = docs.select("doc_id", "text")
-    ids = materialise(copies(docs).filter(F.size("ids") > 0), "copies")
-    found = pair_sets(docs, n, threshold)
-    side = lambda s: ids.select(F.col("rid").alias(s), F.col("ids").alias(f"ids_{s}"))
-    pairs = found.join(side("a"), "a").join(side("b"), "b")
-    swap = F.col("ids_a")[0] > F.col("ids_b")[0]
-    pairs = pairs.select(F.when(swap, F.col("ids_b")).otherwise(F.col("ids_a")).alias("ids_a"), F.when(swap, F.col("ids_a")).otherwise(F.col("ids_b")).alias("ids_b"), (F.col("shared") / F.col("total")).alias("jaccard"))
-    equal = ids.filter(F.size("ids") > 1).select(F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"), F.lit(1.0).alias("jaccard"))
-    one = lambda x: x.select(F.col("ids_a")[0].alias("doc_a"), "jaccard", "ids_a", "ids_b")
-    out = one(pairs).withColumn("doc_b", F.col("ids_b")[0]).unionByName(one(equal).withColumn("doc_b", F.col("ids_b")[1]))
-    return out.select("doc_a", "doc_b", "jaccard", "ids_a", "ids_b")
-
-
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, root) of a partition's spanning forest, by union-find; the root is the smallest member."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    if parent:
-        xs = list(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array([root(x) for x in xs], pa.int64())], schema=_EDGE)
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of an undirected graph of pairs a, b.
-
-    Partitions first shrink to spanning forests; then minimum labels spread and shortcut, each round written to the
-    shared folder, until no label changes. The number of rounds follows the logarithm of the longest path.
-    """
-    edges = pairs.select("a", "b").mapInArrow(_forest, "a long, b long")
-    both = materialise(edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x")).select("x.v", "x.u").distinct(), "edges")
-    label = materialise(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), "labels")
-    while True:
-        near = both.join(label.select(F.col("v").alias("u"), "c"), "u").select("v", "c")
-        low = near.unionByName(label).groupBy("v").agg(F.min("c").alias("m"))
-        jump = low.join(label.select(F.col("v").alias("m"), F.col("c").alias("up")), "m").select("v", F.least("m", "up").alias("c"))
-        new = materialise(jump, "labels")
-        changed = new.join(label.select("v", F.col("c").alias("old")), "v").filter("c <> old").limit(1).count()
-        label = new
-        if not changed:
-            return label.select(F.col("v").alias("node"), F.col("c").alias("component"))
+    found = materialise(pair_sets(docs, n, threshold).select("a", "b"), "links")
+    node = F.when(F.col("text").rlike(_WORDS), text_key(F.col("text")))
+    rows = docs.select(F.col("doc_id").alias("id"), node.alias("node"), text_key(F.col("text")).alias("t")).distinct().drop("t")
+    return summary(rows, found).withColumnRenamed("id", "doc_id")
 
 
 def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of near copies: of its connected component, the one with the smallest doc_id.
 
-    Texts without a word are in no group and stay, as do null texts; of repeated rows with equal ids one stays, a null id
-    loses against any other. Only documents that a size-bounded Bloom filter of the groups lets through are shuffled.
+    Texts without a word are in no group and stay, as do null texts and all their repeats. Of rows with equal ids, the one with the
+    smallest hash of its text, then of all its columns, goes first; of wholly equal rows one stays. A null id loses
+    against any other. Very long texts are compared whole; an empty table gives an empty table; columns may have any names.
+    Winners are chosen by ids and hashes alone; only the documents of groups, which a size-bounded Bloom filter
+    lets through, are shuffled.
     """
-    groups = docs.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).groupBy(text_key(F.col("text")).alias("rid")).agg(F.count(F.lit(1)).alias("n"))
-    many = groups.filter("n > 1").select(F.col("rid").alias("node"), F.col("rid").alias("component"))
+    g = guarded(docs, ["doc_id", "text"], [])
+    docs = g.rows
+    rid = F.when(F.col("text").rlike(_WORDS), text_key(F.col("text")))
+    groups = docs.select(rid.alias("node")).filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    many = groups.filter("n > 1").select("node", F.col("node").alias("component"))
     found = materialise(pair_sets(docs.select("text"), n, threshold).select("a", "b"), "pairs")
-    near = components(found)
-    members = materialise(near.unionByName(many).groupBy("node").agg(F.min("component").alias("component")), "members")
+    members = materialise(components(found).unionByName(many).groupBy("node").agg(F.min("component").alias("component")), "members")
     held = bloom.build(members, "node", members.count())
-    rid = text_key(F.col("text"))
-    inside = bloom.may_contain(held, rid) & F.col("text").isNotNull()
-    names = {"rid": "__rid", "component": "__component"}
-    checked = docs.filter(inside).withColumn(names["rid"], rid)
-    checked = checked.join(members.select(F.col("node").alias("__rid"), F.col("component").alias("__component")), "__rid", "left")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("__component").orderBy(F.col("doc_id").asc_nulls_last(), "__rid")
-    alone = checked.filter(F.col("__component").isNull()).select(*docs.columns)
-    first = checked.filter(F.col("__component").isNotNull()).withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*docs.columns)
-    rest = docs.filter(~inside | F.col("text").isNull())
-    return rest.unionByName(alone).unionByName(first)
+    inside = bloom.may_contain(held, rid)
+    checked = docs.filter(inside).withColumns({"node": rid, "row": F.xxhash64(*[F.to_json(F.struct(c)) for c in docs.columns])})
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "row")
+    winners = checked.select("node", order.alias("o")).join(members, "node").groupBy("component").agg(F.min("o").alias("o")).select("o.node", "o.row")
+    winners = materialise(winners, "winners")
+    alone = checked.join(members.select("node"), "node", "left_anti").select(*g.columns)
+    first = checked.join(winners, ["node", "row"], "left_semi").dropDuplicates(["node", "row"]).select(*g.columns)
+    rest = docs.filter(rid.isNull() | ~inside)
+    return g.restored(rest.unionByName(alone).unionByName(first))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents"))
 
 
 _GRAMS = rf"""
 words AS (SELECT text, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
 grams AS (SELECT DISTINCT text, unnest(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM words WHERE len(w) > 0),
 sizes AS (SELECT text, count(*) AS n FROM grams GROUP BY text),
-copies AS (SELECT text, list_sort(list(DISTINCT doc_id)) AS ids FROM documents WHERE text IN (SELECT text FROM sizes) AND doc_id IS NOT NULL GROUP BY text),
 shared AS (SELECT a.text AS ta, b.text AS tb, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.text < b.text GROUP BY ALL),
 near AS (SELECT ta, tb, o / (x.n + y.n - o)::DOUBLE AS jaccard FROM shared JOIN sizes x ON x.text = ta JOIN sizes y ON y.text = tb WHERE o / (x.n + y.n - o)::DOUBLE >= {THRESHOLD})"""
 
 SQL = f"""
-WITH {_GRAMS},
-both_ AS (SELECT CASE WHEN x.ids[1] < y.ids[1] THEN x.ids ELSE y.ids END AS ids_a, CASE WHEN x.ids[1] < y.ids[1] THEN y.ids ELSE x.ids END AS ids_b, jaccard
-  FROM near JOIN copies x ON x.text = ta JOIN copies y ON y.text = tb)
-SELECT ids_a[1] AS doc_a, ids_b[1] AS doc_b, jaccard, ids_a, ids_b FROM both_
-UNION ALL SELECT ids[1], ids[2], 1.0::DOUBLE, ids, ids FROM copies WHERE len(ids) > 1"""
+WITH RECURSIVE {_GRAMS},
+rows_ AS (SELECT DISTINCT doc_id AS id, sizes.text AS node, documents.text FROM documents LEFT JOIN sizes USING (text)),
+links_ AS (SELECT ta AS a, tb AS b FROM near),
+{classes_sql("rows_", "links_")}
+SELECT id AS doc_id, class_id, n_links FROM summary"""

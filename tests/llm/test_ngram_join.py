@@ -37,18 +37,52 @@ def corpus(words, seed, n=60):
     return out
 
 
+def grouped(nodes, pairs):
+    parent = {x: x for x in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    return root
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_every_pair_is_found(spark, make_docs, words, seed):
+def test_every_link_is_found(spark, make_docs, words, seed):
     texts = corpus(words, seed)
-    found = J.join(make_docs(texts)).collect()
-    got = {tuple(sorted((texts[r.ids_a[0]], texts[r.ids_b[0]]))) for r in found if r.ids_a != r.ids_b}
-    assert got == brute(texts)
+    pairs = brute(texts)
+    docs = make_docs(texts)
+    found = J.pair_sets(docs).collect()
+    by_key = {r.k: r.text for r in docs.select(J.text_key(docs.text).alias("k"), "text").collect()}
+    assert {tuple(sorted((by_key[r.a], by_key[r.b]))) for r in found} == pairs
     for r in found:
-        a, b = grams(texts[r.doc_a]), grams(texts[r.doc_b])
-        assert r.jaccard == pytest.approx(len(a & b) / len(a | b))
-        assert {texts[i] for i in r.ids_a} == {texts[r.ids_a[0]]} and r.doc_a < r.doc_b
-    equal = {tuple(r.ids_a) for r in found if r.ids_a == r.ids_b}
-    assert equal == {tuple(i for i, x in enumerate(texts) if x == t) for t in set(texts) if texts.count(t) > 1 and grams(t)}
+        a, b = grams(by_key[r.a]), grams(by_key[r.b])
+        assert (r.shared, r.total) == (len(a & b), len(a | b))
+    linked = {t: {t} for t in texts}
+    for a, b in pairs:
+        linked[a].add(b)
+        linked[b].add(a)
+    root = grouped(set(texts), pairs)
+    least = {}
+    for i, t in enumerate(texts):
+        least.setdefault(root(t), i)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_classes(docs).collect()}
+    assert got == {i: (least[root(t)], sum(texts.count(x) for x in linked[t]) - 1) for i, t in enumerate(texts)}
+
+
+def test_copies_and_a_variant_of_many(spark, make_docs):
+    """A text of half the documents, and variants that chain: no pair is lost, none is made of equal texts."""
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base)] * 300 + [" ".join([*base[:40 - i], *[f"v{i}{j}" for j in range(i)]]) for i in range(1, 6)] + [f"alone {i} of its own kind x{i}" for i in range(50)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_classes(make_docs(texts)).collect()}
+    sets = [grams(t) for t in texts]
+    for i in [0, 299, *range(300, 355)]:
+        want = sum(len(sets[i] & x) / len(sets[i] | x) >= J.THRESHOLD for j, x in enumerate(sets) if j != i)
+        assert got[i][1] == want
+    assert all(got[i][0] == 0 for i in range(300)) and all(got[i] == (i, 0) for i in range(305, 355))
 
 
 @settings(max_examples=30, deadline=None)
@@ -73,13 +107,24 @@ def test_cases(spark, make_docs, clashing):
     long = " ".join(f"w{i}" for i in range(60_000))
     texts = [None, "", "...", "one", "one", "One!", None, "", long, long + " more", "a b c", "a b c"]
     ids = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None]
-    docs = clashing(make_docs(texts, ids), "jaccard")
-    rows = {(r.doc_a, r.doc_b): r for r in J.join(docs).collect()}
-    assert set(rows) == {(3, 4), (3, 5), (8, 9)}
-    assert rows[3, 5].ids_a == [3, 4] and rows[3, 5].jaccard == 1
-    assert J.join(make_docs([])).collect() == []
-    again = make_docs(["x y z", "x y z"], [1, 1])
-    assert J.join(again).collect() == []
+    docs = clashing(make_docs(texts, ids), "class_id").withColumnRenamed("lang", "a.b")
+    rows = sorted(((r.doc_id, r.class_id, r.n_links) for r in J.near_classes(docs).collect()), key=str)
+    alone = [(i, i, 0) for i in (0, 1, 2, 6, 7)]
+    assert rows == sorted([*alone, (3, 3, 2), (4, 3, 2), (5, 3, 2), (8, 8, 1), (9, 8, 1), (10, 10, 1), (None, 10, 1)], key=str)
+    assert J.near_classes(make_docs([])).collect() == []
+    again = make_docs(["x y z", "x y z", "p q r"], [1, 1, 1])
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in J.near_classes(again).collect()) == [(1, 1, 0), (1, 1, 0)]
+    lost = make_docs(["x y z", "x y z"], [None, None])
+    assert [(r.doc_id, r.class_id) for r in J.near_classes(lost).collect()] == [(None, None)]
+
+
+def test_deduplicate_cases(spark, make_docs):
+    docs = make_docs(["x y z", "x y z", "x y z", None, None, ""], [1, 1, None, 2, 2, 3]).selectExpr("*", "'t' AS node", "doc_id AS `a.b`", "1 AS component")
+    got = J.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.node, r["a.b"]) for r in got.collect() if r.text is not None) == [(1, "x y z", "t", 1), (3, "", "t", 3)]
+    assert [r.doc_id for r in got.collect() if r.text is None] == [2, 2]
+    assert J.deduplicate(make_docs([])).collect() == []
 
 
 def test_one_of_each_group_stays(spark, make_docs, words):
@@ -110,4 +155,4 @@ def test_components(spark):
 
 def test_bad_parameters(make_docs):
     with pytest.raises(ValueError):
-        J.join(make_docs(["a"]), threshold=0)
+        J.near_classes(make_docs(["a"]), threshold=0)
