@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtext.kernels import stems
+
 
 def regexp_stem(word: Column, min_length: int = 4) -> Column:
     """M4: one of eight English endings goes from words of more bytes than min_length."""
@@ -26,19 +29,95 @@ def cistem(word: Column) -> Column:
     return F.when(short, F.lower(word)).otherwise(out)
 
 
+def _first_suffix(w: Column, suffixes: str, least: int) -> Column:
+    """w without the first of the suffixes that leaves more than ``least`` bytes."""
+    out = w
+    for x in reversed(suffixes.split()):
+        out = F.when(w.endswith(x) & (F.octet_length(w) > len(x) + least), F.left(w, F.length(w) - len(x))).otherwise(out)
+    return out
+
+
+_RSLP_VERBS = "ou ram mos ndo sse"
+_ISRI_SUFFIXES = "huma km kn hm hn na ny at an yn wn h t k n"
+
+
 def rslp(word: Column) -> Column:
-    """M8: ns to n, es (of more than 4) or s dropped, a final a to o, one of five verb endings dropped."""
-    w = F.lower(word)
-    w = F.when(w.endswith("ns"), F.regexp_replace(w, "s$", "")).when(w.endswith("es") & (F.length(w) > 4), F.regexp_replace(w, "es$", "")).when(w.endswith("s"), F.regexp_replace(w, "s$", "")).otherwise(w)
-    w = F.regexp_replace(w, "a$", "o")
-    return F.regexp_replace(w, "(?<=.)(ou|ram|mos|ndo|sse)$", "")
+    """M8: of more than 3 bytes, ns becomes n, es (of more than 4) or s but not ss goes, a final a becomes o, one of five verb
+    endings goes."""
+    low = F.lower(word)
+    cut = lambda n: F.left(low, F.length(low) - n)
+    w = F.when(low.endswith("ns"), cut(1)).when(low.endswith("es") & (F.octet_length(low) > 4), cut(2)).when(low.endswith("s") & ~low.endswith("ss"), cut(1)).otherwise(low)
+    w = F.when(w.endswith("a") & (F.octet_length(w) > 3), F.concat(F.left(w, F.length(w) - 1), F.lit("o"))).otherwise(w)
+    return F.when(F.octet_length(low) <= 3, low).otherwise(_first_suffix(w, _RSLP_VERBS, 2))
 
 
 def isri_transliterated(word: Column) -> Column:
-    """M5: a leading al, one prefix letter and one ending of transliterated Arabic go, while three letters stay."""
-    w = F.when(word.startswith("al") & (F.length(word) > 4), F.substring(word, 3, 1 << 30)).otherwise(word)
-    w = F.when(w.rlike("^[wfbkl]") & (F.length(w) > 3), F.substring(w, 2, 1 << 30)).otherwise(w)
-    return F.when(F.length(w) > 4, F.regexp_replace(w, "(at|an|in|un|wn|yn|h)$", "")).otherwise(w)
+    """M5: of more than 3 bytes, a leading al, one prefix letter and one ending of transliterated Arabic go."""
+    low = F.lower(F.trim(word))
+    w = F.when(low.startswith("al") & (F.octet_length(low) > 4), F.substring(low, 3, 1 << 30)).otherwise(low)
+    w = F.when(w.rlike("^[wfblytns]") & (F.octet_length(w) > 3), F.substring(w, 2, 1 << 30)).otherwise(w)
+    w = _first_suffix(w, _ISRI_SUFFIXES, 2)
+    return F.when((F.octet_length(low) <= 3) | (F.octet_length(w) < 2), low).otherwise(w)
+
+
+def _by_word(stem: Callable[[str], str]) -> Callable[[Column], Column]:
+    @F.arrow_udf(T.StringType())
+    def run(words: pa.Array) -> pa.Array:
+        coded = words.dictionary_encode()
+        return pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+    return run
+
+
+def lancaster(word: Column) -> Column:
+    """M2."""
+    return _by_word(stems.lancaster)(word)
+
+
+def snowball(word: Column, language: str = "english") -> Column:
+    """M3: English, German, Swedish, Norwegian or Danish."""
+    return _by_word(stems.snowball(language))(word)
+
+
+def arlstem(word: Column, second: bool = False) -> Column:
+    """M10; second: M11."""
+    return _by_word(lambda w: stems.arlstem(w, second))(word)
+
+
+#: Suffix rules of the WordNet lemmatizer by part of speech, in the order in which they are tried.
+MORPHY = {
+    "n": [("s", ""), ("ses", "x"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")],
+    "v": [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")],
+    "a": [("er", ""), ("est", ""), ("er", "e"), ("est", "e")],
+    "r": [],
+}
+
+
+def lemmatize(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame, word: str = "word", pos: str = "pos") -> DataFrame:
+    """Words with a column lemma. lexicon: pos, word; exceptions: pos, form, base.
+
+    An exception's base, else the first suffix rule whose result, or that without its doubled last letter, is in the lexicon, else
+    the word (in lower case if the lexicon has that). The candidates of the distinct words are joined, not the words' rows.
+    """
+    low = F.lower(word)
+    rules = F.array().cast("array<struct<rank:int,form:string>>")
+    for p, table in MORPHY.items():
+        made = []
+        for i, (end, to) in enumerate(table):
+            form = F.concat(F.left(low, F.length(low) - len(end)), F.lit(to))
+            fits = low.endswith(end) & (F.length(low) > len(end))
+            made.append(F.when(fits, F.struct(F.lit(2 * i).alias("rank"), form.alias("form"))))
+            twice = (F.length(form) > 1) & (F.right(form, F.lit(1)) == F.left(F.right(form, F.lit(2)), F.lit(1)))
+            made.append(F.when(fits & twice, F.struct(F.lit(2 * i + 1).alias("rank"), F.left(form, F.length(form) - 1).alias("form"))))
+        made.append(F.struct(F.lit(1000).alias("rank"), low.alias("form")))
+        rules = F.when(F.col(pos) == p, F.filter(F.array(*made), lambda x: x.isNotNull())).otherwise(rules)
+    kinds = words.select(word, pos).distinct()
+    known = exceptions.select(F.col("pos").alias(pos), F.lower("form").alias("form"), F.struct(F.lit(-1).alias("rank"), F.lower("base").alias("form")).alias("best"))
+    by_table = kinds.withColumn("form", low).join(known, [pos, "form"]).select(word, pos, "best")
+    tried = kinds.select(word, pos, F.explode(rules).alias("best")).withColumn("form", F.col("best.form"))
+    found = tried.join(lexicon.select(F.col("pos").alias(pos), F.lower("word").alias("form")).distinct(), [pos, "form"], "left_semi").select(word, pos, "best")
+    lemmas = by_table.unionByName(found).groupBy(word, pos).agg(F.min("best").alias("best"))
+    return words.join(lemmas, [word, pos], "left").withColumn("lemma", F.coalesce("best.form", word)).drop("best")
 
 
 # ---------------------------------------------------------------- Porter (1980), as published

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,8 +69,11 @@ def word_punct(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"({WORD_CLASS}+|[^\p{{L}}\p{{M}}\p{{N}}_\s]+)"), F.lit(1))
 
 
-def regexp(text: Column, pattern: str = r"\w+", gaps: bool = False) -> Column:
-    """The matches of a pattern, or with gaps what lies between them, without empty tokens."""
+def regexp(text: Column, pattern: str = r"\w+", gaps: bool = False, flags: int | None = None) -> Column:
+    """The matches of a pattern, or with gaps what lies between them, without empty tokens. flags: see ``flagged``; by
+    default the pattern is Java's."""
+    if flags is not None:
+        pattern = flagged(pattern, flags)
     if gaps:
         return _present(F.split(text, pattern, -1))
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
@@ -83,10 +88,10 @@ def tweet(text: Column, preserve_case: bool = True, reduce_len: bool = False, st
     tokens = F.regexp_extract_all(text, F.lit(f"({_TWEET})"), F.lit(1))
     if strip_handles:
         tokens = F.filter(tokens, lambda x: ~(x.startswith("@") & (F.length(x) > 1)))
-    if reduce_len:
-        tokens = F.transform(tokens, lambda x: F.when(F.length(x) > 3, F.regexp_replace(x, r"(.)\1{3,}", "$1$1$1")).otherwise(x))
     if not preserve_case:
-        tokens = F.transform(tokens, lambda x: F.when(x.rlike(r"^\W+$"), x).otherwise(F.lower(x)))
+        tokens = F.transform(tokens, F.lower)
+    if reduce_len:
+        tokens = F.transform(tokens, lambda x: F.regexp_replace(x, r"(.)\1{3,}", "$1$1$1"))
     return tokens
 
 
@@ -100,43 +105,53 @@ _NO_SPACE_BEFORE = [".", ",", "!", "?", ":", ";", ")", "]", "}", "%", "''", "n't
 
 def detokenize(tokens: Column) -> Column:
     """Tokens joined by spaces, but none before closing and opening punctuation and clitics."""
-    glue = lambda x: F.when(x.isin(_NO_SPACE_BEFORE) | x.startswith("'"), F.lit("")).otherwise(F.lit(" "))
-    joined = F.aggregate(tokens, F.lit(""), lambda acc, x: F.concat(acc, glue(x), x))
-    return F.when(tokens[0].isin(_NO_SPACE_BEFORE) | tokens[0].startswith("'"), joined).otherwise(F.substring(joined, 2, 1 << 30))
+    tight = lambda x: x.isin(_NO_SPACE_BEFORE) | x.startswith("'")
+    joined = F.array_join(F.transform(tokens, lambda x: F.when(tight(x), x).otherwise(F.concat(F.lit(" "), x))), "")
+    return F.when(tight(F.get(tokens, F.lit(0))), joined).otherwise(F.substring(joined, 2, 1 << 30))
+
+
+def _category(kind: str, without: str = "", more: str = "") -> str:
+    """A character class: a Unicode category of the basic plane without those listed in hex, and some more."""
+    drop = {int(c, 16) for c in without.split()}
+    codes = [c for c in range(0x10000) if unicodedata.category(chr(c)) == kind and c not in drop] + [int(c, 16) for c in more.split()]
+    return "".join(f"\\x{{{c:x}}}" for c in codes)
+
+
+_OPEN = _category("Ps", "f3a f3c 169b 2308 230a 2768 276a 276c 276e 2770 2772 2774 27c5 2e42 2e55 2e57 2e59 2e5b fd3f fe35 fe37 fe39 fe3b fe3d fe3f fe41 fe43 fe47")
+_CLOSE = _category("Pe", "169c 2309 230b 2769 276b 276d 276f 2771 2773 2775 27c6 2e56 2e58 2e5a 2e5c 301f fd3e", "2a00")
+_CURRENCY = _category("Sc", "7fe 7ff 20bb 20bc 20bd 20be 20bf 20c0")
+_ALONE = r",;!\x{22}\])}%\x{60c}\x{61b}\x{61f}\x{66a}\x{a1}\x{a9}\x{ae}\x{b0}\x{b1}\x{bb}\x{bf}\x{203a}\x{201d}\x{2026}\x{964}\x{965}" + r"({\[\x{ab}\x{2018}\x{2019}\x{201a}\x{201c}\x{201e}\x{2039}\x{300c}\x{300e}\x{2013}\x{2014}"
+_BLANKS = r"\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Ordered substitutions; \1 is the first group. Single characters that only get spaces share one substitution.
+TOKTOK = [
+    (r"(\p{Nd}),(\p{Nd})", "\\1\x01\\2"), (r"\x{a0}", " "), (f"([{_ALONE}])", " \\1 "), ("& ", "&amp; "), ("\t", " &#9; "), (r"\|", " &#124; "), (r"([\x{27}\x{2019}`])", " \\1 "), (" ` ` ", " `` "), (" ' ' ", " '' "),
+    (r"(?m)\.$", " ."), (rf"(?m)\.[{_BLANKS}]*([\x{{22}}\x{{27}}\x{{2019}}\x{{bb}}\x{{203a}}\x{{201d}}])[{_BLANKS}]*$", " . \\1"), (r"(?m)\?$", " ?"), (r"(,{2,}|-{2,}|\.{2,})", " \\1 "), (f"([{_OPEN}{_CURRENCY}])", "\\1 "), (f"([{_CLOSE}])", " \\1"),
+]
 
 
-_TOKTOK = [
-    (" ", " "), (r"([،;؛¿!\"\])}»›”؟¡%٪°±©®।॥…])", " $1 "), (r"([({\[“‘„‚«‹「『])", " $1 "), (r"([–—])", " $1 "), ("& ", "&amp; "), ("\t", " &#9; "), (r"\|", " &#124; "),
-    (r"(?<![,])([,،])(?![,\d])", " $1 "), (r"(['’`])", " $1 "), (r" ` ` ", " `` "), (r" ' ' ", " '' "), (r"(\?)", " $1 "), (r"(:)(?!//)", " $1 "), (r"(?<=\D)(/)", " $1 "), (r"(-{2,})", " $1 "), (r"(\.{2,})", " $1 "), (r"(?<!\.)\.\s*$", " ."), (r"(\p{Sc})", " $1 "),
-]
+def toktok_text(text: Column) -> Column:
+    """T18 with return_str: the text with spaces between its tokens; commas within numbers are U+0001."""
+    for pattern, to in TOKTOK:
+        text = F.regexp_replace(text, pattern.replace("(?m)", "(?md)"), to.replace("\\", "$"))
+    return F.regexp_replace(F.regexp_replace(text, " {2,}", " "), rf"^[{_BLANKS}]+|[{_BLANKS}]+$", "")
 
 
 def toktok(text: Column) -> Column:
     """Ordered substitutions that set off punctuation, brackets, quotes, dashes and currency signs; commas within numbers stay."""
-    for pattern, to in _TOKTOK:
-        text = F.regexp_replace(text, pattern, to)
-    return _present(F.split(text, r"\s+", -1))
-
+    parts = _present(F.split(toktok_text(text), rf"[{_BLANKS}]+", -1))
+    return F.transform(parts, lambda x: F.replace(x, F.lit("\x01"), F.lit(",")))
 
-def spans(text: Column, pattern: str) -> Column:
-    """D3 of a gap pattern: (start, end) in characters of the tokens between matches, empty ones left out."""
-    pieces = F.split(text, pattern, -1)
-    seps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    state = "struct<at:int,i:int,out:array<struct<start:int,end:int>>>"
-    zero = F.from_json(F.lit('{"at":0,"i":0,"out":[]}'), state)
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x)
-        own = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        out = F.when(x == "", acc["out"]).otherwise(F.concat(acc["out"], own))
-        after = end + F.coalesce(F.length(F.get(seps, acc["i"])), F.lit(0))
-        return F.struct(after.cast("int").alias("at"), (acc["i"] + 1).cast("int").alias("i"), out.alias("out")).cast(state)
-
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+def flagged(pattern: str, flags: int = 0) -> str:
+    """A pattern with the flag bits I 2, M 8, S 16, X 64 written into it; without ASCII 256, classes are Unicode."""
+    inline = "".join(c for bit, c in ((2, "i"), (8, "m"), (16, "s"), (64, "x")) if flags & bit) + ("" if flags & 256 else "U")
+    return f"(?{inline}){pattern}" if inline else pattern
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Contiguous n-grams; none of shorter arrays. tokens: a plain column; an expression would be evaluated for each n-gram."""
+    if n == 2:
+        return F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.array(a, b))
     count = F.size(tokens) - n + 1
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(tokens, i, n))).otherwise(F.slice(F.array(tokens), 1, 0))
 
@@ -152,3 +167,23 @@ def everygrams(tokens: Column, shortest: int, longest: int) -> Column:
 def pad(tokens: Column, n: int, left: str = "<s>", right: str = "</s>") -> Column:
     """N - 1 marks at both ends."""
     return F.concat(F.array_repeat(F.lit(left), n - 1), tokens, F.array_repeat(F.lit(right), n - 1))
+
+
+def blank(text: Column) -> Column:
+    """No character but white space."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", "")) == ""
+
+
+def collapsed(text: Column) -> Column:
+    """Each run of white space becomes one space."""
+    return F.regexp_replace(text, r"(?U)\s+", " ")
+
+
+def count_char(text: Column, char: str) -> Column:
+    """S18."""
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def log_base2(score: Column) -> Column:
+    """Minus infinity at 0."""
+    return F.when(score == 0, F.lit(float("-inf"))).otherwise(F.log2(score))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
-from functools import lru_cache
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,15 @@ class Grammar:
         for left, right in self.productions:
             by_left.setdefault(left, []).append(right)
         active: set = set()
+        known: dict = {}
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 30 * len(words)))
 
-        @lru_cache(maxsize=None)
         def sequence(right: tuple, i: int, j: int) -> tuple[str, ...]:
+            if (right, i, j) not in known:
+                known[right, i, j] = parsed(right, i, j)
+            return known[right, i, j]
+
+        def parsed(right: tuple, i: int, j: int) -> tuple[str, ...]:
             (name, terminal), rest = right[0], right[1:]
             out = []
             for k in range(i + 1, j - len(rest) + 1) if rest else [j]:
@@ -65,6 +71,74 @@ class Grammar:
         return list(dict.fromkeys(span(self.start, 0, len(words)))) if words else []
 
 
+    def nonterminals(self) -> list[str]:
+        """Left sides, and right-hand symbols that are no terminals, sorted."""
+        return sorted({left for left, _ in self.productions} | {n for _, right in self.productions for n, terminal in right if not terminal})
+
+    def __len__(self) -> int:
+        return len(self.productions)
+
+    def __str__(self) -> str:
+        return "\n".join(f"{left} -> {' '.join(f"'{n}'" if terminal else n for n, terminal in right)}" for left, right in self.productions)
+
+
+def text_of(rows: list[dict]) -> list[str]:
+    """The bracket string of each node's subtree, in pre-order; a leaf is its label."""
+    out = [""] * len(rows)
+    below: dict[int, list[str]] = {}
+    for r in reversed(rows):
+        inner = below.pop(r["node"], [])[::-1]
+        out[r["node"]] = r["label"] if r["leaf"] else f"({' '.join([r['label'], *inner])})"
+        below.setdefault(r["parent"], []).append(out[r["node"]])
+    return out
+
+
+def positions(rows: list[dict]) -> list[list[int]]:
+    """Y2: each node's place as child indexes from the root."""
+    out: list[list[int]] = []
+    for r in rows:
+        out.append([*out[r["parent"]], r["child"]] if r["parent"] >= 0 else [])
+    return out
+
+
+def productions(rows: list[dict]) -> list[str]:
+    """In pre-order, leaves in quotes; nodes without children have none."""
+    children: dict[int, list[str]] = {}
+    for r in rows:
+        children.setdefault(r["parent"], []).append(f"'{r['label']}'" if r["leaf"] else r["label"])
+    return [f"{r['label']} -> {' '.join(children[r['node']])}" for r in rows if r["node"] in children]
+
+
+def iob_tree(tokens: list[dict], tags: list[str], root: str = "S") -> str:
+    """Tokens (word, tag) and their IOB tags as a bracket string: word/tag leaves, those of a chunk under its label."""
+    out, inside = [f"({root}"], None
+    for t, iob in zip(tokens, tags):
+        head, _, label = iob.partition("-")
+        if inside is not None and (head != "I" or label != inside):
+            out[-1] += ")"
+            inside = None
+        if head in ("B", "I") and inside is None:
+            out.append(f"({label}")
+            inside = label
+        out.append(f"{t['word']}/{t['tag']}")
+    if inside is not None:
+        out[-1] += ")"
+    return " ".join(out) + ")"
+
+
+def tree_iob(tree: str) -> list[dict]:
+    """Word, tag and IOB tag of each leaf word/tag of a chunk tree."""
+    rows = nodes(tree)
+    out = []
+    for r in rows:
+        if r["leaf"]:
+            word, _, tag = r["label"].rpartition("/")
+            up = rows[r["parent"]]
+            iob = "O" if up["parent"] < 0 else ("B-" if r["child"] == 0 else "I-") + up["label"]
+            out.append({"word": word, "tag": tag, "iob": iob})
+    return out
+
+
 def nodes(tree: str) -> list[dict]:
     """The nodes of a bracket string in pre-order. Errors: no bracket, no label, brackets left open."""
     out: list[dict] = []

@@ -50,8 +50,15 @@ def _split(word: str) -> Iterable[str]:
         yield word[at:]
 
 
-def tokens(text: str) -> list[str]:
-    out = [t for m in _BLANK.finditer(text) for t in _split(m[0])]
+def tokens(text: str, known: dict[str, list[str]] | None = None) -> list[str]:
+    """known: what words of earlier texts were split into; a word is split once."""
+    known = {} if known is None else known
+    out: list[str] = []
+    for w in _BLANK.findall(text):
+        parts = known.get(w)
+        if parts is None:
+            parts = known[w] = list(_split(w))
+        out += parts
     if out and out[-1].endswith(".") and out[-1] not in (".", "..", "..."):
         out[-1:] = [out[-1][:-1], "."]
     return out
@@ -67,26 +74,63 @@ def spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def punkt(text: str, abbreviations: frozenset[str], starters: frozenset[str]) -> list[str]:
-    """A word that ends in . ! ? ends a sentence, unless it is a known abbreviation that no starter follows, or has inner
-    dots and the next word begins with a lower-case letter or ASCII capital."""
-    words = list(re.finditer(r"[\w.'-]+[.!?]*|[!?]+", text))
+def regexp_spans(text: str, pattern: re.Pattern, gaps: bool = False) -> list[tuple[int, int]]:
+    """(start, end) in characters of the matches, or of what lies between them, empty ones left out."""
+    if not gaps:
+        return [m.span() for m in pattern.finditer(text) if m.end() > m.start()]
+    edges = [0, *[x for m in pattern.finditer(text) for x in m.span()], len(text)]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b > a]
+
+
+_RUN = re.compile(r"(?:[^\W_]|[.'-])+|\S")
+
+
+def punkt_spans(text: str, abbreviations: frozenset[str], starters: frozenset[str]) -> list[tuple[int, int]]:
+    """A run of letters, digits, dots, dashes and apostrophes that ends in a dot, and each ! or ?, ends a sentence. A known
+    abbreviation does so only at the end or before a starter; a run of several dots not before a lower-case letter or an
+    ASCII capital."""
+    words = list(_RUN.finditer(text))
     out, begin = [], 0
-    for m, following in zip(words, words[1:]):
+    for i, m in enumerate(words):
         w = m[0]
         if w[-1] not in ".!?":
             continue
-        if w[-1] == ".":
-            known = w.rstrip(".").lower() in abbreviations
-            head = following[0]
-            if known and head.lower().rstrip(".!?") not in starters:
-                continue
-            if w.count(".") > 1 and (head[0].islower() or "A" <= head[0] <= "Z") and not known:
+        following = words[i + 1][0] if i + 1 < len(words) else None
+        if w[-1] == "." and following is not None:
+            if w.rstrip(".").lower() in abbreviations:
+                if following[0].islower() or following.lower() not in starters:
+                    continue
+            elif w.count(".") > 1 and (following[0].islower() or "A" <= following[0] <= "Z"):
                 continue
-        out.append(text[begin : m.end()].strip())
+        out.append((begin, m.end()))
         begin = m.end()
-    tail = text[begin:].strip()
-    return out + [tail] if tail else out
+        while begin < len(text) and text[begin].isspace():
+            begin += 1
+    end = len(text.rstrip())
+    if end > begin:
+        out.append((begin, end))
+    return out or ([(0, len(text))] if text else [])
+
+
+def punkt(text: str, abbreviations: frozenset[str], starters: frozenset[str]) -> list[str]:
+    return [text[a:b] for a, b in punkt_spans(text, abbreviations, starters)]
+
+
+_BOUNDARY = re.compile(r"(?<=[.!?])(?=[ \n\"'])\s*")
+
+
+def sentences(text: str, abbreviations: frozenset[str] | None, starters: frozenset[str] = frozenset()) -> list[str]:
+    """With the parameters of a Punkt model, else cut between . ! ? and white space or a quote."""
+    if abbreviations is not None:
+        return punkt(text, abbreviations, starters)
+    return [x for x in _BOUNDARY.split(text) if x.strip()]
+
+
+def word_tokens(text: str, abbreviations: frozenset[str] | None, starters: frozenset[str], preserve_line: bool, known: dict[str, list[str]] | None = None) -> list[str]:
+    """T4: the tokens of each sentence, so that the full stop of each is split off; with preserve_line, of each line."""
+    if preserve_line:
+        return tokens(text, known)
+    return [t for x in sentences(text, abbreviations, starters) for t in tokens(x, known)]
 
 
 class Mwe:

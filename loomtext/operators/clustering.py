@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,23 +19,45 @@ def first_centroids(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """V5: id, v, cluster of the nearest centroid by squared distance (9 digits), the lowest of ties."""
-    d = F.round(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x), 9)
-    near = F.min(F.struct(d.alias("d"), "cluster")).alias("m")
-    return vectors.crossJoin(F.broadcast(centroids)).groupBy("id").agg(F.first("v").alias("v"), near).select("id", "v", F.col("m.cluster").alias("cluster"))
+    """V5: vectors with the cluster of the nearest centroid by squared distance (9 digits), the lowest of ties. The centroids are
+    one broadcast row, so vectors aren't shuffled."""
+    table = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster", "c"))).alias("_c"))
+    d = lambda c: F.round(F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x), 9)
+    near = F.array_min(F.transform("_c", lambda x: F.struct(d(x["c"]).alias("d"), x["cluster"].alias("cluster"))))
+    return vectors.crossJoin(F.broadcast(table)).select(*vectors.columns, near["cluster"].alias("cluster"))
 
 
 def k_means(vectors: DataFrame, k: int, iterations: int = 50) -> DataFrame:
-    """V4: id, cluster. Centroids come to the driver (k rows) each round; an empty cluster keeps its centroid."""
+    """V4: id, cluster. Centroids come to the driver (k rows) each round; an empty cluster gets the vector it began with. It ends
+    when no centroid moves."""
     spark = vectors.sparkSession
-    centres = {r.cluster: r.c for r in first_centroids(vectors, k).collect()}
+    first = {r.cluster: r.c for r in first_centroids(vectors, k).collect()}
+    if len(first) < k:
+        raise ValueError("more clusters than vectors")
+    centres, dim = dict(first), len(first[0])
     for _ in range(iterations):
-        table = spark.createDataFrame(sorted(centres.items()), "cluster int, c array<double>")
-        placed = assign(vectors, table)
-        means = placed.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"))
-        new = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
-        new = centres | {r.cluster: r.c for r in new.collect()}
-        if all(max(abs(a - b) for a, b in zip(new[i], centres[i])) < 1e-9 for i in centres):
-            break
+        placed = assign(vectors, spark.createDataFrame(sorted(centres.items()), "cluster int, c array<double>"))
+        means = placed.groupBy("cluster").agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(dim)]).alias("c")).collect()
+        new = first | {r.cluster: r.c for r in means}
+        same = all(max(abs(a - b) for a, b in zip(new[i], centres[i])) < 1e-9 for i in centres)
         centres = new
+        if same:
+            break
     return assign(vectors, spark.createDataFrame(sorted(centres.items()), "cluster int, c array<double>")).select("id", "cluster")
+
+
+def centroids(assigned: DataFrame, dim: int) -> DataFrame:
+    """V5: cluster, c, n of vectors (v, cluster)."""
+    return assigned.groupBy("cluster").agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(dim)]).alias("c"), F.count(F.lit(1)).alias("n"))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """L3 re-export: cosine of two arrays; null if one has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size > 0, dot(a, b) / size)
+
+
+def euclidean(a: Column, b: Column) -> Column:
+    """L3 re-export."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v))

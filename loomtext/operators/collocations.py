@@ -32,6 +32,17 @@ def word_filter(grams: DataFrame, drop) -> DataFrame:
     return grams.filter(~hit)
 
 
+def finder_likelihood_ratio(k: Column, c1: Column, c2: Column, n: Column) -> Column:
+    """K7: the finder's ratio, whose null probability is k / n."""
+
+    def ll(k: Column, n: Column, p: Column) -> Column:
+        rest = F.when(n - k == 0, 0.0).otherwise((n - k) * F.ln(1 - p))
+        return F.when((k <= 0) | (n <= 0) | (p <= 0), 0.0).otherwise(k * F.ln(p) + rest)
+
+    p, p1, p2 = k / n, k / c1, F.when(n > c1, (c2 - k) / (n - c1)).otherwise(0.0)
+    return 2 * (ll(k, c1, p1) + ll(c2 - k, n - c1, p2) - ll(k, c1, p) - ll(c2 - k, n - c1, p))
+
+
 def score(grams: DataFrame, words: DataFrame, measure: str = "pmi") -> DataFrame:
     """K4 - K9: bigrams with count, c1, c2 and score. Filter first: only what is left is joined to the words' counts."""
     n = words.agg(F.sum("count").alias("n"))
@@ -42,7 +53,8 @@ def score(grams: DataFrame, words: DataFrame, measure: str = "pmi") -> DataFrame
         "raw_freq": lambda: F.col("count").cast("double"),
         "pmi": lambda: metrics.pmi(*args),
         "chi_sq": lambda: metrics.chi_sq(*args),
-        "likelihood_ratio": lambda: metrics.likelihood_ratio(*args),
+        "likelihood_ratio": lambda: finder_likelihood_ratio(*args),
+        "g2": lambda: metrics.likelihood_ratio(*args),
         "dice": lambda: metrics.dice(*args[:3]),
         "student_t": lambda: metrics.student_t(*args),
     }[measure]()

@@ -92,3 +92,42 @@ def entropy(fd: DataFrame) -> DataFrame:
 def count_of_counts(fd: DataFrame) -> DataFrame:
     """How many samples occur r times, the statistic of Good-Turing estimates."""
     return fd.groupBy(F.col("count").alias("r")).agg(F.count(F.lit(1)).alias("n_r"))
+
+
+def samples(fd: DataFrame) -> DataFrame:
+    """the samples, sorted."""
+    return fd.select("sample").orderBy("sample")
+
+
+def increased(fd: DataFrame, changes: DataFrame) -> DataFrame:
+    """F8: fd with the counts of changes (sample, count) added; samples may be new, repeated changes add up."""
+    return add(fd, changes.groupBy("sample").agg(F.sum("count").alias("count")))
+
+
+def assigned(fd: DataFrame, values: DataFrame) -> DataFrame:
+    """F8: fd with the counts of values (sample, count; each sample once) set."""
+    v = values.select("sample", F.col("count").alias("_new"))
+    return fd.join(v, "sample", "full").select("sample", F.coalesce("_new", "count").alias("count"))
+
+
+def looked_up(fd: DataFrame, asked: DataFrame) -> DataFrame:
+    """F8: asked (sample) with its count, 0 if it isn't in fd."""
+    return asked.select("sample").join(fd, "sample", "left").select("sample", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def contains(fd: DataFrame, asked: DataFrame) -> DataFrame:
+    """F8: the asked samples that fd has."""
+    return asked.select("sample").join(fd, "sample", "left_semi")
+
+
+def tabulate(fd: DataFrame, n: int = 10) -> str:
+    """the n most common samples and their counts as two aligned lines."""
+    rows = [(str(r["sample"]), str(r["count"])) for r in most_common(fd, n).collect()]
+    width = max((len(x) for r in rows for x in r), default=0) + 1
+    return "\n".join("".join(r[i].rjust(width) for r in rows) for i in (0, 1))
+
+
+def described(fd: DataFrame) -> str:
+    """F12."""
+    t = totals(fd).first()
+    return f"<FreqDist with {t.b} samples and {t.n} outcomes>"

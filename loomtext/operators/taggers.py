@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtext.kernels import tagging
+
 
 def _most_frequent(rows: DataFrame, *keys: str) -> DataFrame:
     """The most frequent tag by key; of ties the smallest."""
@@ -68,3 +75,171 @@ def transition_counts(rows: DataFrame) -> DataFrame:
 
 def emission_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("tag", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- taggers that go along a sentence
+
+#: Tags that a model of transitions may have: their tables go to every task.
+MOST_TAGS = 200
+
+
+def _sentences(rows: DataFrame, by_word: DataFrame, info: str) -> DataFrame:
+    """sent_id, s: array of (pos, word, info) by position; by_word (word, info) is joined, however large."""
+    joined = rows.select("sent_id", "pos", "word").join(by_word.select("word", info), "word", "left")
+    return joined.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", F.col(info).alias("info")))).alias("s"))
+
+
+def _exploded(tagged: DataFrame) -> DataFrame:
+    return tagged.select("sent_id", F.explode(F.arrays_zip(F.col("s.pos").alias("pos"), F.col("s.word").alias("word"), "tags")).alias("x")).select("sent_id", "x.pos", "x.word", F.col("x.tags").alias("tag"))
+
+
+def _tag_maps(counts: DataFrame, n: str) -> DataFrame:
+    """word, info: array of (tag, n); as long as the tagset at most."""
+    return counts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("tag", F.col(n).cast("long").alias("n")))).alias("info"))
+
+
+def _arrow(f: Callable[[list], list[str]]) -> Callable[[Column], Column]:
+    @F.arrow_udf("array<string>")
+    def run(sentences: pa.Array) -> pa.Array:
+        return pa.array([f(s) for s in sentences.to_pylist()], pa.list_(pa.string()))
+
+    return run
+
+
+def context_tag(rows: DataFrame, model: DataFrame, order: int, default: str | None = None) -> DataFrame:
+    """G5 (order 2), G6 (order 3): rows (sent_id, pos, word) with tag, by the tags predicted before and the word.
+
+    model: see ``context_train``. Unknown contexts get default, by default the model's most frequent tag (of ties the smallest).
+    """
+    if default is None:
+        top = model.groupBy("tag").count().orderBy(F.desc("count"), "tag").first()
+        default = top.tag if top else "NN"
+    key = F.concat_ws("\t", *[f"prev{i}" for i in range(1, order)])
+    maps = model.groupBy("word").agg(F.collect_list(F.struct(key.alias("k"), "tag")).alias("info"))
+    tag = _arrow(lambda s: tagging.by_context([{e["k"]: e["tag"] for e in x["info"]} if x["info"] else None for x in s], order, default))
+    return _exploded(_sentences(rows, maps, "info").withColumn("tags", tag("s")))
+
+
+def affix_last_train(rows: DataFrame, size: int = 3, suffix: bool = True) -> DataFrame:
+    """G7 as the reference has it: affix and the tag seen last, by sentence and position."""
+    affix = F.right("word", F.lit(size)) if suffix else F.left("word", F.lit(size))
+    seen = rows.filter(F.length("word") >= size).select(affix.alias("affix"), "tag", F.struct("sent_id", "pos").alias("at"))
+    return seen.groupBy("affix").agg(F.max(F.struct("at", "tag")).alias("m")).select("affix", F.col("m.tag").alias("tag"))
+
+
+def _moves(rows: DataFrame, order: int) -> list:
+    """Counts of order consecutive tags with marks at both ends, brought to the driver: bounded by MOST_TAGS."""
+    kinds = rows.select("tag").distinct().limit(MOST_TAGS + 1).count()
+    if kinds > MOST_TAGS:
+        raise ValueError(f"more than {MOST_TAGS} tags")
+    tags = rows.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag")))["tag"].alias("t"))
+    marked = tags.select(F.concat(F.array_repeat(F.lit("<S>"), order - 1), "t", F.array(F.lit("<E>"))).alias("t"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("t") - order), lambda i: F.slice("t", i + 1, order))
+    return marked.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
+
+
+def tnt_train(rows: DataFrame) -> tuple[tagging.Tnt, DataFrame]:
+    """Transitions, and emissions (word, info: tag counts, known: whether a word is known in lower case)."""
+    grams = _moves(rows, 3)
+    tags = sorted({t for r in grams for t in r.g} | {"<S>", "<E>"})
+    at = {t: i for i, t in enumerate(tags)}
+    n = len(tags)
+    uni, bi, tri = np.zeros(n), np.zeros((n, n)), np.zeros((n, n, n))
+    for r in grams:
+        a, b, c = (at[t] for t in r.g)
+        tri[a, b, c] += r.n
+        bi[a, b] += r.n
+        uni[c] += r.n
+    return tagging.Tnt(tags, uni, bi, tri), emission_counts(rows)
+
+
+def tnt_tag(rows: DataFrame, model: tuple[tagging.Tnt, DataFrame]) -> DataFrame:
+    tnt, emissions = model
+    maps = _tag_maps(emissions, "n")
+    low = emissions.select(F.lower("word").alias("low")).distinct().withColumn("known", F.lit(True))
+    words = rows.select("word").distinct().withColumn("low", F.lower("word")).join(low, "low", "left").join(maps, "word", "left")
+    by_word = words.select("word", F.struct("info", F.coalesce("known", F.lit(False)).alias("known")).alias("info"))
+
+    def tag(s: list) -> list[str]:
+        return tnt.tag([({e["tag"]: e["n"] for e in x["info"]["info"]} if x["info"]["info"] else None, x["info"]["known"]) for x in s])
+
+    return _exploded(_sentences(rows, by_word, "info").withColumn("tags", _arrow(tag)("s")))
+
+
+def hmm_train(rows: DataFrame) -> tuple[tagging.Hmm, DataFrame]:
+    """Transitions and emissions; without rows it raises."""
+    grams = _moves(rows, 2)
+    tags = sorted({t for r in grams for t in r.g} - {"<S>", "<E>"})
+    if not tags:
+        raise ValueError("no training data")
+    at = {t: i for i, t in enumerate(tags)} | {"<S>": len(tags), "<E>": len(tags)}
+    moves, uses = np.zeros((len(tags) + 1, len(tags) + 1)), np.zeros(len(tags))
+    for r in grams:
+        moves[at[r.g[0]], at[r.g[1]]] += r.n
+        if r.g[1] != "<E>":
+            uses[at[r.g[1]]] += r.n
+    return tagging.Hmm(tags, moves, uses), emission_counts(rows)
+
+
+def hmm_tag(rows: DataFrame, model: tuple[tagging.Hmm, DataFrame]) -> DataFrame:
+    hmm, emissions = model
+    tag = _arrow(lambda s: hmm.tag([{e["tag"]: e["n"] for e in x["info"]} if x["info"] else None for x in s]))
+    return _exploded(_sentences(rows, _tag_maps(emissions, "n"), "info").withColumn("tags", tag("s")))
+
+
+#: Tokens that the perceptron is trained on at most: whole sentences in order of a hash of their id. Its weights, which this
+#: bounds, go to every task.
+PERCEPTRON_TOKENS = 200_000
+
+
+def perceptron_train(rows: DataFrame, rounds: int = 5, most: int = PERCEPTRON_TOKENS, seed: int = 1) -> tagging.Perceptron:
+    """G1's trainer: the published averaged perceptron on a bounded sample of sentences."""
+    sizes = rows.groupBy("sent_id").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("sent_id", F.lit(seed)))
+    share = min(1.0, most / max(1, rows.count()))
+    chosen = sizes.filter(F.col("h") / float(1 << 64) + 0.5 <= share).select("sent_id")
+    own = rows.join(chosen, "sent_id", "left_semi").groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "tag"))).alias("s"))
+    return tagging.train([[(x.word, x.tag) for x in r.s] for r in own.orderBy("sent_id").collect()], rounds, seed)
+
+
+def perceptron_tables(spark: SparkSession, model: tagging.Perceptron) -> dict[str, DataFrame]:
+    """The model as tables: weights (feature, tag, weight), tagdict (word, tag), classes (place, tag)."""
+    weights = [(f, t, x) for f, by in model.weights.items() for t, x in by.items()]
+    return {
+        "weights": spark.createDataFrame(weights, "feature string, tag string, weight double"),
+        "tagdict": spark.createDataFrame(list(model.tagdict.items()), "word string, tag string"),
+        "classes": spark.createDataFrame(list(enumerate(model.classes)), "place int, tag string"),
+    }
+
+
+def save_perceptron(spark: SparkSession, model: tagging.Perceptron, path: str) -> None:
+    for name, df in perceptron_tables(spark, model).items():
+        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_perceptron(spark: SparkSession, path: str) -> tagging.Perceptron:
+    """From tables or, if path ends in .json, from a JSON object of weights, tagdict and classes; never unpickled."""
+    if path.endswith(".json"):
+        with open(path) as f:
+            x = json.load(f)
+        return tagging.Perceptron(x["weights"], x.get("tagdict", {}), x["classes"])
+    weights: dict[str, dict[str, float]] = {}
+    for r in spark.read.parquet(f"{path}/weights").collect():
+        weights.setdefault(r.feature, {})[r.tag] = r.weight
+    tagdict = {r.word: r.tag for r in spark.read.parquet(f"{path}/tagdict").collect()}
+    return tagging.Perceptron(weights, tagdict, [r.tag for r in spark.read.parquet(f"{path}/classes").orderBy("place").collect()])
+
+
+def pos_tag(tokens: Column, model: tagging.Perceptron, tagset: dict[str, str] | None = None) -> Column:
+    """An array of words -> array of (word, tag); tagset maps the model's tags to others."""
+    to = (tagset or {}).get
+
+    @F.arrow_udf("array<string>")
+    def run(sentences: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else [to(t, t) for t in model.tag(s)] for s in sentences.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrays_zip(tokens.alias("word"), run(tokens).alias("tag"))
+
+
+def untag(tagged: Column) -> Column:
+    """L3: the words of an array of (word, tag)."""
+    return F.transform(tagged, lambda x: x["word"])

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from loomtext.plans import models, structures, tokens
+from loomtext.plans import language, meaning, models, structures, tokens
 
-CATALOG = {**tokens.CATALOG, **models.CATALOG, **structures.CATALOG}
+CATALOG = {**tokens.CATALOG, **models.CATALOG, **structures.CATALOG, **language.CATALOG, **meaning.CATALOG}

@@ -59,6 +59,10 @@ def _scored_sql(expr: str, n: int = 50) -> str:
     return f"{_BI} SELECT w1, w2, o AS count, r AS c1, c AS c2, round({expr}, 6) AS score FROM j ORDER BY score DESC, w1, w2 LIMIT {n}"
 
 
+def _ll(k: str, n: str, p: str) -> str:
+    return f"CASE WHEN {k} <= 0 OR {n} <= 0 OR {p} <= 0 THEN 0 ELSE {k} * ln({p}) + CASE WHEN {n} = {k} THEN 0 ELSE ({n} - {k}) * ln(1 - {p}) END END"
+
+
 def _all(cell: str) -> str:
     return " + ".join(f"({cell.format(i)})" for i in ("11", "12", "21", "22"))
 
@@ -66,7 +70,7 @@ def _all(cell: str) -> str:
 def _lm(method: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = language_models.scores(language_models.fit(documents(spark, sf_dir), words(), 2), method)
-        return got.filter("count > 1").select(F.col("context")[0].alias("context"), "word", "count", F.round("score", 9).alias("score"))
+        return got.select(F.col("context")[0].alias("context"), "word", "count", F.round("score", 9).alias("score"))
 
     return query
 
@@ -77,7 +81,7 @@ t AS (SELECT context, sum(count)::BIGINT AS total FROM m GROUP BY context), v AS
 
 
 def _lm_sql(score: str) -> str:
-    return f"{_LM} SELECT m.context, word, count, round({score}, 9) AS score FROM m JOIN t USING (context), v WHERE count > 1"
+    return f"{_LM} SELECT m.context, word, count, round({score}, 9) AS score FROM m JOIN t USING (context), v"
 
 
 def _uni(method: str) -> Query:
@@ -174,7 +178,7 @@ def _spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.alpha(table(spark, sf_dir, "orders"), "o_totalprice")
+    return scores.deviation(table(spark, sf_dir, "orders"), "o_totalprice")
 
 
 def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +186,26 @@ def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", words().alias("candidate"), F.split(F.lower("text"), r"\s+").alias("reference"))
-    return b.select("item_id", F.round(scores.bleu(F.col("candidate"), F.col("reference")), 6).alias("bleu"))
+    return scores.bleu(_translated(spark, sf_dir), "item_id", "candidate", "reference").withColumn("bleu", F.round("bleu", 6))
+
+
+def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", words().alias("candidate"), F.split(F.lower("text"), r"\s+").alias("reference"))
+
+
+def _corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.corpus_bleu(_translated(spark, sf_dir), "item_id", "candidate", "reference").withColumn("bleu", F.round("bleu", 6))
+
+
+_BLEU = f"""WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '{CLASS}+') AS a, string_split_regex(lower(text), '\\s+') AS b FROM benchmark),
+o AS (SELECT item_id, a, b, unnest([1, 2, 3, 4]) AS n FROM t),
+g AS (SELECT item_id, n, 1 AS mine, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], chr(1)))) AS g FROM o WHERE least(len(a), len(b)) >= n
+  UNION ALL SELECT item_id, n, 0, unnest(list_transform(range(1, len(b) - n + 2), lambda i: array_to_string(b[i:i + n - 1], chr(1)))) FROM o WHERE least(len(a), len(b)) >= n),
+c AS (SELECT item_id, n, g, sum(mine) AS mine, count(*) - sum(mine) AS theirs FROM g GROUP BY ALL),
+h AS (SELECT item_id, n, sum(least(mine, theirs)) AS hits, sum(mine) AS total FROM c GROUP BY ALL)"""
+_BREVITY = "CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c::DOUBLE) END"
+_BLEU_ROWS = f"{_BLEU}, l AS (SELECT item_id, avg(ln(hits / total::DOUBLE)) AS log FROM h WHERE hits > 0 GROUP BY item_id) SELECT item_id, round(coalesce({_BREVITY} * exp(log), 0), 6)::DOUBLE AS bleu FROM (SELECT item_id, len(a) AS c, len(b) AS r FROM t) LEFT JOIN l USING (item_id)"
+_BLEU_ALL = f"{_BLEU}, p AS (SELECT n, sum(hits) AS hits, sum(total) AS total FROM h GROUP BY n), l AS (SELECT avg(ln(hits / total::DOUBLE)) AS log FROM p WHERE hits > 0) SELECT round({_BREVITY} * exp(log), 6)::DOUBLE AS bleu FROM l, (SELECT sum(len(a)) AS c, sum(len(b)) AS r FROM t)"
 
 
 def _kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +222,8 @@ _P = "(SELECT sum(count) FROM fd)::DOUBLE"
 CATALOG: dict[str, tuple[Query, str | None]] = {
     "collocations_bigram_pmi": (_scored("pmi"), _scored_sql("log2(o * n / (r * c)::DOUBLE)")),
     "collocations_bigram_chi_sq": (_scored("chi_sq"), _scored_sql(_all("CASE WHEN e{0} > 0 THEN (o{0} - e{0}) * (o{0} - e{0}) / e{0} ELSE 0 END"))),
-    "collocations_bigram_likelihood_ratio": (_scored("likelihood_ratio"), _scored_sql("2 * (" + _all("CASE WHEN o{0} > 0 AND e{0} > 0 THEN o{0} * ln(o{0} / e{0}) ELSE 0 END") + ")")),
+    "collocations_bigram_likelihood_ratio": (_scored("likelihood_ratio"), _scored_sql(f"2 * ({_ll('o', 'r', 'o / r::DOUBLE')} + {_ll('(c - o)', '(n - r)', '((c - o) / (n - r)::DOUBLE)')} - {_ll('o', 'r', '(o / n::DOUBLE)')} - {_ll('(c - o)', '(n - r)', '(o / n::DOUBLE)')})")),
+    "collocations_bigram_g2": (_scored("g2"), _scored_sql("2 * (" + _all("CASE WHEN o{0} > 0 AND e{0} > 0 THEN o{0} * ln(o{0} / e{0}) ELSE 0 END") + ")")),
     "collocations_bigram_dice": (_scored("dice"), _scored_sql("2 * o / (r + c)::DOUBLE")),
     "collocations_bigram_raw_freq": (_scored("raw_freq"), _scored_sql("o::DOUBLE")),
     "collocations_bigram_student_t": (_scored("student_t"), _scored_sql("(o - r * c / n::DOUBLE) / sqrt(o)")),
@@ -244,7 +267,10 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "metrics_spearman": (_spearman, "WITH r AS (SELECT l_returnflag AS grp, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS y FROM lineitem) SELECT grp, count(*) AS n, round(1 - 6 * sum((x - y) * (x - y)::DOUBLE) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)), 6) AS rho FROM r GROUP BY grp"),
     "metrics_deviation": (_alpha, "WITH m AS (SELECT avg(o_totalprice) AS m FROM orders) SELECT round(any_value(m), 4) AS mean, round(avg(abs(o_totalprice - m)), 4) AS mad FROM orders, m"),
     "metrics_kappa": (_agreement, "WITH p AS (SELECT quality::VARCHAR AS a, toxic::VARCHAR AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), n AS (SELECT count(*) AS n, avg((a = b)::INT) AS o FROM p), e AS (SELECT sum(x.c * y.c) AS e FROM (SELECT a, count(*)::DOUBLE AS c FROM p GROUP BY a) x JOIN (SELECT b, count(*)::DOUBLE AS c FROM p GROUP BY b) y ON x.a = y.b) SELECT round(o, 6) AS observed, round(e / (n * n::DOUBLE), 6) AS expected, round((o - e / (n * n::DOUBLE)) / (1 - e / (n * n::DOUBLE)), 6) AS kappa FROM n, e"),
-    "bleu": (_bleu, None),
+    "bleu": (_bleu, _BLEU_ROWS),
+    "corpus_bleu": (_corpus_bleu, _BLEU_ALL),
+    "metrics_alpha": (lambda s, d: scores.alpha(table(s, d, "lineitem"), "l_discount", "l_tax").withColumn("alpha", F.round("alpha", 6)), "WITH m AS (SELECT avg(l_discount::DOUBLE + l_tax::DOUBLE) / 2 AS m FROM lineitem) SELECT count(*) AS n, round(1 - avg(abs(l_discount::DOUBLE - l_tax::DOUBLE)) / (avg(abs(l_discount::DOUBLE - m) + abs(l_tax::DOUBLE - m)) / 2), 6) AS alpha FROM lineitem, m"),
+    "metrics_pi": (lambda s, d: scores.pi(table(s, d, "labels"), F.col("quality").cast("string"), F.col("toxic").cast("string")), "WITH p AS (SELECT quality::VARCHAR AS a, toxic::VARCHAR AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), k AS (SELECT k, count(*)::DOUBLE AS c FROM (SELECT unnest([a, b]) AS k FROM p) GROUP BY k), e AS (SELECT sum(c * c) / (sum(c) * sum(c)) AS e FROM k), o AS (SELECT avg((a = b)::INT) AS o FROM p) SELECT round(o, 6) AS observed, round(e, 6) AS expected, round(CASE WHEN e >= 1 THEN 0 ELSE (o - e) / (1 - e) END, 6)::DOUBLE AS pi FROM o, e"),
     "k_means_step": (_kmeans_step, "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cluster, v AS c FROM (SELECT * FROM v ORDER BY id LIMIT 8)) SELECT id, cluster FROM v, c QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), cluster) = 1"),
     "k_means": (_kmeans, None),
 }
