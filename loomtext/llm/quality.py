@@ -220,9 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     a = sum((np.frombuffer(r.a).reshape(width, width) for r in sums), np.zeros((width, width)))
     b = sum((np.frombuffer(r.b) for r in sums), np.zeros(width))
     model.ridge = np.linalg.solve(a + RIDGE * np.eye(width), b)
-    held = rows.filter("held").select("x", "y").toPandas()  # bounded by the sample
+    held = rows.filter("held").select("x", "y").toArrow().combine_chunks()  # bounded by the sample
     if len(held):
-        model.steps, model.values = isotonic(model.raw(np.stack(held.x.to_numpy())), held.y.to_numpy())
+        x = held.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        model.steps, model.values = isotonic(model.raw(x), held.column("y").to_numpy())
     else:
         model.steps, model.values = np.array([0.0, 0.5]), np.array([0.0, 1.0])
     return model

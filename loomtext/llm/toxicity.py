@@ -223,8 +223,22 @@ def build(ids: np.ndarray, toxic: np.ndarray, counts: list[dict[int, int]], voca
     return assemble(ids, toxic, np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int64), terms, tf, vocabulary, idf, k)
 
 
-def assemble(ids: np.ndarray, toxic: np.ndarray, starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, k: int) -> Index:
-    """As ``build``; example i has the terms and frequencies from starts[i] to starts[i + 1]."""
+def _own_votes(index: Index, k: int):
+    """The vote of each example in a range, without itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.column(0).to_numpy()
+            own = [slice(*index.starts[x : x + 2].tolist()) for x in i.tolist()]
+            found = index.all_nearest([(index.columns[x], index.weights[x]) for x in own], k, i.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array([index.vote(*x) for x in found], pa.float64())], names=["i", "vote"])
+
+    return run
+
+
+def assemble(ids: np.ndarray, toxic: np.ndarray, starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, k: int, spark: SparkSession | None = None) -> Index:
+    """As ``build``; example i has the terms and frequencies from starts[i] to starts[i + 1]. With spark, the examples' votes are
+    computed by its tasks."""
     size = np.diff(starts)
     has = size > 0
     base = (float(toxic[~has].sum()) + 0.5 * float(toxic.mean()) if len(toxic) else 0.0) / ((~has).sum() + 0.5 if len(toxic) else 1)
@@ -244,8 +258,12 @@ def assemble(ids: np.ndarray, toxic: np.ndarray, starts: np.ndarray, terms: np.n
         at = np.arange(index.starts[-1]) + np.repeat(starts[use] - index.starts[:-1], size[use])
         index.columns, index.weights = terms[at].astype(np.int32), weights[at]
         del at, weights
-        own = [slice(i, j) for i, j in zip(index.starts[:-1].tolist(), index.starts[1:].tolist())]
-        votes = np.array([index.vote(*x) for x in index.all_nearest([(index.columns[x], index.weights[x]) for x in own], k, list(range(len(own))))])
+        if spark:
+            got = spark.range(0, len(use), 1, 1 + len(use) // 250).mapInArrow(_own_votes(index, k), "i long, vote double").toArrow()  # a row an example
+            votes = np.zeros(len(use))
+            votes[got.column("i").to_numpy()] = got.column("vote").to_numpy()
+        else:
+            votes = next(_own_votes(index, k)(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(len(use)))], names=["i"])]))).column("vote").to_numpy()
         index.tables = None
         known = votes >= 0
         if known.any():
@@ -297,8 +315,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = N
     starts = np.concatenate([[0], np.cumsum(data.column("terms").combine_chunks().value_lengths().to_numpy())]).astype(np.int64)
     vocabulary, column = np.unique(data.column("terms").combine_chunks().flatten().to_numpy().view(np.uint64), return_inverse=True)
     column = column.astype(np.int32)
-    tf = data.column("tf").combine_chunks().flatten().to_numpy()
-    del data
+    tf = data.column("tf").combine_chunks().flatten().to_numpy().astype(np.int32)
+    del data, prints
+    released()
     once = np.repeat(lone, np.diff(starts))
     n, a = (np.bincount(column[once], x, len(vocabulary)) for x in (None, np.repeat(toxic, np.diff(starts))[once]))
     tells = (a >= MIN_EXAMPLES) & (_g2(a, n.astype(float), float(toxic[lone].sum()), float(lone.sum())) >= min_g2)
@@ -306,7 +325,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = N
     df = np.zeros(len(vocabulary) + 1)
     df[rows.column("t").to_numpy()] = rows.column("n").to_numpy()
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.where(tells, LEAD, 1.0)
-    return assemble(ids, toxic, starts, column, tf, vocabulary, idf, k)
+    del rows, once, n, a
+    index = assemble(ids, toxic, starts, column, tf, vocabulary, idf, k, docs.sparkSession)
+    del column, tf
+    released()
+    return index
 
 
 _RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.ArrayType(T.IntegerType()))])
