@@ -127,7 +127,12 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic", "ou"]
 
 
+_NO_VOWEL, _VOWEL = re.compile("[^aeiou]"), re.compile("[aeiou]")
+
+
 def _shape(w: str) -> str:
+    if "y" not in w:
+        return "".join("v" if c in "aeiou" else "c" for c in w) if len(w) < 6 else _VOWEL.sub("v", _NO_VOWEL.sub("c", w))
     out = ""
     for i, c in enumerate(w):
         out += "v" if c in "aeiou" or (c == "y" and i and out[-1] == "c") else "c"
@@ -135,7 +140,7 @@ def _shape(w: str) -> str:
 
 
 def _measure(w: str) -> int:
-    return len(re.findall("v+c+", _shape(w)))
+    return _shape(w).count("vc")
 
 
 def _short(w: str) -> bool:

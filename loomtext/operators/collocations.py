@@ -18,6 +18,23 @@ def unigrams(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("count"))
 
 
+def counted(docs: DataFrame, tokens: Column) -> DataFrame:
+    """w1, w2, count of adjacent words, and of each text's last word with an empty w2: unigrams and bigrams of one scan."""
+    t = docs.select(tokens.alias("t")).select("t", F.concat(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.array(F.lit(""))).alias("after"))
+    pairs = t.select(F.explode(F.zip_with("t", F.slice("after", 1, F.size("t")), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))).alias("g"))
+    return pairs.groupBy("g.w1", "g.w2").agg(F.count(F.lit(1)).alias("count"))
+
+
+def unigrams_of(pairs: DataFrame) -> DataFrame:
+    """w, count from ``counted``: each word is the first of one pair."""
+    return pairs.groupBy(F.col("w1").alias("w")).agg(F.sum("count").alias("count"))
+
+
+def bigrams_of(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """K1, K2 from ``counted``. The condition reads the count, so that it isn't pushed below the aggregation, which both parts share."""
+    return pairs.filter(F.when(F.col("w2") == "", F.lit(0)).otherwise(F.col("count")) >= max(1, least))
+
+
 def freq_filter(grams: DataFrame, least: int) -> DataFrame:
     """K2."""
     return grams.filter(F.col("count") >= least)

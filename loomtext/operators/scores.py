@@ -9,11 +9,27 @@ from loomtext.functions.metrics import chance_corrected
 from loomtext.functions.tokenizers import ngrams
 
 
+#: Ranges of a column, of about equally many rows, that are ranked apart.
+RANGES = 64
+
+
+def _ranked(rows: DataFrame, group: str, by: str, ties: list[str], name: str) -> DataFrame:
+    """rows with the rank by a column in each group, without a task that sorts a group: ranges of the values are ranked apart and
+    counts of the lower ones added."""
+    cuts = rows.groupBy(group).agg(F.array_sort(F.array_distinct(F.percentile_approx(by, [i / RANGES for i in range(1, RANGES)], 10_000))).alias("_cuts"))
+    placed = rows.join(cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(by)))).drop("_cuts")
+    n = placed.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    lower = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = n.select(group, "_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(group, "_range").orderBy(by, *ties))
+    return placed.withColumn("_local", local).join(before, [group, "_range"]).withColumn(name, (F.col("_local") + F.col("_before")).cast("double")).drop("_local", "_before", "_range")
+
+
 def spearman(rows: DataFrame, group: str, x: str, y: str, ties: list[str]) -> DataFrame:
-    """H13 by group: ranks by position, ties in the order of the given columns."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(group).orderBy(c, *ties)).cast("double")
-    r = rows.select(F.col(group).alias("grp"), rank(x).alias("x"), rank(y).alias("y"))
-    n, d = F.count(F.lit(1)), F.col("x") - F.col("y")
+    """H13 by group: ranks by position, ties in the order of the given columns. Rows with a null group or value are left out."""
+    rows = rows.select(group, x, y, *ties).dropna(subset=[group, x, y])
+    r = _ranked(_ranked(rows, group, x, ties, "_x"), group, y, ties, "_y").select(F.col(group).alias("grp"), "_x", "_y")
+    n, d = F.count(F.lit(1)), F.col("_x") - F.col("_y")
     return r.groupBy("grp").agg(n.alias("n"), F.sum(d * d).alias("d")).select("grp", "n", F.round(1 - 6 * F.col("d") / (F.col("n").cast("double") * (F.col("n").cast("double") * F.col("n") - 1)), 6).alias("rho"))
 
 

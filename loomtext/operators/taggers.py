@@ -42,6 +42,23 @@ def context_train(rows: DataFrame, order: int) -> DataFrame:
     return _most_frequent(rows, *[f"prev{i}" for i in range(1, order)], "word")
 
 
+def _with_previous(sentences: DataFrame, order: int) -> DataFrame:
+    """Token rows with the tags before, paired within the arrays (s: array of word, tag): nothing is shuffled by sentence."""
+    before = lambda i, n: F.coalesce(F.get("s", i - n)["tag"], F.lit("<S>"))
+    made = F.transform("s", lambda x, i: F.struct(*[F.when(i >= n, before(i, n)).otherwise("<S>").alias(f"prev{n}") for n in range(1, order)], x["word"].alias("word"), x["tag"].alias("tag")))
+    return sentences.select(F.explode(made).alias("x")).select("x.*")
+
+
+def context_train_sentences(sentences: DataFrame, order: int) -> DataFrame:
+    """``context_train`` of sentences that are arrays."""
+    return _most_frequent(_with_previous(sentences, order), *[f"prev{n}" for n in range(1, order)], "word")
+
+
+def transition_counts_sentences(sentences: DataFrame) -> DataFrame:
+    """``transition_counts`` of sentences that are arrays."""
+    return _with_previous(sentences, 2).groupBy(F.col("prev1").alias("prev"), "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 def affix_train(rows: DataFrame, size: int = 3, suffix: bool = True) -> DataFrame:
     """Affix, tag (most frequent)."""
     affix = F.right("word", F.lit(size)) if suffix else F.left("word", F.lit(size))
@@ -55,10 +72,14 @@ def affix_tag(rows: DataFrame, model: DataFrame, size: int = 3, suffix: bool = T
 
 def regexp_tag(rows: DataFrame, patterns: list[tuple[str, str]], backoff: str = "") -> DataFrame:
     """The first pattern found anywhere in the word decides."""
+    return rows.withColumn("tag", regexp_tag_of(F.col("word"), patterns, backoff))
+
+
+def regexp_tag_of(word: Column, patterns: list[tuple[str, str]], backoff: str = "") -> Column:
     tag = F.lit(backoff)
     for pattern, t in reversed(patterns):
-        tag = F.when(F.col("word").rlike(pattern), t).otherwise(tag)
-    return rows.withColumn("tag", tag)
+        tag = F.when(word.rlike(pattern), t).otherwise(tag)
+    return tag
 
 
 def evaluate(gold: DataFrame, tagged: DataFrame) -> DataFrame:

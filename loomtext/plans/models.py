@@ -34,14 +34,10 @@ def _cfd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.conditional_freq_dist(counts.tokens(documents(spark, sf_dir), words(), "lang"), "lang", "token")
 
 
-def _bigrams(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
-    return collocations.freq_filter(collocations.find(documents(spark, sf_dir), words()), least)
-
-
 def _scored(measure: str, n: int = 50) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        uni = collocations.unigrams(documents(spark, sf_dir), words())
-        return collocations.best(collocations.score(_bigrams(spark, sf_dir), uni, measure), n)
+        pairs = collocations.counted(documents(spark, sf_dir), words())
+        return collocations.best(collocations.score(collocations.bigrams_of(pairs, 5), collocations.unigrams_of(pairs), measure), n)
 
     return query
 
@@ -125,6 +121,12 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taggers.regexp_tag(rows, PATTERNS, "NN")
 
 
+def _tagged_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``_tagged``: sent_id and an array of (word, tag)."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("sent_id"), words().alias("w"))
+    return rows.select("sent_id", F.transform("w", lambda x: F.struct(x.alias("word"), taggers.regexp_tag_of(x, PATTERNS, "NN").alias("tag"))).alias("s"))
+
+
 PATTERNS = [("^[0-9]+$", "CD"), ("ing$", "VBG"), ("ed$", "VBD"), ("ly$", "RB"), ("s$", "NNS")]
 _CASE = "CASE " + " ".join(f"WHEN regexp_matches(word, '{p}') THEN '{t}'" for p, t in PATTERNS) + " ELSE 'NN' END"
 _TAGGED = f"WITH d AS (SELECT doc_id AS sent_id, regexp_extract_all(lower(text), '{CLASS}+') AS w FROM documents), e AS (SELECT sent_id, (generate_subscripts(w, 1) - 1)::INTEGER AS pos, unnest(w) AS word FROM d WHERE len(w) > 0), tagged AS (SELECT sent_id, pos, word, {_CASE} AS tag FROM e)"
@@ -256,11 +258,11 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "naive_bayes_informative": (lambda s, d: classify.most_informative(classify.naive_bayes_train(_featured(s, d)), 10), f"{_NB} SELECT a.label AS label_a, b.label AS label_b, a.feature, round(abs(a.logp - b.logp), 6) AS difference FROM m a JOIN m b ON a.feature = b.feature AND a.label < b.label ORDER BY difference DESC, feature, label_a, label_b LIMIT 10"),
     "tag_regexp": (_tagged, f"{_TAGGED} SELECT * FROM tagged"),
     "tag_unigram_train": (lambda s, d: taggers.unigram_train(_tagged(s, d)), f"{_TAGGED} {_best_sql('word')}"),
-    "tag_bigram_train": (lambda s, d: taggers.context_train(_tagged(s, d), 2), f"{_TAGGED}, c AS (SELECT *, lag(tag, 1, '<S>') OVER (PARTITION BY sent_id ORDER BY pos) AS prev1 FROM tagged) {_best_sql('prev1, word', 'c')}"),
-    "tag_trigram_train": (lambda s, d: taggers.context_train(_tagged(s, d), 3), f"{_TAGGED}, c AS (SELECT *, lag(tag, 1, '<S>') OVER (PARTITION BY sent_id ORDER BY pos) AS prev1, lag(tag, 2, '<S>') OVER (PARTITION BY sent_id ORDER BY pos) AS prev2 FROM tagged) {_best_sql('prev1, prev2, word', 'c')}"),
+    "tag_bigram_train": (lambda s, d: taggers.context_train_sentences(_tagged_arrays(s, d), 2), f"{_TAGGED}, c AS (SELECT *, lag(tag, 1, '<S>') OVER (PARTITION BY sent_id ORDER BY pos) AS prev1 FROM tagged) {_best_sql('prev1, word', 'c')}"),
+    "tag_trigram_train": (lambda s, d: taggers.context_train_sentences(_tagged_arrays(s, d), 3), f"{_TAGGED}, c AS (SELECT *, lag(tag, 1, '<S>') OVER (PARTITION BY sent_id ORDER BY pos) AS prev1, lag(tag, 2, '<S>') OVER (PARTITION BY sent_id ORDER BY pos) AS prev2 FROM tagged) {_best_sql('prev1, prev2, word', 'c')}"),
     "tag_affix_train": (lambda s, d: taggers.affix_train(_tagged(s, d)), f"{_TAGGED}, c AS (SELECT *, right(word, 3) AS affix FROM tagged WHERE len(word) >= 3) {_best_sql('affix', 'c')}"),
     "tag_unigram_accuracy": (_unigram_tagged, f"{_TAGGED}, m AS ({_best_sql('word')}) SELECT avg((t.tag = m.tag)::INT)::DOUBLE AS accuracy FROM tagged t JOIN m USING (word)"),
-    "tag_transitions": (lambda s, d: taggers.transition_counts(_tagged(s, d)), f"{_TAGGED}, c AS (SELECT tag, lag(tag, 1, '<S>') OVER (PARTITION BY sent_id ORDER BY pos) AS prev FROM tagged) SELECT prev, tag, count(*) AS n FROM c GROUP BY ALL"),
+    "tag_transitions": (lambda s, d: taggers.transition_counts_sentences(_tagged_arrays(s, d)), f"{_TAGGED}, c AS (SELECT tag, lag(tag, 1, '<S>') OVER (PARTITION BY sent_id ORDER BY pos) AS prev FROM tagged) SELECT prev, tag, count(*) AS n FROM c GROUP BY ALL"),
     "tag_emissions": (lambda s, d: taggers.emission_counts(_tagged(s, d)), f"{_TAGGED} SELECT tag, word, count(*) AS n FROM tagged GROUP BY ALL"),
     "metrics_names": (_names, _NAMES),
     "metrics_segmentation": (_segments, _SEGMENTS),
