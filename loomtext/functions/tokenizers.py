@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Unicode white space, in the words of Java and of RE2.
+_BLANKS = r"\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD_CLASS = r"[\p{L}\p{M}\p{N}_]"
 _TWEET = (
     r"https?://[^\s]+|www\.[^\s]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d+\.\d+|[#@]?[\p{L}\p{M}\p{N}_]+(?:'[\p{L}\p{M}\p{N}_]+)?"
@@ -61,7 +63,8 @@ def chars(text: Column) -> Column:
 
 def whitespace(text: Column) -> Column:
     """Cut at runs of Unicode white space."""
-    return _present(F.split(text, r"(?U)\s+", -1))
+    inner = F.regexp_replace(text, rf"^[{_BLANKS}]+|[{_BLANKS}]+$", "")
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{_BLANKS}]+", -1))
 
 
 def word_punct(text: Column) -> Column:
@@ -121,7 +124,6 @@ _OPEN = _category("Ps", "f3a f3c 169b 2308 230a 2768 276a 276c 276e 2770 2772 27
 _CLOSE = _category("Pe", "169c 2309 230b 2769 276b 276d 276f 2771 2773 2775 27c6 2e56 2e58 2e5a 2e5c 301f fd3e", "2a00")
 _CURRENCY = _category("Sc", "7fe 7ff 20bb 20bc 20bd 20be 20bf 20c0")
 _ALONE = r",;!\x{22}\])}%\x{60c}\x{61b}\x{61f}\x{66a}\x{a1}\x{a9}\x{ae}\x{b0}\x{b1}\x{bb}\x{bf}\x{203a}\x{201d}\x{2026}\x{964}\x{965}" + r"({\[\x{ab}\x{2018}\x{2019}\x{201a}\x{201c}\x{201e}\x{2039}\x{300c}\x{300e}\x{2013}\x{2014}"
-_BLANKS = r"\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Ordered substitutions; \1 is the first group. Single characters that only get spaces share one substitution.
 TOKTOK = [
     (r"(\p{Nd}),(\p{Nd})", "\\1\x01\\2"), (r"\x{a0}", " "), (f"([{_ALONE}])", " \\1 "), ("& ", "&amp; "), ("\t", " &#9; "), (r"\|", " &#124; "), (r"([\x{27}\x{2019}`])", " \\1 "), (" ` ` ", " `` "), (" ' ' ", " '' "),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import metrics, tokenizers
 from loomtext.operators import classify, clustering, collocations, counts, language_models, scores, taggers
 from loomtext.plans.tokens import CLASS, documents
+from loomtext.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +19,6 @@ def words() -> Column:
     return tokenizers.words(F.lower(F.col("text")))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _TOKENS = f"tokens AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '{CLASS}+')) AS token FROM documents)"
 _FD = f"WITH {_TOKENS}, fd AS (SELECT token AS sample, count(*) AS count FROM tokens GROUP BY token), t AS (SELECT sum(count)::BIGINT AS n, count(*) AS b FROM fd)"
 

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import arrow, stemmers, tokenizers
+from loomtext.sources.tables import table
 
 CLASS = r"[\p{L}\p{M}\p{N}_]"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def _flat(tokens: Callable[[Column], Column]) -> Query:
@@ -29,7 +30,9 @@ def _flat_sql(array: str, source: str = "documents") -> str:
 
 
 def _char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select(F.explode(tokenizers.chars(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    """Of each document: its characters with their numbers and the sums of their places."""
+    got = documents(spark, sf_dir).select("doc_id", F.posexplode(tokenizers.chars(F.col("text"))).alias("pos", "token"))
+    return got.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +170,7 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "tokenize_tab": (_flat(tokenizers.tab), _flat_sql("string_split(text, chr(9))")),
     "tokenize_lines": (_flat(tokenizers.lines), _flat_sql("list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x) <> '')")),
     "tokenize_blank_lines": (_flat(tokenizers.blank_lines), _flat_sql(r"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')")),
-    "tokenize_chars": (_char_counts, "SELECT token, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS token FROM documents) WHERE token <> '' GROUP BY token"),
+    "tokenize_chars": (_char_counts, "WITH t AS (SELECT doc_id, string_split(text, '') AS a, text AS text_ FROM documents), e AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS token FROM t WHERE text_ <> '') SELECT doc_id, token, count(*) AS n, sum(pos)::BIGINT AS places FROM e GROUP BY ALL"),
     "tokenize_whitespace": (_flat(tokenizers.whitespace), _flat_sql(r"list_filter(string_split_regex(text, '[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+'), lambda x: x <> '')")),
     "tokenize_word_punct": (_flat(tokenizers.word_punct), _flat_sql(_WORD_PUNCT)),
     "tokenize_regexp": (_flat(lambda x: tokenizers.regexp(x, r"[A-Za-z]+")), _flat_sql("regexp_extract_all(text, '[A-Za-z]+')")),
