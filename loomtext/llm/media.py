@@ -383,7 +383,7 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound behind the text, and the bitmap as a data URI that is declared as a GIF."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("html"), F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("digest"))
     bmp, wav = F.concat(F.unhex(F.lit(_BMP)), "digest"), F.concat(F.unhex(F.lit(_WAV)), "digest")
-    uri = F.concat(F.lit("data:image/gif;base64,"), F.base64(bmp)).cast("binary")
+    uri = F.concat(F.lit("data:image/gif;base64,"), F.regexp_replace(F.base64(bmp), r"\s", "")).cast("binary")
     text = F.concat("html", F.lit("\n").cast("binary"), bmp, wav, uri)
     cases = F.explode(F.array(F.struct(F.lit("alone").alias("case"), bmp.alias("value")), F.struct(F.lit("inside").alias("case"), text.alias("value"))))
     rows = pages.filter("html IS NOT NULL").select("page_id", cases.alias("x")).select("page_id", "x.*", F.lit("text/html").alias("declared"))
