@@ -31,6 +31,8 @@ THRESHOLD = 0.7
 BUCKET_SIGNATURES = 1_500_000
 #: Buckets of a size band that one task goes through: it gets a document's sketch, and reports a pair, once for all of them.
 TASK_BUCKETS = 8
+#: Documents of a band up to which one task holds a sketch of each: beyond, signatures are dealt out to parts by their value.
+BAND_DOCS = 2_000_000
 TASK_DOCS = 400
 #: Segments for each that a prober of the largest size needs: the rest is left out as empty or shared by many.
 SLACK = 1.2
@@ -194,7 +196,11 @@ _PACKED = pa.schema([("task", pa.int64()), *((c, pa.binary()) for c in ("rid", "
 PACKED_DDL = "task long, rid binary, size binary, meta binary, sketch binary, sub binary, doc binary, len binary, low binary, high binary"
 
 
-def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray, subs: dict[int, int], out: dict, seen: np.ndarray) -> int:
+_PART = TASK_BUCKETS << 40
+
+
+def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray, subs: dict[int, tuple[int, int]], out: dict, seen: np.ndarray) -> int:
+    # subs: by band, its buckets and its parts
     # seen: documents by n-gram (hashed), of those that the task has read; the last place counts them all
     every = np.concatenate(sets) if sets else np.zeros(0, _U)
     seen[:-1] += np.bincount((every >> _U(44)).astype(np.int64), minlength=len(seen) - 1).astype(np.int32)
@@ -214,12 +220,14 @@ def _packed(rids: np.ndarray, sets: list[np.ndarray], t: float, ends: np.ndarray
         of, seg, sig, flags, mine, brute = _signatures(g, rarity, doc, sizes[use], band, np.ones(len(use), bool), ends, t)
         sketch, edges = _sketches(g, doc, band, ends)
         m, _ = scheme(band, ends, t)
-        s = np.array([subs.get(int(b), 1) for b in band], np.int64)
-        bucket = band[of] * _SUBS + seg * s[of] // m[of]
-        # every indexed document shows in the band's first bucket, where probers without an allotment meet all of them
-        show = np.flatnonzero(mine | brute)
+        s, parts = (np.array([subs.get(int(b), (1, 1))[i] for b in band], np.int64) for i in (0, 1))
+        bucket = band[of] * _SUBS + seg * s[of] // m[of] + (_mix(sig) % parts[of].astype(_U)).astype(np.int64) * _PART
+        # every indexed document shows in one part of the band's first bucket, probers without an allotment in all parts
+        one, every_ = np.flatnonzero(mine & ~brute), np.flatnonzero(brute)
+        show = np.concatenate([one, np.repeat(every_, parts[every_])])
+        part = np.concatenate([(rids[use[one]].view(_U) % parts[one].astype(_U)).astype(np.int64), _ranges(np.zeros(len(every_), np.int64), parts[every_])])
         of = np.concatenate([of, show])
-        bucket = np.concatenate([bucket, band[show] * _SUBS])
+        bucket = np.concatenate([bucket, band[show] * _SUBS + part * _PART])
         real = np.concatenate([np.ones(len(sig), bool), np.zeros(len(show), bool)])
         sig = np.concatenate([sig, np.zeros(len(show), _U)])
         flags = np.concatenate([flags, np.zeros(len(show), np.uint8)])
@@ -261,7 +269,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
-def _signature_batches(n: int, t: float, subs: dict[int, int]):
+def _signature_batches(n: int, t: float, subs: dict[int, tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, out, held = bands(t), {}, 0
         seen = np.zeros((1 << 20) + 1, np.int32)
@@ -297,7 +305,7 @@ def _candidates(t: float):
         def col(name, kind):
             return np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)])
 
-        task = group.column("task")[0].as_py()
+        task = group.column("task")[0].as_py() & ((1 << 40) - 1)
         first = task % (_SUBS // TASK_BUCKETS) == 0
         rid, size, meta = col("rid", np.int64), col("size", np.int32), col("meta", np.uint8)
         ids, local = np.unique(rid, return_inverse=True)  # equal texts have one rid: they count once
@@ -435,18 +443,20 @@ def _verified(t: float):
 # ---------------------------------------------------------------- plans
 
 
-def _sub_buckets(docs: DataFrame, t: float) -> dict[int, int]:
-    """How many buckets each size band needs, from the lengths of all texts (only the tasks' sizes depend on it)."""
+def _sub_buckets(docs: DataFrame, t: float) -> dict[int, tuple[int, int]]:
+    """How many buckets and parts each size band needs, from the lengths of all texts (only the tasks' sizes depend on it)."""
     step = float(np.log(1 / t))
     guess = F.floor(F.log(F.greatest(F.length("text") / 6.0, F.lit(1.0))) / step).cast("int")
-    per = docs.filter(F.length("text") > 0).groupBy(guess.alias("g")).agg((F.sum("n") if "n" in docs.columns else F.sum(F.length("text") / 6.0)).alias("grams"))
+    per = docs.filter(F.length("text") > 0).groupBy(guess.alias("g")).agg(F.sum(F.length("text") / 6.0).alias("grams"), F.count(F.lit(1)).alias("docs"))
     ends = bands(t)
-    out: dict[int, float] = {}
+    grams: dict[int, float] = {}
+    count: dict[int, float] = {}
     for r in per.collect():
         b = int(np.searchsorted(ends, max(1, int(np.exp(r.g * step) * 1.1)), side="right") - 1)
         for near, share in ((b - 1, 0.5), (b, 1.0), (b + 1, 0.7)):
-            out[near] = out.get(near, 0.0) + share * r.grams
-    return {b: int(min(_SUBS, max(1, np.ceil(x / BUCKET_SIGNATURES)))) for b, x in out.items() if b >= 0}
+            grams[near] = grams.get(near, 0.0) + share * r.grams
+            count[near] = count.get(near, 0.0) + share * r.docs
+    return {b: (int(min(_SUBS, max(1, np.ceil(x / BUCKET_SIGNATURES)))), int(max(1, np.ceil(count[b] / BAND_DOCS)))) for b, x in grams.items() if b >= 0}
 
 
 def pair_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

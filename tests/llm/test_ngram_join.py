@@ -50,8 +50,9 @@ def grouped(nodes, pairs):
     return root
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_every_link_is_found(spark, make_docs, words, seed):
+@pytest.mark.parametrize(("seed", "band"), [(1, 2_000_000), (2, 2_000_000), (3, 7)])
+def test_every_link_is_found(spark, make_docs, words, monkeypatch, seed, band):
+    monkeypatch.setattr(J, "BAND_DOCS", band)
     texts = corpus(words, seed)
     pairs = brute(texts)
     docs = make_docs(texts)
@@ -85,15 +86,15 @@ def test_copies_and_a_variant_of_many(spark, make_docs):
     assert all(got[i][0] == 0 for i in range(300)) and all(got[i] == (i, 0) for i in range(305, 355))
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=24), min_size=2, max_size=12), st.sampled_from([0.5, 0.7, 0.8]))
-def test_signatures_miss_no_pair(sets, t):
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=24), min_size=2, max_size=12), st.sampled_from([0.5, 0.7, 0.8]), st.sampled_from([1, 3]))
+def test_signatures_miss_no_pair(sets, t, parts):
     """The kernels alone, on sets of single words; near copies are made by changing elements."""
     sets = sets + [s ^ {i % 41} for i, s in enumerate(sets) if len(s ^ {i % 41})]
     arrays = [np.unique(np.array([x * 7919 + 13 for x in s], np.uint64)) for s in sets]
     out = {}
     seen = np.zeros((1 << 20) + 1, np.int32)
-    J._packed(np.arange(len(sets)), [np.sort(J._mix(a)) for a in arrays], t, J.bands(t), {}, out, seen)
+    J._packed(np.arange(len(sets)), [np.sort(J._mix(a)) for a in arrays], t, J.bands(t), {b: (1, parts) for b in range(40)}, out, seen)
     table = pa.Table.from_batches([J._flush(out)])
     got = set()
     for b in set(table.column("task").to_pylist()):
