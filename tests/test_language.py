@@ -322,3 +322,11 @@ def test_streams(spark, tmp_path):
     got = run(stream_counts.windowed_freq_dist(stream, "at", words), "append", "win")
     assert {(r.start.hour, r["sample"]): r["count"] for r in got} == {(0, "a"): 2, (0, "b"): 1, (1, "b"): 1}
     assert strings.edit_distance("", "") == 0
+
+
+def test_registered_functions(spark):
+    from loomtext.functions.register import register
+
+    assert "word_tokenize" in register(spark)
+    row = spark.sql("SELECT word_tokenize('It is. Go.') a, space_tokenize('a  b') b, wordpunct_tokenize('a.b!') c, porter_stem('running') d, tableau_proves('q', array('p', 'p -> q')) e, word_tokenize(NULL) f").first()
+    assert tuple(row) == (["It", "is", ".", "Go", "."], ["a", "", "b"], ["a", ".", "b", "!"], "run", True, None)
