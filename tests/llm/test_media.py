@@ -3,6 +3,7 @@ import gzip
 import io
 import random
 import struct
+import time
 import wave
 import zipfile
 import zlib
