@@ -12,11 +12,12 @@ import numpy as np
 NEVER = -1e9
 
 
-def by_context(entries: list[dict[str, str] | None], order: int, default: str) -> list[str]:
-    """Entries: for each word its tag by the previous predicted tags, joined by tabs, nearest first."""
+def by_context(entries: list[dict[str, str]], order: int, otherwise: list[str]) -> list[str]:
+    """Entries: for each word its tag by the previous predicted tags, joined by tabs, nearest first; otherwise: the tag that
+    it gets in an unknown context."""
     before, out = ["<S>"] * (order - 1), []
-    for known in entries:
-        tag = (known or {}).get("\t".join(before), default)
+    for known, default in zip(entries, otherwise):
+        tag = known.get("\t".join(before), default)
         out.append(tag)
         before = [tag, *before][: order - 1]
     return out

@@ -127,18 +127,24 @@ def _arrow(f: Callable[[list], list[str]]) -> Callable[[Column], Column]:
     return run
 
 
-def context_tag(rows: DataFrame, model: DataFrame, order: int, default: str | None = None) -> DataFrame:
+def context_tag(rows: DataFrame, model: DataFrame, order: int, default: str | None = None, backoff: DataFrame | None = None) -> DataFrame:
     """G5 (order 2), G6 (order 3): rows (sent_id, pos, word) with tag, by the tags predicted before and the word.
 
-    model: see ``context_train``. Unknown contexts get default, by default the model's most frequent tag (of ties the smallest).
+    model: see ``context_train``. Where a context is unknown, backoff (word, tag) decides, else default, by default the model's
+    most frequent tag (of ties the smallest).
     """
     if default is None:
         top = model.groupBy("tag").count().orderBy(F.desc("count"), "tag").first()
         default = top.tag if top else "NN"
     key = F.concat_ws("\t", *[f"prev{i}" for i in range(1, order)])
-    maps = model.groupBy("word").agg(F.collect_list(F.struct(key.alias("k"), "tag")).alias("info"))
-    tag = _arrow(lambda s: tagging.by_context([{e["k"]: e["tag"] for e in x["info"]} if x["info"] else None for x in s], order, default))
-    return _exploded(_sentences(rows, maps, "info").withColumn("tags", tag("s")))
+    maps = model.groupBy("word").agg(F.collect_list(F.struct(key.alias("k"), "tag")).alias("by"))
+    known = maps.join(backoff.select("word", F.col("tag").alias("back")), "word", "full") if backoff is not None else maps.withColumn("back", F.lit(None).cast("string"))
+
+    def tag(s: list) -> list[str]:
+        found = [x["info"] or {} for x in s]
+        return tagging.by_context([{e["k"]: e["tag"] for e in x.get("by") or ()} for x in found], order, [x.get("back") or default for x in found])
+
+    return _exploded(_sentences(rows, known.select("word", F.struct("by", "back").alias("info")), "info").withColumn("tags", _arrow(tag)("s")))
 
 
 def affix_last_train(rows: DataFrame, size: int = 3, suffix: bool = True) -> DataFrame:

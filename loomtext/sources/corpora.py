@@ -84,8 +84,8 @@ def categories(corpus: DataFrame) -> DataFrame:
 
 
 def find(name: str, folders: Iterable[str] = ()) -> str:
-    """The path of a resource in the first folder that has it: those given, NLTK_DATA's, the home's, /usr/share, /usr/local/share."""
-    asked = [*folders, *os.environ.get("NLTK_DATA", "").split(os.pathsep), os.path.expanduser("~/nltk_data"), "/usr/share/nltk_data", "/usr/local/share/nltk_data"]
+    """The path of a resource in the first folder that has it: those given, LOOMTEXT_DATA's, the home's, /usr/share, /usr/local/share."""
+    asked = [*folders, *os.environ.get("LOOMTEXT_DATA", "").split(os.pathsep), os.path.expanduser("~/loomtext_data"), "/usr/share/loomtext_data", "/usr/local/share/loomtext_data"]
     for folder in filter(None, asked):
         if os.path.exists(path := os.path.join(folder, name)):
             return path

@@ -123,6 +123,8 @@ def test_context_taggers(spark):
     assert by_sentence(two) == [["DT", "NN", "VB"], ["VB", "VB"]]  # unseen contexts: the most frequent tag of the model
     three = taggers.context_tag(asked, taggers.context_train(rows, 3), 3, "XX")
     assert by_sentence(three) == [["DT", "NN", "VB"], ["XX", "XX"]]
+    chain = taggers.context_tag(asked, taggers.context_train(rows, 3), 3, "XX", taggers.unigram_train(rows))
+    assert by_sentence(chain) == [["DT", "NN", "VB"], ["NN", "DT"]]
 
 
 def best_path(words, tags, start, move, emit, end):
