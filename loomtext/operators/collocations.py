@@ -22,6 +22,8 @@ def counted(docs: DataFrame, tokens: Column) -> DataFrame:
     """w1, w2, count of adjacent words, and of each text's last word with an empty w2: unigrams and bigrams of one scan."""
     t = docs.select(tokens.alias("t")).select("t", F.concat(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.array(F.lit(""))).alias("after"))
     pairs = t.select(F.explode(F.zip_with("t", F.slice("after", 1, F.size("t")), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))).alias("g"))
+    # joins infer this condition for one of the parts: said here, the parts stay equal and share their shuffle
+    pairs = pairs.filter(F.col("g.w1").isNotNull() & F.col("g.w2").isNotNull())
     return pairs.groupBy("g.w1", "g.w2").agg(F.count(F.lit(1)).alias("count"))
 
 
