@@ -72,7 +72,7 @@ def materialise(df: DataFrame, name: str = "stage", by: str | None = None) -> Da
     executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -148,6 +148,8 @@ def _added(min_count: int, up_to: int):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.add.reduceat(n[by], first)
         pick = by[first]
+        by = np.argsort(ctx[pick], kind="stable")  # contexts in runs take little room on disk
+        pick, count = pick[by], count[by]
         ctx, low, word = ctx[pick], low[pick], word[pick]
         names, inverse = np.unique(ctx, return_inverse=True)
         total = np.zeros(len(names), np.int64)
