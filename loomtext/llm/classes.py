@@ -53,15 +53,22 @@ def components(pairs: DataFrame) -> DataFrame:
             return label.select(F.col("v").alias("node"), F.col("c").alias("component"))
 
 
-def summary(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """id, class_id, n_links of each of rows (id, node; distinct), given the pairs a, b of linked nodes.
+def counted(rows: DataFrame) -> DataFrame:
+    """node, its number of rows (n) and their smallest id (least)."""
+    return materialise(rows.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "nodes")
+
+
+def summary(rows: DataFrame, links: DataFrame, nodes: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """id, class_id, n_links of each of rows (id, node; distinct), given the pairs a, b of linked nodes. Where near says how many
+    rows (linked) the others linked with a node have, links may be a spanning forest. nodes: ``counted`` rows, if known.
 
     Rows of one node are linked with each other, and with all rows of a linked node; they are counted, never expanded. class_id is
     the smallest id of all rows that chains of links reach. A row without a node has no link.
     """
-    nodes = materialise(rows.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "nodes")
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x")).select("x.*")
-    near = ends.join(nodes.select(F.col("node").alias("other"), "n"), "other").groupBy("node").agg(F.sum("n").alias("linked"))
+    nodes = counted(rows) if nodes is None else nodes
+    if near is None:
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x")).select("x.*")
+        near = ends.join(nodes.select(F.col("node").alias("other"), "n"), "other").groupBy("node").agg(F.sum("n").alias("linked"))
     part = components(links)
     least = part.join(nodes, "node").groupBy("component").agg(F.min("least").alias("class_least"))
     known = nodes.join(near, "node", "left").join(part.join(least, "component").select("node", "class_least"), "node", "left")

@@ -5,8 +5,12 @@ Two sets whose Jaccard similarity reaches the threshold differ in at most H n-gr
 allots thresholds v (0, 1 or 2) to segments with a sum of H + 1, some segment differs in less than v n-grams: with v = 1
 its subsets are equal, with v = 2 one is the other or the other less one n-gram. Subsets, and in some segments their
 one-deletion neighbourhoods, are indexed; the prober allots by cost, leaving out empty segments (shared by everyone)
-and taking single n-grams and deletion neighbourhoods last. Candidates are verified on the whole sets, unless the parities of
-n-grams by hash cell, of which each n-gram in only one set flips one, already differ in more than H cells.
+and taking single n-grams and deletion neighbourhoods last. Candidates are dropped if the parities of n-grams by hash cell, of
+which each n-gram in only one set flips one, already differ in more than H cells.
+
+Candidate pairs are never listed: a task reports a spanning forest of them. Within each component of all forests, every pair is
+verified on the whole sets, once, and counted where it is found. So rows grow with the documents, neither with the pairs of
+a group of variants nor with the tasks that meet a pair.
 
 Signatures travel as packed arrays, one row for each batch of documents and bucket (size band, range of segments), so the
 shuffle carries 5 bytes a signature and no row overhead; a bucket holds a bounded number of signatures at any input size.
@@ -22,18 +26,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bloom
-from loomtext.llm.classes import classes_sql, components, summary
+from loomtext.llm.classes import classes_sql, components, counted, summary
 from loomtext.llm.common import guarded, materialise, released, table
 
 N = 2
 THRESHOLD = 0.7
-#: Signatures that a bucket aims at, and documents of one side of a verification task.
+#: Signatures that a bucket aims at.
 BUCKET_SIGNATURES = 1_500_000
 #: Buckets of a size band that one task goes through: it gets a document's sketch, and reports a pair, once for all of them.
 TASK_BUCKETS = 8
 #: Documents of a band up to which one task holds a sketch of each: beyond, signatures are dealt out to parts by their value.
 BAND_DOCS = 2_000_000
-TASK_DOCS = 400
+#: N-grams of one side of a verification task.
+TASK_GRAMS = 1_000_000
 #: Segments for each that a prober of the largest size needs: the rest is left out as empty or shared by many.
 SLACK = 1.2
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -300,7 +305,51 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _candidates(t: float):
+class _Forest:
+    """Labels of connected items, and the edges that connected them."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+        self._members: dict[int, list[int]] = {}
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        for a, b in zip(x.tolist(), y.tolist()):
+            p, q = int(self.label[a]), int(self.label[b])
+            if p == q:
+                continue
+            self.edges.append((a, b))
+            small, large = (self._members.pop(k, [k]) for k in (p, q))
+            if len(small) > len(large):
+                small, large, q = large, small, p
+            self.label[small] = q
+            large.extend(small)
+            self._members[q] = large
+
+    def span(self, rows: np.ndarray, item: np.ndarray, linked, ends: np.ndarray) -> None:
+        """Connects items of rows (row r is of item[r]) as linked(r, others) says; of two linked rows, one is in ends (a mask
+        by row). A row that was compared with all of other labels is done. Rows go on until those outside the commonest label
+        or those in ends are done, whichever are fewer, so that a group of mutual links takes one pass."""
+        before = -1
+        while len(rows) > 1:
+            label = self.label[item[rows]]
+            if len(self.edges) != before:
+                names, count = np.unique(label, return_counts=True)
+                major, before = names[np.argmax(count)], len(self.edges)
+            other = np.flatnonzero(label != major)
+            needed = np.flatnonzero(ends[rows])
+            if not len(other) or not len(needed):
+                break
+            at = other[0] if len(other) <= len(needed) else needed[0]
+            x = rows[at]
+            y = item[linked(x, rows[label != label[at]])]
+            self.join(np.full(len(y), item[x]), y)
+            rows = np.delete(rows, at)
+
+
+def _candidates(t: float, forest: bool = False):
+    """The candidate pairs of a task's documents; with forest, a spanning forest of them."""
+
     def run(group: pa.Table) -> pa.Table:
         def col(name, kind):
             return np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)])
@@ -323,17 +372,32 @@ def _candidates(t: float):
         found: list[np.ndarray] = []
         held = 0
 
+        trees = _Forest(len(ids))
+
+        def alike(lx, ly):
+            return np.minimum(lx, ly) + 1e-9 >= t * np.maximum(lx, ly)
+
+        def close(x, y):
+            both = length[x] + length[y]
+            most = both - 2 * np.ceil(t / (1 + t) * both - 1e-9)
+            step = max(1, 4_000_000 // sketch.shape[1])
+            apart = [np.bitwise_count(sketch[x[k : k + step]] ^ sketch[y[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(x), step)]
+            return (np.concatenate(apart) if apart else np.zeros(0, np.int64)) <= most
+
         def add(x, y):
             nonlocal held
-            ok = (x != y) & (np.minimum(length[x], length[y]) + 1e-9 >= t * np.maximum(length[x], length[y]))
+            if forest:
+                apart = trees.label[x] != trees.label[y]
+                x, y = x[apart], y[apart]
+            ok = (x != y) & alike(length[x], length[y])
             x, y = x[ok], y[ok]
             codes = np.unique(np.minimum(x, y) << 32 | np.maximum(x, y))
             x, y = codes >> 32, codes & 0xFFFFFFFF
-            both = length[x] + length[y]
-            most = both - 2 * np.ceil(t / (1 + t) * both - 1e-9)
-            step = max(1, 4_000_000 // sketch.shape[1])
-            apart = [np.bitwise_count(sketch[x[k : k + step]] ^ sketch[y[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(x), step)]
-            found.append(codes[np.concatenate(apart) <= most] if apart else codes)
+            codes = codes[close(x, y)]
+            if forest:
+                trees.join(codes >> 32, codes & 0xFFFFFFFF)
+                return
+            found.append(codes)
             held += len(found[-1])
             if held > 3_000_000:
                 found[:] = [np.unique(np.concatenate(found))]
@@ -341,11 +405,21 @@ def _candidates(t: float):
 
         at = np.concatenate([[0], np.cumsum(count)])
 
-        def emit(doc, flag, i, j):
+        def fits(doc, flag, i, j):
             x, y, fx, fy = doc[i], doc[j], flag[i], flag[j]
             lx, ly = length[x], length[y]
-            ok = ((fx & fy & _DEL) == 0) & ((((fx & _PROBE) > 0) & ((fy & _IDX) > 0) & (lx >= ly)) | (((fy & _PROBE) > 0) & ((fx & _IDX) > 0) & (ly >= lx)))
-            add(x[ok], y[ok])
+            return ((fx & fy & _DEL) == 0) & ((((fx & _PROBE) > 0) & ((fy & _IDX) > 0) & (lx >= ly)) | (((fy & _PROBE) > 0) & ((fx & _IDX) > 0) & (ly >= lx)))
+
+        def emit(doc, flag, i, j):
+            ok = fits(doc, flag, i, j)
+            add(doc[i[ok]], doc[j[ok]])
+
+        def linked(doc, flag):
+            def of(i, j):
+                j = j[fits(doc, flag, i, j) & alike(length[doc[i]], length[doc[j]])]
+                return j[close(np.full(len(j), doc[i]), doc[j])]
+
+            return of
 
         for bucket in np.unique(sub).tolist():
             runs = np.flatnonzero(sub == bucket)
@@ -359,6 +433,13 @@ def _candidates(t: float):
             edge, run_len = edge[run_len > 1], run_len[run_len > 1]
             for n in np.unique(run_len).tolist():
                 starts = edge[run_len == n]
+                if forest:  # a run of connected documents, or one without a prober or an indexed one, has nothing to add
+                    step, more = max(1, 1_000_000 // n), []
+                    for k in range(0, len(starts), step):
+                        rows = order[starts[k : k + step, None] + np.arange(n)]
+                        label, flags = trees.label[doc[rows]], np.bitwise_or.reduce(flag[rows], 1)
+                        more.append((label != label[:, :1]).any(1) & ((flags & (_IDX | _PROBE)) == (_IDX | _PROBE)))
+                    starts = starts[np.concatenate(more)]
                 if n <= 512:
                     p, q = np.triu_indices(n, 1)
                     step = max(1, 1_000_000 // len(p))
@@ -370,6 +451,10 @@ def _candidates(t: float):
                         rows = order[s : s + n]
                         _, one = np.unique(doc[rows].astype(np.int64) << 3 | flag[rows], return_index=True)
                         rows = rows[one]
+                        if forest:
+                            rare = min((_IDX, _PROBE), key=lambda x: np.count_nonzero(flag[rows] & x))  # noqa: B023
+                            trees.span(rows, doc, linked(doc, flag), (flag & rare) > 0)
+                            continue
                         step = max(1, 1_000_000 // len(rows))
                         for k in range(0, len(rows), step):
                             part = rows[k : k + step]
@@ -381,6 +466,9 @@ def _candidates(t: float):
                 add(np.full(len(y), x, np.int64), y.astype(np.int64))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         found.clear()
+        if trees.edges:
+            x, y = np.array(trees.edges, np.int64).T
+            pairs = np.minimum(x, y) << 32 | np.maximum(x, y)
         released()
         return pa.Table.from_arrays([pa.array(ids[pairs >> 32]), pa.array(ids[pairs & 0xFFFFFFFF])], schema=_PAIR)
 
@@ -400,42 +488,88 @@ def _set_batches(n: int):
     return run
 
 
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("total", pa.int64())])
+PAIRS, LINKS, FOREST = "pairs", "links", "forest"
+_FOUND = pa.schema([(c, pa.int64()) for c in ("a", "b", "shared", "total", "linked")])
+FOUND_DDL = "a long, b long, shared long, total long, linked long"
+
 
+def _verified(t: float, want: str):
+    """Of one task: its documents, compared within each component; where a component has several parts, within a part or (cross)
+    between two.
 
-def _verified(t: float):
-    """Of one task: rows with grams are its documents, the others its pairs."""
+    PAIRS gives the linked pairs; LINKS a spanning forest of them, and for each document how many rows its links have
+    (linked); FOREST the forest alone, for which connected documents needn't be compared.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        grams = group.column("grams")
-        is_doc = grams.is_valid().to_numpy()
-        a_all, b_all = group.column("a").to_numpy(), group.column("b").to_numpy()
-        rids = a_all[is_doc]
-        sets = [np.frombuffer(x.as_py(), _U) for x in grams.filter(pa.array(is_doc))]
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True) if sets else (None, np.zeros(0, np.int64))
-        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-        by = np.argsort(rids, kind="stable")
-        a = by[np.searchsorted(rids[by], a_all[~is_doc])]
-        b = by[np.searchsorted(rids[by], b_all[~is_doc])]
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        size = np.diff(at)
-        marked = np.zeros(int(flat.max(initial=0)) + 1, bool)
-        shared = np.zeros(len(a), np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])).tolist() + [len(a)] if len(a) else [0]
+        group = group.sort_by([("component", "ascending"), ("part", "ascending"), ("rid", "ascending")])
+        component, rid, part, cross, weight = (group.column(c).to_numpy() for c in ("component", "rid", "part", "cross", "n"))
+        sets = [np.frombuffer(x.as_py(), _U) for x in group.column("grams")]
+        del group
+        size = np.array([len(s) for s in sets], np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        del sets
+        marked = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
+        trees, linked = _Forest(len(rid)), np.zeros(len(rid), np.int64)
+        out: list[tuple] = []
+
+        def shared(x, y):
+            own = flat[at[x] : at[x + 1]]
+            marked[own] = 1
+            a, b = y[0], y[-1] + 1
+            if 2 * (at[b] - at[a]) <= 3 * size[y].sum():  # most of a stretch: no copy of it
+                n = np.add.reduceat(marked[flat[at[a] : at[b]]], at[a:b] - at[a])[y - a]
+            else:
+                n = np.add.reduceat(marked[flat[_ranges(at[y], size[y])]], np.cumsum(size[y]) - size[y])
+            marked[own] = 0
+            return n.astype(np.int64)
+
+        edge = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1], [True]])).tolist()
         for s, e in zip(edge[:-1], edge[1:]):
-            own = flat[at[a[s]] : at[a[s] + 1]]
-            marked[own] = True
-            for k in range(s, e, 2048):
-                others = b[k : min(e, k + 2048)]
-                rows = np.concatenate([flat[at[x] : at[x + 1]] for x in others.tolist()])
-                cut = np.concatenate([[0], np.cumsum(size[others])[:-1]])
-                shared[k : k + len(others)] = np.add.reduceat(marked[rows].astype(np.int64), cut)
-            marked[own] = False
-        total = size[a] + size[b] - shared
+            sketch = None
+            if e - s > 16:
+                cells = 1 << int(min(4096, max(64, size[s:e].max())) - 1).bit_length()
+                odd = np.bincount(np.repeat(np.arange(e - s) * cells, size[s:e]) + flat[at[s] : at[e]] % cells, minlength=(e - s) * cells)
+                sketch = np.packbits(odd.astype(np.uint8) & 1).view(np.uint64).reshape(e - s, cells // 64)
+                del odd
+
+            def near(x, y, s=s, sketch=sketch):
+                """Those of y, in ascending order, that are linked with x, and their shared n-grams."""
+                both = size[x] + size[y]
+                ok = np.minimum(size[x], size[y]) + 1e-9 >= t * np.maximum(size[x], size[y])
+                if sketch is not None:
+                    ok &= np.bitwise_count(sketch[y - s] ^ sketch[x - s]).sum(1, dtype=np.int64) <= both - 2 * np.ceil(t / (1 + t) * both - 1e-9)
+                y = y[ok]
+                if not len(y):
+                    return y, y
+                n = shared(x, y)
+                ok = n / np.maximum(size[x] + size[y] - n, 1) >= t
+                return y[ok], n[ok]
+
+            if want == FOREST:
+                trees.span(np.arange(s, e), np.arange(len(rid)), lambda x, y: near(x, y)[0], np.ones(len(rid), bool))  # noqa: B023
+                continue
+            second = s + int(np.searchsorted(part[s:e], part[s], side="right"))
+            for x in range(s, second if cross[s] else e - 1):
+                y, n = near(x, np.arange(second if cross[s] else x + 1, e))
+                if want == PAIRS:
+                    out.append((np.minimum(rid[x], rid[y]), np.maximum(rid[x], rid[y]), n, size[x] + size[y] - n))
+                    continue
+                linked[x] += weight[y].sum()
+                linked[y] += weight[x]
+                y = y[trees.label[y] != trees.label[x]]
+                trees.join(np.full(len(y), x), y)
         released()
-        ok = shared / np.maximum(total, 1) >= t
-        return pa.Table.from_arrays([pa.array(x[ok]) for x in (rids[a], rids[b], shared, total)], schema=_FOUND)
+        if want == PAIRS:
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+            return pa.Table.from_arrays([*map(pa.array, cols), pa.nulls(len(cols[0]), pa.int64())], schema=_FOUND)
+        x, y = np.array(trees.edges, np.int64).reshape(-1, 2).T
+        has = np.flatnonzero(linked)
+        none = pa.nulls(len(x) + len(has), pa.int64())
+        others = pa.concat_arrays([pa.array(rid[y]), pa.nulls(len(has), pa.int64())])
+        counts = pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(linked[has])])
+        return pa.Table.from_arrays([pa.array(np.concatenate([rid[x], rid[has]])), others, none, none, counts], schema=_FOUND)
 
     return run
 
@@ -459,33 +593,36 @@ def _sub_buckets(docs: DataFrame, t: float) -> dict[int, tuple[int, int]]:
     return {b: (int(min(_SUBS, max(1, np.ceil(x / BUCKET_SIGNATURES)))), int(max(1, np.ceil(count[b] / BAND_DOCS)))) for b, x in grams.items() if b >= 0}
 
 
-def pair_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs a < b of text keys with shared and total n-grams, for all texts that differ and reach the threshold."""
+def _found(docs: DataFrame, n: int, threshold: float, want: str, rows: DataFrame | None = None) -> DataFrame:
+    """What ``_verified`` finds in all tasks. rows: how many rows (n) each text key (node) has, for LINKS."""
     if n < 1 or not 0 < threshold <= 1:
         raise ValueError("n must be positive and the threshold in (0, 1]")
-    spark = docs.sparkSession
     texts = docs.select(text_key(F.col("text")).alias("rid"), "text").filter(F.col("text").isNotNull() & (F.col("text") != ""))
     subs = _sub_buckets(docs.select("text"), threshold)
     hashed = texts.select("rid", word_hashes(F.col("text")).alias("w"))
     packed = hashed.mapInArrow(_signature_batches(n, threshold, subs), PACKED_DDL)
-    found = packed.groupBy("task").applyInArrow(_candidates(threshold), "a long, b long").distinct()
-    pairs = materialise(found, "candidates")
-    ends_ = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("other")), F.struct(F.col("b").alias("rid"), F.col("a").alias("other")))).alias("x"))
-    place = materialise(ends_.groupBy("x.rid").agg(F.least(F.min("x.other"), F.col("rid")).alias("home")), "places")
+    place = components(packed.groupBy("task").applyInArrow(_candidates(threshold, True), "a long, b long")).withColumnRenamed("node", "rid")
     known = bloom.build(place, "rid", place.count())
-    # documents of a neighbourhood share a home, large ones in parts: a task is a pair of parts
-    parts = place.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / TASK_DOCS).alias("parts")).filter("parts > 1")
-    place = place.join(parts, "home", "left").select("rid", F.xxhash64("home", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rid", F.lit(7)), F.col("parts"))).otherwise(F.lit(0))).alias("part"))
-    side = lambda s: place.select(F.col("rid").alias(s), F.col("part").alias(f"p{s}"))
-    task = F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb"))
-    tasks = materialise(pairs.join(side("a"), "a").join(side("b"), "b").select(task.alias("task"), "a", "b"), "tasks")
-    wanted = tasks.select("task", F.explode(F.array("a", "b")).alias("rid")).distinct()
     once = texts.filter(bloom.may_contain(known, F.col("rid")))
     sets = once.select("rid", word_hashes(F.col("text")).alias("w")).mapInArrow(_set_batches(n), "rid long, grams binary")
-    sets = sets.groupBy("rid").agg(F.first("grams").alias("grams"))  # one of equal texts
-    rows = wanted.join(sets, "rid").select("task", F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    rows = rows.unionByName(tasks.withColumn("grams", F.lit(None).cast("binary")))
-    return rows.groupBy("task").applyInArrow(_verified(threshold), "a long, b long, shared long, total long")
+    sets = sets.groupBy("rid").agg(F.first("grams").alias("grams")).join(place, "rid")  # one of equal texts
+    sets = sets.join(rows.select(F.col("node").alias("rid"), "n"), "rid", "left") if rows is not None else sets.withColumn("n", F.lit(1).cast("long"))
+    sets = materialise(sets, "sets")
+    # small components share a task, documents of a large one are dealt out to parts: a task is a part or a pair of them
+    sizes = sets.groupBy("component").agg(F.sum(F.length("grams") / 8).alias("grams")).withColumn("parts", F.ceil(F.col("grams") / TASK_GRAMS).cast("int"))
+    bins = max(1, int(np.ceil((sizes.agg(F.sum("grams")).first()[0] or 0) / TASK_GRAMS)))
+    sets = sets.join(sizes.filter("parts > 1").select("component", "parts"), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("rid", F.lit(7)), F.col("parts")).cast("int")
+    sets = sets.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    small = F.pmod(F.xxhash64("component", F.lit(11)), F.lit(bins))
+    task = F.when(F.col("parts") == 1, small).otherwise(F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")))
+    tasks = sets.select(task.alias("task"), "component", "rid", "part", (F.col("part") != F.col("other")).alias("cross"), "n", "grams")
+    return tasks.groupBy("task").applyInArrow(_verified(threshold, want), FOUND_DDL)
+
+
+def pair_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs a < b of text keys with shared and total n-grams, for all texts that differ and reach the threshold."""
+    return _found(docs, n, threshold, PAIRS).select("a", "b", "shared", "total")
 
 
 def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -502,10 +639,12 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     ignored, whatever their names. Very long texts are sets like any other, no part of them is left out.
     """
     docs = docs.select("doc_id", "text")
-    found = materialise(pair_sets(docs, n, threshold).select("a", "b"), "links")
     node = F.when(F.col("text").rlike(_WORDS), text_key(F.col("text")))
     rows = docs.select(F.col("doc_id").alias("id"), node.alias("node"), text_key(F.col("text")).alias("t")).distinct().drop("t")
-    return summary(rows, found).withColumnRenamed("id", "doc_id")
+    nodes = counted(rows)
+    found = materialise(_found(docs, n, threshold, LINKS, nodes), "links")
+    near = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
+    return summary(rows, found.filter("b IS NOT NULL").select("a", "b"), nodes, near).withColumnRenamed("id", "doc_id")
 
 
 def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

@@ -157,3 +157,47 @@ def test_components(spark):
 def test_bad_parameters(make_docs):
     with pytest.raises(ValueError):
         J.near_classes(make_docs(["a"]), threshold=0)
+
+
+def test_candidates_grow_with_documents(monkeypatch):
+    """600 variants of one text, whose signatures lie in many tasks: each task reports at most a tree of them, and all are connected."""
+    monkeypatch.setattr(J, "TASK_BUCKETS", 1)
+    rng = np.random.default_rng(3)
+    base = J._mix(np.arange(1, 301, dtype=np.uint64))
+    sets = []
+    for i in range(600):
+        new = J._mix(np.arange(1000 + 10 * i, 1006 + 10 * i, dtype=np.uint64))
+        sets.append(np.sort(np.concatenate([rng.permutation(base)[6:], new])))
+    out = {}
+    J._packed(np.arange(600), sets, 0.7, J.bands(0.7), {b: (16, 1) for b in range(40)}, out, np.zeros((1 << 20) + 1, np.int32))
+    table = pa.Table.from_batches([J._flush(out)])
+    edges, tasks = [], set(table.column("task").to_pylist())
+    assert len(tasks) > 16
+    for b in tasks:
+        part = J._candidates(0.7, True)(table.filter(pa.compute.equal(table.column("task"), b)))
+        assert len(part) < 600
+        edges += zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+    root = grouped(range(600), edges)
+    assert len({root(i) for i in range(600)}) == 1
+
+
+def test_components_in_parts(spark, make_docs, words, monkeypatch):
+    """Components of more n-grams than a task takes: pairs within and between parts count once each."""
+    monkeypatch.setattr(J, "TASK_GRAMS", 300)
+    base = words(60, 5)
+    rng = random.Random(5)
+    texts = [" ".join(base)] * 2
+    for i in range(40):
+        v = list(base)
+        for _ in range(rng.randint(1, 6)):
+            v[rng.randrange(len(v))] = f"q{rng.randrange(500)}"
+        texts.append(" ".join(v))
+    docs, sets = make_docs(texts), [grams(t) for t in texts]
+    near = [{j for j, x in enumerate(sets) if j != i and len(s & x) / len(s | x) >= J.THRESHOLD} for i, s in enumerate(sets)]
+    root = grouped(range(len(texts)), [(i, j) for i, x in enumerate(near) for j in x])
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(root(i), i)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in J.near_classes(docs).collect()} == {i: (least[root(i)], len(x)) for i, x in enumerate(near)}
+    assert J.pair_sets(docs).count() == len(brute(texts))
+    assert sorted(r.doc_id for r in J.deduplicate(docs).collect()) == sorted(least.values())
