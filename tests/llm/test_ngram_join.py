@@ -201,3 +201,16 @@ def test_components_in_parts(spark, make_docs, words, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in J.near_classes(docs).collect()} == {i: (least[root(i)], len(x)) for i, x in enumerate(near)}
     assert J.pair_sets(docs).count() == len(brute(texts))
     assert sorted(r.doc_id for r in J.deduplicate(docs).collect()) == sorted(least.values())
+
+
+def test_a_tree_of_verified_pairs():
+    """300 variants, of which every two are linked: their group is a tree and counts, not pairs."""
+    base = J._mix(np.arange(1, 101, dtype=np.uint64))
+    sets = [np.sort(np.concatenate([base, J._mix(np.arange(1000 + 3 * i, 1003 + 3 * i, dtype=np.uint64))])) for i in range(300)]
+    cols = {"task": [0] * 300, "component": [7] * 300, "rid": list(range(300)), "part": [0] * 300, "cross": [False] * 300, "n": [2] * 300, "grams": [s.tobytes() for s in sets]}
+    for want in (J.FOREST, J.LINKS):
+        rows = J._verified(0.7, want)(pa.table(cols)).to_pylist()
+        edges = [(r["a"], r["b"]) for r in rows if r["b"] is not None]
+        root = grouped(range(300), edges)
+        assert len(edges) == 299 and len({root(i) for i in range(300)}) == 1
+        assert {r["a"]: r["linked"] for r in rows if r["b"] is None} == ({} if want == J.FOREST else {i: 598 for i in range(300)})
