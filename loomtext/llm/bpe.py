@@ -25,6 +25,7 @@ from loomtext.llm.common import guarded, released, table
 #: A file of base64 tokens and ranks; the split pattern is that of GPT-2's vocabulary.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _SLICE = 1_500_000
+_RANKED = 200_000
 _NONE = np.int32(2**31 - 1)
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -52,6 +53,8 @@ class Vocabulary:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if len(left) > _RANKED:  # temporary arrays stay small
+            return np.concatenate([self.rank(left[k : k + _RANKED], right[k : k + _RANKED]) for k in range(0, len(left), _RANKED)])
         key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.merged[at], _NONE)
@@ -60,13 +63,14 @@ class Vocabulary:
         """Ids of words data[starts[i]:starts[i + 1]], flat, and where each word's begin."""
         n = len(data)
         sym = self.byte[data].astype(np.int32)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         last = np.zeros(n + 1, bool)
         last[starts[1:] - 1] = True
         last = last[:n]
         rank = np.full(n + 1, _NONE, np.int32)
-        inner = np.flatnonzero(~last)
-        rank[inner] = self.rank(sym[inner], sym[inner + 1])
+        for k in range(0, n, _RANKED):
+            inner = np.flatnonzero(~last[k : k + _RANKED]) + k
+            rank[inner] = self.rank(sym[inner], sym[inner + 1])
         alive = np.ones(n, bool)
         lists: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -94,7 +98,7 @@ class Vocabulary:
                     heapq.heappush(heap, r)
                 lists[r].append(at[a:b])
 
-        push(np.flatnonzero(rank[:n] != _NONE))
+        push(np.flatnonzero(rank[:n] != _NONE).astype(np.int32))
         while heap:
             r = heapq.heappop(heap)
             parts = lists.pop(r)
@@ -127,6 +131,7 @@ class Vocabulary:
             redo = np.unique(np.concatenate([open_, before])) if len(open_) + len(before) > 1 else np.concatenate([open_, before])
             rank[redo] = self.rank(sym[redo], sym[nxt[redo]])
             push(redo)
+        del nxt, prv, rank, last
         ids = sym[alive]
         upto = np.concatenate([[0], np.cumsum(alive)])
         return ids, upto[starts]
@@ -223,39 +228,42 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def encode_texts(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, their bounds by text, whether they decode to the text). Words are encoded once for all of texts, a column
-    without nulls; they are looked up and decoded a slice at a time."""
-    ranges, pieces, counts = list(_slices(texts)), [], []
+    without nulls; they are split, looked up and decoded a slice at a time, and between that only their numbers are held."""
+    ranges, numbers, counts = list(_slices(texts)), [], []
+    words = pa.array([], pa.binary())
     for at, to in ranges:
         data, where, per = split_words(texts.slice(at, to - at).to_pylist())
-        pieces.append(pa.Array.from_buffers(pa.binary(), len(where) - 1, [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(data)]))
+        piece = pa.Array.from_buffers(pa.binary(), len(where) - 1, [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        known = pa.compute.index_in(piece.dictionary, words)
+        new = piece.dictionary.filter(known.is_null())
+        place = known.to_numpy(zero_copy_only=False)
+        place = np.where(np.isnan(place), -1, place).astype(np.int32) if place.dtype.kind == "f" else place.astype(np.int32)
+        place[place < 0] = len(words) + np.arange(len(new), dtype=np.int32)
+        words = pa.concat_arrays([words, new])
+        numbers.append(place[piece.indices.to_numpy(zero_copy_only=False)])
         counts.append(per)
-    full = [p for p in pieces if len(p)]
-    if not full:
+    if not len(words):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), bool)
-    coded = pa.chunked_array(full).dictionary_encode().unify_dictionaries()
-    unique = coded.chunk(0).dictionary
-    _, starts, data = unique.buffers()
-    starts = np.frombuffer(starts, np.int32)[: len(unique) + 1].astype(np.int64)
+    _, starts, data = words.buffers()
+    starts = np.frombuffer(starts, np.int32)[: len(words) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)[: starts[-1]] if data is not None else np.zeros(0, np.uint8)
     ids, bounds = vocabulary.encode_words(data, starts)
-    out, sizes, same = [], [], []
-    chunks = iter(coded.chunks)
-    for piece, per in zip(pieces, counts):
-        if not len(piece):
-            same.append(np.ones(len(per), bool))
-            sizes.append(np.zeros(len(per), np.int64))
-            continue
-        chunk = next(chunks)
-        flat, word_at = _ragged(ids, bounds, chunk.indices.to_numpy(zero_copy_only=False))
-        cut = np.concatenate([[0], np.cumsum(per)])
-        byte_at = np.frombuffer(piece.buffers()[1], np.int32).astype(np.int64)[cut]
-        raw = np.frombuffer(piece.buffers()[2], np.uint8) if byte_at[-1] else np.zeros(0, np.uint8)
+    size = np.diff(bounds)
+    words_at = [np.concatenate([[0], np.cumsum(x)]) for x in counts]
+    sizes = [np.diff(np.concatenate([[0], np.cumsum(size[x])])[at]) for x, at in zip(numbers, words_at)]
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    out, same = np.empty(ends[-1], np.int32), np.ones(len(texts), bool)
+    for i, (at, to) in enumerate(ranges):
+        flat, _ = _ragged(ids, bounds, numbers[i])
+        numbers[i] = None
+        out[ends[at] : ends[to]] = flat
+        raw = "".join(texts.slice(at, to - at).to_pylist()).encode()
+        raw = np.frombuffer(raw, np.uint8)
+        byte_at = np.concatenate([[0], np.cumsum(pa.compute.binary_length(texts.slice(at, to - at)).to_numpy(zero_copy_only=False).astype(np.int64))])
         back, token_at = vocabulary.decode(flat)
         wrong = np.concatenate([[0], np.cumsum(back != raw)]) if len(back) == len(raw) else np.arange(len(raw) + 1)
-        same.append((wrong[byte_at[1:]] == wrong[byte_at[:-1]]) & (token_at[word_at[cut]] == byte_at)[1:])
-        out.append(flat.astype(np.int32))
-        sizes.append(np.diff(word_at[cut]))
-    return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(same)
+        same[at:to] = (wrong[byte_at[1:]] == wrong[byte_at[:-1]]) & (token_at[ends[at : to + 1] - ends[at]] == byte_at)[1:]
+    return out, ends, same
 
 
 def _encoder(vocabulary: Vocabulary):

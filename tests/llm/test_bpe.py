@@ -67,3 +67,20 @@ def test_cases(make_docs, clashing):
     assert rows[0].ids is None and rows[0].n_tokens is None and rows[1].ids == [] and rows[2].ids == rows[3].ids
     assert all(r.round_trip for r in rows[1:]) and rows[0].ids_in == "x" and rows[2].n_tokens == 2
     assert bpe.encode(make_docs([])).collect() == []
+
+
+def test_memory_of_merges(vocabulary):
+    """The merges' arrays take a bounded number of bytes for each byte of distinct words."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(10)).encode() for _ in range(120_000)]
+    data, starts = np.frombuffer(b"".join(words), np.uint8), np.arange(0, 10 * len(words) + 1, 10)
+    tracemalloc.start()
+    ids, _ = vocabulary.encode_words(data, starts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert vocabulary.decode(ids)[0].tobytes() == data.tobytes() and peak < 45 * len(data)
