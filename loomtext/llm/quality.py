@@ -25,7 +25,8 @@ KEEP_FROM = 0.5
 #: Partial sums of the normal equations that reach the driver.
 SUMS = 16
 SEED = 17
-_SLICE = 4_000_000
+#: Bytes of texts that are taken at once; all sums are of whole numbers, so results are the same for any.
+_SLICE = 500_000
 
 STATISTICS = (
     "log_bytes", "upper", "digit", "space", "symbol", "sentence_end", "bang", "pipe", "odd", "word_length", "word_length_sd",

@@ -7,8 +7,10 @@ tell the labels apart (likelihood-ratio test on the examples, in which near copi
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ BLOCK = 64
 FEW_BLOCKS = 6
 TEXTS = 128
 FREQUENT = 512
+#: Entries of the index that are rearranged at once.
+ENTRIES = 250_000
 ROUNDING = 1e-4
 BOUND = 1e-5
 SEED = 23
@@ -72,6 +76,10 @@ def _example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *lists, prints], names=["doc_id", "y", "terms", "tf", "prints"])
 
 
+def _length(w: np.ndarray) -> np.floating:
+    return np.sqrt((w * w).sum())
+
+
 def _joined(starts: np.ndarray, keys: np.ndarray, values: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of some terms one after another, with their values times the term's weight."""
     if not len(terms):
@@ -81,9 +89,22 @@ def _joined(starts: np.ndarray, keys: np.ndarray, values: np.ndarray, terms: np.
     return np.concatenate([keys[i:j] for i, j in cuts]), np.concatenate([values[i:j] for i, j in cuts]) * np.repeat(weights.astype(values.dtype), b - a)
 
 
+def _smallest(most: int) -> np.dtype:
+    return np.min_scalar_type(max(0, int(most)))
+
+
+def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of items with about ENTRIES entries each; item i's end at ends[i + 1]."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 @dataclass
 class Tables:
-    """An index by term: the postings of each, a matrix of the FREQUENT most frequent ones, and its highest weight in each block."""
+    """An index by term: a matrix of the FREQUENT most frequent ones, the postings of the others, and each one's highest weight in each block."""
 
     posted: np.ndarray
     rows: np.ndarray
@@ -98,19 +119,42 @@ class Tables:
     @classmethod
     def of(cls, index: Index) -> Tables:
         n, terms = len(index.ids), len(index.idf)
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(index.starts))
-        by = np.argsort(index.columns, kind="stable").astype(np.int32)
         size = np.bincount(index.columns, minlength=terms)
-        posted, rows, values = np.concatenate([[0], np.cumsum(size)]), row[by], index.weights[by].astype(np.float32)
+        posted = np.concatenate([[0], np.cumsum(size)])
+        rows, values = np.zeros(posted[-1], _smallest(n)), np.zeros(posted[-1], np.float32)
+        ends = posted[:-1].copy()
+        for lo, hi in _slices(index.starts):
+            s, e = index.starts[lo], index.starts[hi]
+            by = np.argsort(index.columns[s:e], kind="stable")
+            term = index.columns[s:e][by]
+            first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+            count = np.diff(np.append(first, len(term)))
+            to = ends[term] + np.arange(len(term)) - np.repeat(first, count)
+            rows[to] = np.repeat(np.arange(lo, hi), np.diff(index.starts[lo : hi + 1]))[by]
+            values[to] = index.weights_of(lo, hi)[by]
+            ends[term[first]] += count
+        del ends
+        blocks, tops, tops_of = [], [], np.zeros(terms, np.int64)
+        for lo, hi in _slices(posted):
+            s, e = posted[lo], posted[hi]
+            if s == e:
+                continue
+            term, block = np.repeat(np.arange(lo, hi), size[lo:hi]), rows[s:e] // BLOCK
+            first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+            tops_of[lo:hi] = np.bincount(term[first] - lo, minlength=hi - lo)
+            blocks.append(block[first].astype(_smallest(n // BLOCK)))
+            tops.append(np.maximum.reduceat(values[s:e], first))
+        top_blocks, top = np.concatenate(blocks), np.concatenate(tops)
+        del blocks, tops
         frequent = np.argsort(-size, kind="stable")[:FREQUENT]
         column, matrix = np.full(terms, -1, np.int32), np.zeros((len(frequent), n), np.float32)
         column[frequent] = np.arange(len(frequent))
         for i, t in enumerate(frequent.tolist()):
             matrix[i, rows[posted[t] : posted[t + 1]]] = values[posted[t] : posted[t + 1]]
-        term, block = index.columns[by], rows // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
-        top_starts = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=terms))])
-        return cls(posted, rows, values, column, matrix, top_starts, block[first], np.maximum.reduceat(values, first), np.zeros(terms))
+        rare = np.repeat(column < 0, size)
+        rows, values = rows[rare], values[rare]
+        posted = np.concatenate([[0], np.cumsum(np.where(column < 0, size, 0))])
+        return cls(posted, rows, values, column, matrix, np.concatenate([[0], np.cumsum(tops_of)]), top_blocks, top, np.zeros(terms))
 
 
 @dataclass
@@ -123,14 +167,30 @@ class Index:
     toxic: np.ndarray
     starts: np.ndarray
     columns: np.ndarray
-    weights: np.ndarray
+    level: np.ndarray  # of each entry, its place in ``levels``
+    levels: np.ndarray  # 1 + log of each frequency that occurs
+    norms: np.ndarray
     base: float  # share of toxic ones among the examples without a term
     steps: np.ndarray
     values: np.ndarray
     tables: Tables | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"tables": None}  # every worker makes its own
+        """Compressed, as a worker keeps what it was sent; the tables stay behind, every worker makes its own."""
+        state = pickle.dumps(self.__dict__ | {"tables": None}, 5)
+        return {"size": len(state), "packed": pa.compress(state, codec="zstd", asbytes=True)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= pickle.loads(pa.decompress(state["packed"], state["size"], codec="zstd"))
+
+    def weights_of(self, lo: int, hi: int) -> np.ndarray:
+        """The weights of the examples from lo to hi."""
+        s, e = self.starts[lo], self.starts[hi]
+        return self.levels[self.level[s:e]] * self.idf[self.columns[s:e]] / np.repeat(self.norms[lo:hi], np.diff(self.starts[lo : hi + 1]))
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.weights_of(0, len(self.ids))
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(counts), np.int64)
@@ -138,7 +198,7 @@ class Index:
 
     def unit(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
+        return w / _length(w)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k nearest examples with a cosine above 0, nearest first, smaller ids first in ties."""
@@ -149,7 +209,10 @@ class Index:
         without = without or [-1] * len(vectors)
         if not len(self.ids):
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
-        self.tables = tables = self.tables or Tables.of(self)
+        if self.tables is None:
+            self.tables = Tables.of(self)
+            released()
+        tables = self.tables
         # bounds say little where no term outweighs the others
         out: list = [self._by_blocks(tables, *v, k, x) if v[1].max() > 0.5 else None for v, x in zip(vectors, without)]
         rest = [i for i, x in enumerate(out) if x is None]
@@ -172,8 +235,8 @@ class Index:
                 size = self.starts[rows + 1] - self.starts[rows]
                 ends = np.cumsum(size)
                 at_ = np.arange(ends[-1]) + np.repeat(self.starts[rows] - ends + size, size)
-                tables.query[t] = w
-                exact = np.add.reduceat(tables.query[self.columns[at_]] * self.weights[at_], ends - size)
+                tables.query[t] = w * self.idf[t]
+                exact = np.add.reduceat(tables.query[self.columns[at_]] * self.levels[self.level[at_]], ends - size) / self.norms[rows]
                 tables.query[t] = 0
                 out[i] = self._best(rows, exact, k, without[i])
         return out
@@ -189,7 +252,7 @@ class Index:
         blocks, values = _joined(tables.top_starts, tables.top_blocks, tables.top, terms, weights)
         bound = np.bincount(blocks, values, (len(self.ids) + BLOCK - 1) // BLOCK)
         order = np.argsort(-bound, kind="stable")
-        tables.query[terms] = weights
+        tables.query[terms] = weights * self.idf[terms]
         rows, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
         for n, b in enumerate(order.tolist()):
             if bound[b] <= 0 or bound[b] < kth - BOUND:
@@ -199,7 +262,7 @@ class Index:
                 break
             lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
             s, e = self.starts[lo], self.starts[hi]
-            got = np.add.reduceat(tables.query[self.columns[s:e]] * self.weights[s:e], self.starts[lo:hi] - s)
+            got = np.add.reduceat(tables.query[self.columns[s:e]] * self.levels[self.level[s:e]], self.starts[lo:hi] - s) / self.norms[lo:hi]
             rows, cosines = self._best(np.append(rows, np.arange(lo, hi)), np.append(cosines, got), k, without)
             kth = cosines.min() if len(rows) == k else 0.0
         tables.query[terms] = 0
@@ -230,7 +293,8 @@ def _own_votes(index: Index, k: int):
         for b in batches:
             i = b.column(0).to_numpy()
             own = [slice(*index.starts[x : x + 2].tolist()) for x in i.tolist()]
-            found = index.all_nearest([(index.columns[x], index.weights[x]) for x in own], k, i.tolist())
+            found = index.all_nearest([(index.columns[x], index.weights_of(j, j + 1)) for j, x in zip(i.tolist(), own)], k, i.tolist())
+            released()
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array([index.vote(*x) for x in found], pa.float64())], names=["i", "vote"])
 
     return run
@@ -242,22 +306,25 @@ def assemble(ids: np.ndarray, toxic: np.ndarray, starts: np.ndarray, terms: np.n
     size = np.diff(starts)
     has = size > 0
     base = (float(toxic[~has].sum()) + 0.5 * float(toxic.mean()) if len(toxic) else 0.0) / ((~has).sum() + 0.5 if len(toxic) else 1)
-    index = Index(vocabulary, idf, ids, toxic, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), base, np.zeros(1), np.zeros(1))
+    index = Index(vocabulary, idf, ids, toxic, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0), np.zeros(0), base, np.zeros(1), np.zeros(1))
     use = np.flatnonzero(has)
-    weights = np.zeros(len(terms))
+    norms = np.ones(len(ids))
     lead = []
     for i in use.tolist():
         at = slice(starts[i], starts[i + 1])
-        weights[at] = index.unit(terms[at], tf[at])
-        lead.append(int(terms[at][np.argmax(weights[at])]))
+        w = (1 + np.log(tf[at])) * idf[terms[at]]
+        norms[i] = _length(w)
+        lead.append(int(terms[at][np.argmax(w)]))
     # neighbours in the order share their heaviest term, so a block's bounds are tight
     use = use[np.lexsort((ids[use], np.array(lead, np.int64)))]
     index.ids, index.toxic = ids[use], toxic[use].astype(float)
     index.starts = np.concatenate([[0], np.cumsum(size[use])]).astype(np.int64)
     if len(use):
         at = np.arange(index.starts[-1]) + np.repeat(starts[use] - index.starts[:-1], size[use])
-        index.columns, index.weights = terms[at].astype(np.int32), weights[at]
-        del at, weights
+        distinct = np.unique(tf)
+        index.columns, index.norms = terms[at].astype(np.int32), norms[use]
+        index.level, index.levels = np.searchsorted(distinct, tf[at]).astype(_smallest(len(distinct))), 1 + np.log(distinct)
+        del at
         if spark:
             got = spark.range(0, len(use), 1, 1 + len(use) // 250).mapInArrow(_own_votes(index, k), "i long, vote double").toArrow()  # a row an example
             votes = np.zeros(len(use))
@@ -292,6 +359,7 @@ def _document_frequencies(vocabulary: np.ndarray):
             for texts in (b.column("text").slice(i, TEXTS) for i in range(0, len(b), TEXTS)):
                 seen[:-1] += np.bincount(lexer.counted(texts.to_pylist(), vocabulary)[1], minlength=len(vocabulary))
                 seen[-1] += len(texts)
+            released()
         t = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(seen[t], pa.int64())], names=["t", "n"])
 
@@ -333,25 +401,33 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = N
 
 
 _RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.ArrayType(T.IntegerType()))])
+_FOUND = pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64())), ("toxic", pa.list_(pa.int32()))])
 
 
 def _scorer(index: Index, k: int):
     @F.arrow_udf(_RESULT)
     def score(texts: pa.Array) -> pa.Array:
-        known = {}
-        texts = [x or "" for x in texts.to_pylist()]
-        distinct = list(dict.fromkeys(texts))
-        for at in range(0, len(distinct), TEXTS):
-            some = distinct[at : at + TEXTS]
+        seen: dict[bytes, int] = {}
+        place = np.zeros(len(texts), np.int64)
+        parts = [pa.array([], _FOUND)]
+        none = (index.calibrated(-1.0), [], [], [])
+        for at in range(0, len(texts), TEXTS):
+            some = []
+            for i, text in enumerate(texts.slice(at, TEXTS).to_pylist(), at):
+                text = text or ""
+                key = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if key not in seen:
+                    seen[key] = len(seen)
+                    some.append(text)
+                place[i] = seen[key]
             bounds, terms, tf = lexer.counted(some, index.vocabulary)
             own = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
+            out = [none] * len(some)
             for (i, _), (rows, cosines) in zip(own, index.all_nearest([(terms[x], index.unit(terms[x], tf[x])) for _, x in own], k)):
-                known[some[i]] = (index.calibrated(index.vote(rows, cosines)), index.ids[rows].tolist(), cosines.tolist(), index.toxic[rows].astype(int).tolist())
+                out[i] = (index.calibrated(index.vote(rows, cosines)), index.ids[rows].tolist(), cosines.tolist(), index.toxic[rows].astype(int).tolist())
+            parts.append(pa.array([dict(zip(_FOUND.names, x)) for x in out], _FOUND))
         released()
-        none = (index.calibrated(-1.0), [], [], [])
-        out = [known.get(x, none) for x in texts]
-        s, i, c, y = zip(*out) if out else ((), (), (), ())
-        return pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(i, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.int32()))], names=["score", "ids", "cosines", "toxic"])
+        return pa.concat_arrays(parts).take(pa.array(place))
 
     return score
 

@@ -1,7 +1,10 @@
+import pickle
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomtext.llm import lexer, quality, toxicity
@@ -192,3 +195,54 @@ def test_bounds_leave_out_no_neighbour(monkeypatch):
     monkeypatch.setattr(toxicity, "FEW_BLOCKS", 0)
     for (a, x), (b, y) in zip(few, index.all_nearest(vectors, 15)):
         assert a.tolist() == b.tolist() and x == pytest.approx(y)
+
+
+def _peak(call):
+    """(result, most bytes that the call held at once)"""
+    tracemalloc.start()
+    try:
+        return call(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def _large_index():
+    rng = np.random.default_rng(8)
+    n, terms = 3_000, 60_000
+    counts = [dict.fromkeys(np.unique((rng.random(200) ** 3 * terms).astype(int)).tolist(), 1 + i % 3) for i in range(n)]
+    vocabulary = np.sort(lexer.words([" ".join(f"w{i}" for i in range(terms))])[0])
+    return toxicity.build(np.arange(n), rng.integers(0, 2, n).astype(float), counts, vocabulary, np.ones(terms)), counts
+
+
+def test_the_index_takes_little_memory_in_a_worker():
+    index, counts = _large_index()
+    entries = len(index.columns)
+    sent = pickle.dumps(index)
+    assert len(sent) < 5 * entries
+    again = pickle.loads(sent)
+    vectors = [index.vector(c) for c in counts[:40]]
+    for (a, x), (b, y) in zip(index.all_nearest(vectors, 15), again.all_nearest(vectors, 15)):
+        assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
+    tables, peak = _peak(lambda: toxicity.Tables.of(again))
+    assert peak - tables.matrix.nbytes < 36 * entries
+
+
+def test_scoring_a_batch_holds_no_copy_of_its_texts(monkeypatch):
+    monkeypatch.setattr(toxicity, "TEXTS", 4)
+    index, _ = _large_index()
+    texts = [f"w{i} " + "long " * 2_000 for i in range(1_500)]
+    texts = pa.array([*texts, None, "", *texts[:5]])
+    index.all_nearest([], 15)
+    score = toxicity._scorer(index, 15).func
+    score(texts[:20])
+    got, peak = _peak(lambda: score(texts))
+    assert len(got) == len(texts) and peak < texts.nbytes
+    assert got[:5].equals(got[-5:]) and got[1500].as_py() == got[1501].as_py() and got[1500]["ids"].as_py() == []
+
+
+def test_statistics_are_taken_slice_by_slice(monkeypatch):
+    texts = pa.array([f"Some words, {i} of THEM!\n" * 100 for i in range(3_000)])
+    whole, peak = _peak(lambda: quality._of_texts(texts))
+    assert peak < 10 * texts.nbytes
+    monkeypatch.setattr(quality, "_SLICE", 10_000)
+    assert (quality._of_texts(texts) == whole).all()
