@@ -48,13 +48,16 @@ class Tnt:
         return np.where(self.real & (self.uni > 0), out, NEVER)
 
     def tag(self, words: list[tuple[dict[str, int] | None, bool]]) -> list[str]:
+        return self.path([self.emission(*w) for w in words])
+
+    def path(self, emissions: list[np.ndarray]) -> list[str]:
         t, back = np.arange(len(self.tags)), []
-        score = self.two[self.first] + self.emission(*words[0])
+        score = self.two[self.first] + emissions[0]
         before = np.full(len(t), self.first)
-        for w in words[1:]:
+        for e in emissions[1:]:
             step = score[:, None] + self.three[before, t]
             best = step.argmax(0)
-            score = step[best, t] + self.emission(*w)
+            score = step[best, t] + e
             back.append(best)
             before = best
         at = int((score + self.two[:, self.last]).argmax())
@@ -77,19 +80,22 @@ class Hmm:
         self.tags, self.moves, self.uses, self.k = tags, p, uses, k
         self.place = {x: i for i, x in enumerate(tags)}
 
+    def emission(self, counts: dict[str, int] | None) -> np.ndarray:
+        n = np.zeros(len(self.tags))
+        for tag, c in (counts or {}).items():
+            n[self.place[tag]] = c
+        out = np.log((n + 1) / (self.uses + self.k))
+        return np.where(n > 0, out, NEVER) if counts else out
+
     def tag(self, words: list[dict[str, int] | None]) -> list[str]:
-        def emission(counts):
-            n = np.zeros(len(self.tags))
-            for tag, c in (counts or {}).items():
-                n[self.place[tag]] = c
-            out = np.log((n + 1) / (self.uses + self.k))
-            return np.where(n > 0, out, NEVER) if counts else out
-
-        back, score = [], self.moves[-1, :-1] + emission(words[0])
-        for w in words[1:]:
-            step = score[:, None] + self.moves[:-1, :-1]
+        return self.path([self.emission(w) for w in words])
+
+    def path(self, emissions: list[np.ndarray]) -> list[str]:
+        back, score, moves = [], self.moves[-1, :-1] + emissions[0], self.moves[:-1, :-1]
+        for e in emissions[1:]:
+            step = score[:, None] + moves
             back.append(step.argmax(0))
-            score = step.max(0) + emission(w)
+            score = step.max(0) + e
         at = int((score + self.moves[:-1, -1]).argmax())
         path = [at]
         for best in reversed(back):

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.kernels import tagging
+from loomtext.operators.lineage import cut
 
 
 def _most_frequent(rows: DataFrame, *keys: str) -> DataFrame:
@@ -102,6 +104,8 @@ def emission_counts(rows: DataFrame) -> DataFrame:
 
 #: Tags that a model of transitions may have: their tables go to every task.
 MOST_TAGS = 200
+#: Sentences of a batch whose tags are Python objects at once.
+SLICE = 500
 
 
 def _sentences(rows: DataFrame, by_word: DataFrame, info: str) -> DataFrame:
@@ -114,15 +118,39 @@ def _exploded(tagged: DataFrame) -> DataFrame:
     return tagged.select("sent_id", F.explode(F.arrays_zip(F.col("s.pos").alias("pos"), F.col("s.word").alias("word"), "tags")).alias("x")).select("sent_id", "x.pos", "x.word", F.col("x.tags").alias("tag"))
 
 
-def _tag_maps(counts: DataFrame, n: str) -> DataFrame:
-    """word, info: array of (tag, n); as long as the tagset at most."""
-    return counts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("tag", F.col(n).cast("long").alias("n")))).alias("info"))
+def _codes(tags: Iterable[str]) -> dict[str, str]:
+    """A character for each tag."""
+    return {t: chr(i if i < 0xD800 else i + 0x800) for i, t in enumerate(tags, 1)}
 
 
-def _arrow(f: Callable[[list], list[str]]) -> Callable[[Column], Column]:
+def _coded(tag: Column, codes: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), tag)
+
+
+def _tag_maps(counts: DataFrame, codes: dict[str, str]) -> DataFrame:
+    """word, info: each tag's character and how often the word has it, tabs between; as long as the tagset at most. A token carries
+    this through two shuffles, so it is a short text."""
+    one = F.concat(_coded(F.col("tag"), codes), F.col("n").cast("string"))
+    return counts.groupBy("word").agg(F.array_join(F.array_sort(F.collect_list(one)), "\t").alias("info"))
+
+
+def _uncoded(info: str, names: dict[str, str]) -> dict[str, int]:
+    return {names[x[0]]: int(x[1:]) for x in info.split("\t")} if info else {}
+
+
+def _arrow(read: Callable, f: Callable[[list], list[str]]) -> Callable[[Column], Column]:
+    """f of sentences that are arrays of infos; read: what f gets for an info (null for an unknown word), once for each kind in a batch."""
+
     @F.arrow_udf("array<string>")
     def run(sentences: pa.Array) -> pa.Array:
-        return pa.array([f(s) for s in sentences.to_pylist()], pa.list_(pa.string()))
+        coded = sentences.flatten().dictionary_encode(null_encoding="encode")
+        kinds, at = [read(x) for x in coded.dictionary.to_pylist()], coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(sentences), 0).to_numpy())])
+        parts = []
+        for i in range(0, len(sentences), SLICE):
+            tags = [t for a, b in zip(ends[i : i + SLICE], ends[i + 1 : i + SLICE + 1]) for t in f([kinds[k] for k in at[a:b].tolist()])]
+            parts.append(pa.array(tags, pa.string()))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts) if parts else pa.array([], pa.string()))
 
     return run
 
@@ -130,21 +158,31 @@ def _arrow(f: Callable[[list], list[str]]) -> Callable[[Column], Column]:
 def context_tag(rows: DataFrame, model: DataFrame, order: int, default: str | None = None, backoff: DataFrame | None = None) -> DataFrame:
     """G5 (order 2), G6 (order 3): rows (sent_id, pos, word) with tag, by the tags predicted before and the word.
 
-    model: see ``context_train``. Where a context is unknown, backoff (word, tag) decides, else default, by default the model's
-    most frequent tag (of ties the smallest).
+    model: see ``context_train``; it is computed once. Where a context is unknown, backoff (word, tag) decides, else default, by default
+    the model's most frequent tag (of ties the smallest).
     """
+    entry = F.concat_ws("\t", *[f"prev{i}" for i in range(1, order)], "tag")
+    maps = cut(model.groupBy("word").agg(F.array_join(F.collect_list(entry), "\t").alias("by")))
+    parts = F.transform(F.split("by", "\t", -1), lambda x, i: F.struct(x.alias("tag"), (i % order == order - 1).alias("given")))
+    seen = maps.select(F.explode(parts).alias("x")).groupBy("x.tag", "x.given").agg(F.count(F.lit(1)).alias("n")).collect()  # a tagset
     if default is None:
-        top = model.groupBy("tag").count().orderBy(F.desc("count"), "tag").first()
-        default = top.tag if top else "NN"
-    key = F.concat_ws("\t", *[f"prev{i}" for i in range(1, order)])
-    maps = model.groupBy("word").agg(F.collect_list(F.struct(key.alias("k"), "tag")).alias("by"))
-    known = maps.join(backoff.select("word", F.col("tag").alias("back")), "word", "full") if backoff is not None else maps.withColumn("back", F.lit(None).cast("string"))
+        default = min(((-r.n, r.tag) for r in seen if r.given), default=(0, "NN"))[1]
+    codes = _codes(sorted({r.tag for r in seen} | {"<S>"}))
+    names = {c: t for t, c in codes.items()}
+    by = F.array_join(F.transform(F.split("by", "\t", -1), lambda x: _coded(x, codes)), "")
+    known = maps.select("word", by.alias("by"))
+    if backoff is not None:
+        known = known.join(backoff.select("word", F.col("tag").alias("back")), "word", "full")
+        known = known.select("word", F.concat(F.coalesce("by", F.lit("")), F.lit("\0"), F.coalesce("back", F.lit(""))).alias("by"))
+
+    def read(info: str | None) -> tuple[dict[str, str], str]:
+        by, _, back = (info or "").partition("\0")
+        return {"\t".join(names[c] for c in by[i : i + order - 1]): names[by[i + order - 1]] for i in range(0, len(by), order)}, back or default
 
     def tag(s: list) -> list[str]:
-        found = [x["info"] or {} for x in s]
-        return tagging.by_context([{e["k"]: e["tag"] for e in x.get("by") or ()} for x in found], order, [x.get("back") or default for x in found])
+        return tagging.by_context([x[0] for x in s], order, [x[1] for x in s])
 
-    return _exploded(_sentences(rows, known.select("word", F.struct("by", "back").alias("info")), "info").withColumn("tags", _arrow(tag)("s")))
+    return _exploded(_sentences(rows, known.withColumnRenamed("by", "info"), "info").withColumn("tags", _arrow(read, tag)("s.info")))
 
 
 def affix_last_train(rows: DataFrame, size: int = 3, suffix: bool = True) -> DataFrame:
@@ -154,20 +192,33 @@ def affix_last_train(rows: DataFrame, size: int = 3, suffix: bool = True) -> Dat
     return seen.groupBy("affix").agg(F.max(F.struct("at", "tag")).alias("m")).select("affix", F.col("m.tag").alias("tag"))
 
 
-def _moves(rows: DataFrame, order: int) -> list:
+def _tags_of(rows: DataFrame, sentences: DataFrame | None) -> DataFrame:
+    """t: the tags of each sentence, in order."""
+    if sentences is not None:
+        return sentences.select(F.col("s.tag").alias("t"))
+    return rows.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag")))["tag"].alias("t"))
+
+
+def _moves(tags: DataFrame, order: int) -> list:
     """Counts of order consecutive tags with marks at both ends, brought to the driver: bounded by MOST_TAGS."""
-    kinds = rows.select("tag").distinct().limit(MOST_TAGS + 1).count()
+    marked = tags.select(F.when(F.size("t") > 0, F.concat(F.array_repeat(F.lit("<S>"), order - 1), "t", F.array(F.lit("<E>")))).alias("t"))
+    shifted = lambda k: F.slice("t", k + 1, F.size("t") - order + 1)
+    grams = shifted(0)
+    for k in range(1, order):  # a text of two tags or more: counted faster than arrays, and told apart by its tabs
+        grams = F.zip_with(grams, shifted(k), lambda a, b: F.concat(a, F.lit("\t"), b))
+    counted = cut(marked.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).select(F.split("g", "\t", -1).alias("g"), "n"))
+    kinds = counted.select(F.explode("g").alias("tag")).filter(~F.col("tag").isin("<S>", "<E>")).distinct().limit(MOST_TAGS + 1).count()
     if kinds > MOST_TAGS:
         raise ValueError(f"more than {MOST_TAGS} tags")
-    tags = rows.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag")))["tag"].alias("t"))
-    marked = tags.select(F.concat(F.array_repeat(F.lit("<S>"), order - 1), "t", F.array(F.lit("<E>"))).alias("t"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("t") - order), lambda i: F.slice("t", i + 1, order))
-    return marked.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
+    return counted.collect()
 
 
-def tnt_train(rows: DataFrame) -> tuple[tagging.Tnt, DataFrame]:
-    """Transitions, and emissions (word, info: tag counts, known: whether a word is known in lower case)."""
-    grams = _moves(rows, 3)
+def tnt_train(rows: DataFrame, sentences: DataFrame | None = None) -> tuple[tagging.Tnt, DataFrame]:
+    """Transitions, and emissions (tag, word, n). sentences: the same as arrays (s: array of word, tag), so that no token is shuffled."""
+    return _tnt(_moves(_tags_of(rows, sentences), 3)), emission_counts(rows)
+
+
+def _tnt(grams: list) -> tagging.Tnt:
     tags = sorted({t for r in grams for t in r.g} | {"<S>", "<E>"})
     at = {t: i for i, t in enumerate(tags)}
     n = len(tags)
@@ -177,25 +228,27 @@ def tnt_train(rows: DataFrame) -> tuple[tagging.Tnt, DataFrame]:
         tri[a, b, c] += r.n
         bi[a, b] += r.n
         uni[c] += r.n
-    return tagging.Tnt(tags, uni, bi, tri), emission_counts(rows)
+    return tagging.Tnt(tags, uni, bi, tri)
 
 
 def tnt_tag(rows: DataFrame, model: tuple[tagging.Tnt, DataFrame]) -> DataFrame:
     tnt, emissions = model
-    maps = _tag_maps(emissions, "n")
-    low = emissions.select(F.lower("word").alias("low")).distinct().withColumn("known", F.lit(True))
+    codes = _codes(tnt.tags)
+    names = {c: t for t, c in codes.items()}
+    maps = cut(_tag_maps(emissions, codes))
+    low = maps.select(F.lower("word").alias("low")).distinct().withColumn("known", F.lit("1"))
     words = rows.select("word").distinct().withColumn("low", F.lower("word")).join(low, "low", "left").join(maps, "word", "left")
-    by_word = words.select("word", F.struct("info", F.coalesce("known", F.lit(False)).alias("known")).alias("info"))
+    by_word = words.select("word", F.concat(F.coalesce("known", F.lit("0")), F.coalesce("info", F.lit(""))).alias("info"))
+    read = lambda info: tnt.emission(_uncoded(info[1:], names) or None, info[0] == "1")
+    return _exploded(_sentences(rows, by_word, "info").withColumn("tags", _arrow(read, tnt.path)("s.info")))
 
-    def tag(s: list) -> list[str]:
-        return tnt.tag([({e["tag"]: e["n"] for e in x["info"]["info"]} if x["info"]["info"] else None, x["info"]["known"]) for x in s])
 
-    return _exploded(_sentences(rows, by_word, "info").withColumn("tags", _arrow(tag)("s")))
+def hmm_train(rows: DataFrame, sentences: DataFrame | None = None) -> tuple[tagging.Hmm, DataFrame]:
+    """Transitions and emissions; without rows it raises. sentences: as in ``tnt_train``."""
+    return _hmm(_moves(_tags_of(rows, sentences), 2)), emission_counts(rows)
 
 
-def hmm_train(rows: DataFrame) -> tuple[tagging.Hmm, DataFrame]:
-    """Transitions and emissions; without rows it raises."""
-    grams = _moves(rows, 2)
+def _hmm(grams: list) -> tagging.Hmm:
     tags = sorted({t for r in grams for t in r.g} - {"<S>", "<E>"})
     if not tags:
         raise ValueError("no training data")
@@ -205,13 +258,15 @@ def hmm_train(rows: DataFrame) -> tuple[tagging.Hmm, DataFrame]:
         moves[at[r.g[0]], at[r.g[1]]] += r.n
         if r.g[1] != "<E>":
             uses[at[r.g[1]]] += r.n
-    return tagging.Hmm(tags, moves, uses), emission_counts(rows)
+    return tagging.Hmm(tags, moves, uses)
 
 
 def hmm_tag(rows: DataFrame, model: tuple[tagging.Hmm, DataFrame]) -> DataFrame:
     hmm, emissions = model
-    tag = _arrow(lambda s: hmm.tag([{e["tag"]: e["n"] for e in x["info"]} if x["info"] else None for x in s]))
-    return _exploded(_sentences(rows, _tag_maps(emissions, "n"), "info").withColumn("tags", tag("s")))
+    codes = _codes(hmm.tags)
+    names = {c: t for t, c in codes.items()}
+    read = lambda info: hmm.emission(_uncoded(info, names) if info else None)
+    return _exploded(_sentences(rows, _tag_maps(emissions, codes), "info").withColumn("tags", _arrow(read, hmm.path)("s.info")))
 
 
 #: Tokens that the perceptron is trained on at most: whole sentences in order of a hash of their id. Its weights, which this

@@ -22,17 +22,17 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _context(order: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return taggers.context_tag(_turns(spark, sf_dir), taggers.context_train(models._tagged(spark, sf_dir), order), order)
+        return taggers.context_tag(_turns(spark, sf_dir), taggers.context_train_sentences(models._tagged_arrays(spark, sf_dir), order), order)
 
     return query
 
 
 def _tnt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taggers.tnt_tag(_turns(spark, sf_dir), taggers.tnt_train(models._tagged(spark, sf_dir)))
+    return taggers.tnt_tag(_turns(spark, sf_dir), taggers.tnt_train(models._tagged(spark, sf_dir), models._tagged_arrays(spark, sf_dir)))
 
 
 def _hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taggers.hmm_tag(_turns(spark, sf_dir), taggers.hmm_train(models._tagged(spark, sf_dir)))
+    return taggers.hmm_tag(_turns(spark, sf_dir), taggers.hmm_train(models._tagged(spark, sf_dir), models._tagged_arrays(spark, sf_dir)))
 
 
 def _perceptron(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import arrow, sentiment, stemmers, tokenizers
 from loomtext.kernels import stems, strings, tagging, texttiling, treebank
 from loomtext.operators import classify, clustering, counts, language_models, scores, taggers
+from loomtext.plans.catalog import CATALOG
 from loomtext.sources import corpora
 from loomtext.streaming import counts as stream_counts
 
@@ -136,6 +137,30 @@ def best_path(words, tags, start, move, emit, end):
     return max(score(p) for p in itertools.product(tags, repeat=len(words))), score
 
 
+def test_context_taggers_of_queries_shuffle_no_tokens(spark):
+    """Training pairs tags within arrays, and a token carries its word's contexts as a short text."""
+    for name in ("tag_bigram", "tag_trigram"):
+        plan = CATALOG[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "lag(" not in plan and "Window" not in plan
+
+
+def test_context_tagger_reads_codes(spark):
+    rows = token_rows(spark, [[("a", "X"), ("b", "Y"), ("a", "Z")], [("b", "X"), ("a", "X")], []])
+    asked = token_rows(spark, [[("a", ""), ("b", ""), ("new", ""), ("a", "")], [("b", ""), ("a", "")]])
+    two = by_sentence(taggers.context_tag(asked, taggers.context_train(rows, 2), 2, "D"))
+    assert two == [["X", "Y", "D", "D"], ["X", "X"]]
+
+
+def test_transitions_of_arrays(spark):
+    said = [[("a", "X"), ("b", "Y"), ("a", "Z")], [("b", "X")], []]
+    rows = token_rows(spark, said)
+    arrays = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "sent_id int, s array<struct<word:string,tag:string>>")
+    (tnt, e), (other, f) = taggers.tnt_train(rows), taggers.tnt_train(rows, arrays)
+    assert tnt.tags == other.tags and np.array_equal(tnt.three, other.three) and np.array_equal(tnt.uni, other.uni) and sorted(e.collect()) == sorted(f.collect())
+    (hmm, _), (other, _) = taggers.hmm_train(rows), taggers.hmm_train(rows, arrays)
+    assert hmm.tags == other.tags and np.array_equal(hmm.moves, other.moves)
+
+
 def test_hmm_against_all_paths(spark):
     rows = token_rows(spark, TRAIN)
     hmm, emissions = taggers.hmm_train(rows)
