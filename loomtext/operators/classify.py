@@ -185,8 +185,10 @@ PROFILE = 300
 def textcat_train(rows: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> DataFrame:
     """Lang, trigram, rank (0 first) of each language's most frequent character trigrams; of ties the smaller one goes first."""
     padded = rows.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")), F.lit(" ")).alias("t"))
-    grams = padded.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substring("t", i, F.lit(3)))).alias("trigram"))
-    counts = grams.filter((F.length("trigram") == 3) & (F.trim("trigram") != "")).groupBy("lang", "trigram").agg(F.count(F.lit(1)).alias("n"))
+    chars = padded.select("lang", F.split("t", "", -1).alias("c"))  # a substring would be looked for from the text's start each time
+    shifted = [F.slice("c", i, F.greatest(F.size("c") - 2, F.lit(0))) for i in (1, 2, 3)]
+    grams = chars.select("lang", F.explode(F.zip_with(F.zip_with(*shifted[:2], lambda a, b: F.concat(a, b)), shifted[2], lambda a, b: F.concat(a, b))).alias("trigram"))
+    counts = grams.filter(F.trim("trigram") != "").groupBy("lang", "trigram").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "trigram")
     return counts.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < size).select("lang", "trigram", "rank")
 

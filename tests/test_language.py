@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -161,6 +162,62 @@ def test_transitions_of_arrays(spark):
     assert hmm.tags == other.tags and np.array_equal(hmm.moves, other.moves)
 
 
+def test_slices_of_a_batch(monkeypatch):
+    """Few rows of a batch are Python objects at once, also where they are long; nulls and order stay."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(arrow, "SLICE", 64)
+    texts = ["x y"] * 50 + [None, "", "z" * 1000] + ["a b c"] * 50
+    sizes = []
+    whole = pa.Array.to_pylist
+
+    class Spy:
+        def __init__(self, a):
+            self.a, self.nbytes = a, a.nbytes
+
+        def __len__(self):
+            return len(self.a)
+
+        def slice(self, i, n):
+            sizes.append(len(self.a.slice(i, n)))
+            return self.a.slice(i, n)
+
+    got = arrow._by_slices(str.split, pa.list_(pa.string()), Spy(pa.array(texts)))
+    assert whole(got) == [None if x is None else x.split() for x in texts] and max(sizes) < 20
+    assert len(arrow._by_slices(str.split, pa.list_(pa.string()), pa.array([], pa.string()))) == 0
+
+
+def test_chunks_are_sent_tags_only(spark):
+    df = spark.createDataFrame([([("w", "NN"), ("v", "X")],), (None,)], "t array<struct<word:string,tag:string>>")
+    got = df.select(arrow.chunks(F.col("t"), "NP: {<NN>}").alias("c"))
+    assert [r.c for r in got.collect()] == [["B-NP", "O"], None]
+    assert "t#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and ".tag" in plan
+
+
+def test_counts_of_tiles_forget_words():
+    left = texttiling.Counter(["a", "a", "b"])
+    texttiling._leave(left, ["a", "b"])
+    assert dict(left) == {"a": 1}
+
+
+def test_textcat_train_reads_a_text_once(spark):
+    """A long text: its trigrams are of its characters, not substrings looked for from its start."""
+    docs = spark.createDataFrame([("xx", "ab\U0001d49c" + "abc " * 20_000), ("yy", "a"), ("zz", ""), (None, "abc")], "lang string, text string")
+    made = classify.textcat_train(docs)
+    assert "substring" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.lang, r.trigram): r["rank"] for r in made.collect()}
+    assert got["xx", " ab"] == 0 and got["xx", "abc"] == 1 and ("xx", "b\U0001d49ca") in got and ("xx", " ab") in got and got["yy", " a "] == 0 and not any(lang == "zz" for lang, _ in got)
+
+
+def test_everygrams_of_a_long_text(spark, tmp_path):
+    """Distinct pairs are hashed: comparing each with each takes minutes here."""
+    text = " ".join(f"w{i}" for i in range(60_000)) + " w0 w1"
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    got = {r.doc_id: (r.n, r.kinds) for r in CATALOG["everygrams_padded"][0](spark, str(tmp_path)).collect()}
+    assert got[1] == (60_004 + 60_003, 60_002 + 60_002) and got[3] == (3, 3) and time.time() - began < 30
+
+
 def test_hmm_against_all_paths(spark):
     rows = token_rows(spark, TRAIN)
     hmm, emissions = taggers.hmm_train(rows)
