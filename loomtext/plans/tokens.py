@@ -56,9 +56,11 @@ SELECT ngram, count(*) AS n FROM g GROUP BY ngram"""
 
 
 def _everygrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tokenizers.pad(tokenizers.words(F.lower(F.col("text"))), 2)
-    g = documents(spark, sf_dir).select("doc_id", p.alias("t")).select("doc_id", tokenizers.everygrams(F.col("t"), 1, 2).alias("g"))
-    return g.select("doc_id", F.size("g").cast("bigint").alias("n"), F.size(F.array_distinct("g")).cast("bigint").alias("kinds"))
+    """Pairs are told apart as texts, which are hashed, where arrays would be compared each with each; no word has a space."""
+    t = documents(spark, sf_dir).select("doc_id", tokenizers.pad(tokenizers.words(F.lower(F.col("text"))), 2).alias("t"))
+    pairs = t.select("doc_id", "t", F.transform(tokenizers.ngrams(F.col("t"), 2), lambda g: F.array_join(g, " ")).alias("p"))
+    kinds = F.concat(F.array_distinct("t"), F.array_distinct("p"))
+    return pairs.select("doc_id", F.size(F.concat("t", "p")).cast("bigint").alias("n"), F.size(kinds).cast("bigint").alias("kinds"))
 
 
 def _stemmed(stem: Callable[[Column], Column]) -> Query:
