@@ -16,10 +16,26 @@ from loomtext.kernels import ccg, logic, parsing, strings, texttiling, treebank
 _STRINGS = T.ArrayType(T.StringType())
 
 
+#: Bytes of a batch's columns that are Python objects at once, with what is made of them: a batch is some thousand rows, however long.
+SLICE = 1 << 20
+#: Words whose tokens are kept.
+KNOWN = 100_000
+
+
+def _by_slices(f: Callable, arrow_type: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """f of each row, null where a column is null."""
+    n = len(columns[0])
+    step = max(1, n * SLICE // max(1, sum(c.nbytes for c in columns)))
+    parts = []
+    for i in range(0, n, step):
+        rows = zip(*(c.slice(i, step).to_pylist() for c in columns))
+        parts.append(pa.array([None if any(x is None for x in r) else f(*r) for r in rows], arrow_type))
+    return pa.concat_arrays(parts) if parts else pa.array([], arrow_type)
+
+
 def _mapped(f: Callable, spark_type: T.DataType, arrow_type: pa.DataType) -> Callable[..., Column]:
     def call(*columns: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in columns))
-        return pa.array([None if any(x is None for x in r) else f(*r) for r in rows], arrow_type)
+        return _by_slices(f, arrow_type, *columns)
 
     if f.__code__.co_argcount - len(f.__defaults__ or ()) <= 1:
 
@@ -54,8 +70,13 @@ def treebank_tokens(text: Column, preserve_line: bool = False) -> Column:
     @F.arrow_udf(_STRINGS)
     def run(texts: pa.Array) -> pa.Array:
         known: dict = {}
-        split = (lambda x: [t for line in x.split("\n") for t in treebank.tokens(line, known)]) if preserve_line else (lambda x: treebank.tokens(x, known))
-        return pa.array([None if x is None else split(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+        def split(x: str) -> list[str]:
+            if len(known) > KNOWN:
+                known.clear()
+            return [t for line in x.split("\n") for t in treebank.tokens(line, known)] if preserve_line else treebank.tokens(x, known)
+
+        return _by_slices(split, pa.list_(pa.string()), texts)
 
     return run(text)
 
@@ -76,7 +97,13 @@ def word_tokenize(text: Column, abbreviations: Iterable[str] | None = None, star
     @F.arrow_udf(_STRINGS)
     def run(texts: pa.Array) -> pa.Array:
         known: dict = {}
-        return pa.array([None if x is None else treebank.word_tokens(x, a, s, preserve_line, known) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+        def split(x: str) -> list[str]:
+            if len(known) > KNOWN:
+                known.clear()
+            return treebank.word_tokens(x, a, s, preserve_line, known)
+
+        return _by_slices(split, pa.list_(pa.string()), texts)
 
     return run(text)
 
@@ -148,7 +175,7 @@ def tree_nodes(tree: Column) -> Column:
 def chunks(tokens: Column, grammar: str) -> Column:
     """IOB tags of an array of (word, tag) structs under lines of LABEL: {<tag>...}."""
     rules = parsing.chunk_rules(grammar)
-    return _mapped(lambda x: parsing.chunk(x, rules), _STRINGS, pa.list_(pa.string()))(tokens)
+    return _mapped(lambda x: parsing.chunk_tags(x, rules), _STRINGS, pa.list_(pa.string()))(tokens["tag"])  # words aren't sent
 
 
 # ---------------------------------------------------------------- trees
