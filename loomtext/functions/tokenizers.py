@@ -158,6 +158,12 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(tokens, i, n))).otherwise(F.slice(F.array(tokens), 1, 0))
 
 
+def ngram_structs(tokens: Column, n: int, *names: str) -> Column:
+    """As ``ngrams``, of structs with these fields: made without a lambda, for tables of n-grams."""
+    count = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    return F.arrays_zip(*[F.slice(tokens, i + 1, count).alias(name) for i, name in enumerate(names)])
+
+
 def everygrams(tokens: Column, shortest: int, longest: int) -> Column:
     """The n-grams of all lengths from shortest to longest."""
     out = ngrams(tokens, shortest)

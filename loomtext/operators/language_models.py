@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.tokenizers import ngrams
+from loomtext.functions.tokenizers import ngram_structs
 
 
 def padded(tokens: Column, order: int) -> Column:
@@ -13,9 +13,17 @@ def padded(tokens: Column, order: int) -> Column:
 
 
 def fit(docs: DataFrame, tokens: Column, order: int = 2) -> DataFrame:
-    """L1: context (array), word, count; each text is one sentence."""
-    g = docs.select(padded(tokens, order).alias("t")).select(F.explode(ngrams(F.col("t"), order)).alias("g"))
-    return g.select(F.slice("g", 1, order - 1).alias("context"), F.element_at("g", -1).alias("word")).groupBy("context", "word").agg(F.count(F.lit(1)).alias("count"))
+    """L1: context (array), word, count; each text is one sentence. Null tokens are left out.
+
+    Models are joined with sums of themselves. Joins infer that what they compare isn't null for one of their sides; said here, below the
+    count, all parts stay equal and share its scan and its shuffle.
+    """
+    names = [f"w{i}" for i in range(1, order + 1)]
+    g = docs.select(padded(tokens, order).alias("t")).select(F.inline(ngram_structs(F.col("t"), order, *names)))
+    for name in names:
+        g = g.filter(F.col(name).isNotNull())
+    counted = g.groupBy(*names).agg(F.count(F.lit(1)).alias("count"))
+    return counted.select((F.array(*names[:-1]) if order > 1 else F.array().cast("array<string>")).alias("context"), F.col(names[-1]).alias("word"), "count")
 
 
 def scores(model: DataFrame, method: str = "mle", gamma: float = 0.1) -> DataFrame:
@@ -25,8 +33,7 @@ def scores(model: DataFrame, method: str = "mle", gamma: float = 0.1) -> DataFra
     if method == "mle":
         return joined.select("context", "word", "count", (F.col("count") / F.col("total")).alias("score"))
     g = {"laplace": 1.0, "lidstone": gamma}[method]
-    v = model.agg((F.countDistinct("word") + 1).alias("v"))  # and the start mark
-    return joined.crossJoin(F.broadcast(v)).select("context", "word", "count", ((F.col("count") + g) / (F.col("total") + g * F.col("v"))).alias("score"))
+    return joined.crossJoin(F.broadcast(vocabulary_size(model))).select("context", "word", "count", ((F.col("count") + g) / (F.col("total") + g * F.col("v"))).alias("score"))
 
 
 def unigram_scores(words: DataFrame, method: str, discount: float = 0.75, alpha: float = 0.4) -> DataFrame:
@@ -44,9 +51,10 @@ def unigram_scores(words: DataFrame, method: str, discount: float = 0.75, alpha:
 def kneser_ney(model: DataFrame, discount: float = 0.75) -> DataFrame:
     """Interpolated Kneser-Ney of order 2 (published form): context, word, score of seen bigrams."""
     bigrams = model.filter(F.size("context") == 1).select(F.col("context")[0].alias("h"), "word", "count")
-    by_h = bigrams.groupBy("h").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    before = bigrams.groupBy("word").agg(F.count(F.lit(1)).alias("histories"))
-    kinds = bigrams.agg(F.count(F.lit(1)).alias("all"))
+    some = F.when(F.col("count") > 0, 1)  # each of them: a part that didn't read the count would be another aggregation
+    by_h = bigrams.groupBy("h").agg(F.sum("count").alias("total"), F.count(some).alias("kinds"))
+    before = bigrams.groupBy("word").agg(F.count(some).alias("histories"))
+    kinds = before.agg(F.sum("histories").alias("all"))
     j = bigrams.join(by_h, "h").join(before, "word").crossJoin(F.broadcast(kinds))
     p = F.greatest(F.col("count") - discount, F.lit(0.0)) / F.col("total") + discount * F.col("kinds") / F.col("total") * F.col("histories") / F.col("all")
     return j.select("h", "word", p.alias("score"))
@@ -75,8 +83,8 @@ def point_scores(model: DataFrame, asked: DataFrame, order: int, method: str = "
 
 
 def vocabulary_size(model: DataFrame) -> DataFrame:
-    """V, the number of words, the end and the start mark."""
-    return model.agg((F.countDistinct("word") + 1).alias("v"))
+    """V, the number of words, the end and the start mark. The condition reads the count, as the other parts of a query do."""
+    return model.filter(F.col("count") > 0).agg((F.countDistinct("word") + 1).alias("v"))
 
 
 def unigram_point_scores(words: DataFrame, asked: DataFrame, method: str, discount: float = 0.75, alpha: float = 0.4) -> DataFrame:

@@ -218,6 +218,17 @@ def test_everygrams_of_a_long_text(spark, tmp_path):
     assert got[1] == (60_004 + 60_003, 60_002 + 60_002) and got[3] == (3, 3) and time.time() - began < 30
 
 
+def test_models_of_texts_are_counted_once(spark):
+    """The sums that a model is joined with share its count of the texts."""
+    docs = spark.createDataFrame([("a b a c",), ("b",), ("",), (None,)], "text string").repartition(2)
+    counted = lambda: language_models.fit(docs, F.split("text", " "), 2)
+    asked = spark.createDataFrame([(["a"], "b"), (["q"], "b")], "context array<string>, word string")
+    for df in (language_models.scores(counted()), language_models.kneser_ney(counted()), language_models.point_scores(counted(), asked, 2), language_models.point_scores(counted(), asked, 2, "laplace")):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Generate inline") == 1, plan
+
+
 def test_hmm_against_all_paths(spark):
     rows = token_rows(spark, TRAIN)
     hmm, emissions = taggers.hmm_train(rows)
