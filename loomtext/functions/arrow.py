@@ -269,6 +269,27 @@ def merged_drs(structures: Column) -> Column:
     return _mapped(_one(lambda x: logic.show_drs(logic.merged([logic.parse_drs(d) for d in x])), False), T.StringType(), pa.string())(structures)
 
 
+def merged_and_formula(structures: Column) -> Column:
+    """struct(merged, fol) as ``merged_drs`` and ``drs_formula`` of it have them. A structure is parsed once, what is merged
+    isn't parsed again."""
+    known: dict = {}
+
+    def parsed(text: str):
+        if text not in known:
+            if len(known) > KNOWN:
+                known.clear()
+            known[text] = logic.parse_drs(text)
+        return known[text]
+
+    def run(texts: list[str]) -> dict[str, str]:
+        d = logic.merged([parsed(x) for x in texts])
+        return {"merged": logic.show_drs(d), "fol": logic.show(logic.drs_to_fol(d))}
+
+    g = _or_null(run)
+    names = ("merged", "fol")
+    return _mapped(lambda x: g(x), T.StructType([T.StructField(n, T.StringType()) for n in names]), pa.struct([(n, pa.string()) for n in names]))(structures)
+
+
 def discourse_answer(structures: Column, question: str, valuation: dict, domain: list[str]) -> Column:
     """True, false or unknown."""
     asked = logic.parse_drs(question)

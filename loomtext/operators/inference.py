@@ -24,8 +24,8 @@ def ccg_lookup(lexicon: DataFrame, words: DataFrame) -> DataFrame:
 def threads(rows: DataFrame, thread: str = "thread", turn: str = "turn", drs: str = "drs") -> DataFrame:
     """Thread, n, drss (in order of turn), merged, fol."""
     s = rows.groupBy(thread).agg(F.array_sort(F.collect_list(F.struct(turn, drs)))[drs].alias("drss"))
-    merged = s.select(thread, F.size("drss").alias("n"), "drss", arrow.merged_drs(F.col("drss")).alias("merged"))
-    return merged.withColumn("fol", arrow.drs_formula(F.col("merged")))
+    made = s.select(thread, "drss", arrow.merged_and_formula(F.col("drss")).alias("m"))
+    return made.select(thread, F.size("drss").alias("n"), "drss", "m.merged", "m.fol")
 
 
 def closed_world(facts: DataFrame, asked: DataFrame) -> DataFrame:

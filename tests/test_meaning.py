@@ -5,6 +5,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from loomtext.functions import arrow
 from loomtext.kernels import ccg, logic, parsing
 
 
@@ -128,3 +131,11 @@ def test_tree_parts():
 def test_grammars():
     g = parsing.Grammar.parse("S -> 'a' S | 'a'")
     assert len(g.trees(["a"] * 400)) == 1 and g.nonterminals() == ["S"] and len(g) == 2 and str(g) == "S -> 'a' S\nS -> 'a'"
+
+
+def test_threads_are_parsed_once(spark):
+    """What is merged isn't parsed again; a structure that can't be read leaves both null."""
+    rows = [(["([x],[p(x)])", "([x, y],[-([z],[q(z)]), x = y, (([a],[r(a)]) => ([],[s(a)]))])", "([x],[p(x)])"],), (["([],[])"],), (["(["],), (None,)]
+    df = spark.createDataFrame(rows, "d array<string>")
+    got = df.select(arrow.merged_and_formula(F.col("d")).alias("m"), arrow.merged_drs(F.col("d")).alias("merged")).select("m", "merged", arrow.drs_formula(F.col("merged")).alias("fol")).collect()
+    assert [(r.m and r.m.merged, r.m and r.m.fol) for r in got] == [(r.merged, r.fol) for r in got] and got[0].merged and got[2].m is None
