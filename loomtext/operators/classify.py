@@ -36,12 +36,27 @@ def naive_bayes_scores(model: DataFrame, rows: DataFrame) -> DataFrame:
     """Id, label, logp, prob; unknown features are left out."""
     prior = model.filter("feature IS NULL").select("label", F.col("logp").alias("prior"))
     by_feature = model.filter("feature IS NOT NULL").groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("label", "logp"))).alias("by"))
-    seen = _exploded(rows, "id").join(by_feature, "feature").select("id", F.explode("by").alias("label", "logp")).groupBy("id", "label").agg(F.sum("logp").alias("s"))
-    every = rows.select("id").crossJoin(F.broadcast(prior)).join(seen, ["id", "label"], "left")
-    every = every.select("id", "label", (F.col("prior") + F.coalesce("s", F.lit(0.0))).alias("logp"))
-    w = Window.partitionBy("id")
+    keyed = _keyed(rows)
+    sets = keyed.select("f").distinct()
+    seen = sets.select("f", F.explode("f").alias("feature")).join(by_feature, "feature").select("f", F.explode("by").alias("label", "logp")).groupBy("f", "label").agg(F.sum("logp").alias("s"))
+    every = sets.crossJoin(F.broadcast(prior)).join(seen, ["f", "label"], "left")
+    every = every.select("f", "label", (F.col("prior") + F.coalesce("s", F.lit(0.0))).alias("logp"))
+    w = Window.partitionBy("f")
     every = every.withColumn("e", F.exp(F.col("logp") - F.max("logp").over(w)))
-    return every.select("id", "label", "logp", (F.col("e") / F.sum("e").over(w)).alias("prob"))
+    return _by_set(keyed, every.select("f", F.struct("label", "logp", (F.col("e") / F.sum("e").over(w)).alias("prob")).alias("x")))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """id, f: a row's features in order. Rows with the same features have the same scores, which are computed once: features are few,
+    so that rows exploded and joined by feature would fall into a few tasks."""
+    f = F.array_sort(F.transform(F.map_entries("features"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return rows.select("id", F.coalesce(f, F.array().cast("array<string>")).alias("f"))
+
+
+def _by_set(keyed: DataFrame, scored: DataFrame) -> DataFrame:
+    """scored: f, x (a struct for each label) -> id and the fields of x."""
+    sets = scored.groupBy("f").agg(F.collect_list("x").alias("x"))
+    return keyed.join(sets, "f").select("id", F.explode("x").alias("x")).select("id", "x.*")
 
 
 def best_label(scores: DataFrame) -> DataFrame:
@@ -164,9 +179,10 @@ def _probabilities(pairs: DataFrame, keys: DataFrame, kinds: DataFrame, weights:
 
 def maxent_scores(model: DataFrame, rows: DataFrame) -> DataFrame:
     """Id, label, prob."""
-    pairs = _exploded(rows, "id").select(F.col("id").alias("key"), "feature")
-    p = _probabilities(pairs, rows.select(F.col("id").alias("key")), model.select("label").distinct(), model)
-    return p.withColumnRenamed("key", "id")
+    keyed = _keyed(rows)
+    sets = keyed.select(F.col("f").alias("key")).distinct()
+    p = _probabilities(sets.select("key", F.explode("key").alias("feature")), sets, model.select("label").distinct(), model)
+    return _by_set(keyed, p.select(F.col("key").alias("f"), F.struct("label", "prob").alias("x")))
 
 
 def maxent_informative(model: DataFrame, n: int = 10) -> DataFrame:

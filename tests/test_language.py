@@ -229,6 +229,29 @@ def test_models_of_texts_are_counted_once(spark):
         assert plan.count("Generate inline") == 1, plan
 
 
+def test_rows_with_equal_features_are_scored_once(spark):
+    rows = spark.createDataFrame([(1, "a", {"x": "1", "y": "2"}), (2, "b", {"y": "2", "x": "1"}), (3, "b", {"x": "2"}), (4, "a", {}), (5, "a", None)], "id long, label string, features map<string,string>")
+    model = classify.naive_bayes_train(rows)
+    scored = classify.naive_bayes_scores(model, rows)
+    assert "explode(f#" in scored._jdf.queryExecution().optimizedPlan().toString()
+    logp = {(r.label, r.feature): r.logp for r in model.collect()}
+    for r in scored.collect():
+        own = {1: ("x=1", "y=2"), 2: ("x=1", "y=2"), 3: ("x=2",)}.get(r.id, ())
+        assert math.isclose(r.logp, logp[r.label, None] + sum(logp[r.label, f] for f in own))
+    assert sorted((r.id, r.label) for r in scored.collect()) == [(i, x) for i in range(1, 6) for x in "ab"]
+    assert "explode(key#" in classify.maxent_scores(classify.maxent_train(rows.filter("id < 5")), rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_toktok_classes_of_java(spark):
+    """The patterns that Java runs match what those of the SQL match, in each character."""
+    text = " ".join(chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10000), 0x1F600])
+    df = spark.createDataFrame([(text,)], "t string")
+    split = [(p, to.replace("\\", "$")) for p, to in tokenizers.TOKTOK if tokenizers._java(p) != p.replace("(?m)", "(?md)")]
+    assert len(split) == 3
+    for p, to in split:
+        assert df.select(F.regexp_replace("t", p, to) == F.regexp_replace("t", tokenizers._java(p), to)).first()[0]
+
+
 def test_hmm_against_all_paths(spark):
     rows = token_rows(spark, TRAIN)
     hmm, emissions = taggers.hmm_train(rows)
