@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -131,10 +132,26 @@ TOKTOK = [
 ]
 
 
+def _java(pattern: str) -> str:
+    """A substitution's pattern in Java's words. A class of Java tries its members above U+00FF one after another: a character up
+    to there is looked up among the others alone."""
+    pattern = pattern.replace("(?m)", "(?md)")
+    for big in (_OPEN + _CURRENCY, _CLOSE, _ALONE):
+        if pattern == f"([{big}])":
+            return f"([\\x{{0}}-\\x{{ff}}&&[{_part(big, False)}]]|(?![\\x{{0}}-\\x{{ff}}])[{_part(big, True)}])"
+    return pattern
+
+
+def _part(members: str, above: bool) -> str:
+    """The members of a class of single characters that lie above U+00FF, or those up to there."""
+    codes = [int(m[1], 16) if m[1] else ord(m[0][-1]) for m in re.finditer(r"\\x\{([0-9a-f]+)\}|\\.|.", members)]
+    return "".join(f"\\x{{{c:x}}}" for c in codes if (c > 0xFF) == above)
+
+
 def toktok_text(text: Column) -> Column:
     """T18 with return_str: the text with spaces between its tokens; commas within numbers are U+0001."""
     for pattern, to in TOKTOK:
-        text = F.regexp_replace(text, pattern.replace("(?m)", "(?md)"), to.replace("\\", "$"))
+        text = F.regexp_replace(text, _java(pattern), to.replace("\\", "$"))
     return F.regexp_replace(F.regexp_replace(text, " {2,}", " "), rf"^[{_BLANKS}]+|[{_BLANKS}]+$", "")
 
 
