@@ -10,8 +10,9 @@ from loomtext.functions import metrics, tokenizers
 
 def find(docs: DataFrame, tokens: Column, n: int = 2) -> DataFrame:
     """K1: w1 .. wn, count; n-grams don't cross documents. Windows are taken within the token array, so nothing is shuffled before the count."""
-    grams = docs.select(tokens.alias("t")).select(F.explode(tokenizers.ngrams(F.col("t"), n)).alias("g"))  # tokens once a text
-    return grams.groupBy(*[F.col("g")[i].alias(f"w{i + 1}") for i in range(n)]).agg(F.count(F.lit(1)).alias("count"))
+    names = [f"w{i}" for i in range(1, n + 1)]
+    grams = docs.select(tokens.alias("t")).select(F.inline(tokenizers.ngram_structs(F.col("t"), n, *names)))  # tokens once a text
+    return grams.groupBy(*names).agg(F.count(F.lit(1)).alias("count"))
 
 
 def unigrams(docs: DataFrame, tokens: Column) -> DataFrame:
